@@ -1,8 +1,8 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
 One weight vector serves every threshold: P(grade > k) = sigmoid(w.x - b_k) with b_1 <= b_2 <= b_3. Features are
-the distinct lower-case words of a text (edges stripped of marks); only words of the training rows that lean towards
-a class well beyond chance get a weight. Expected severity is the sum of the P(grade > k).
+the distinct lower-case words of a text and their beginnings; only features of the training rows that lean towards a
+class well beyond chance get a weight. Expected severity is the sum of the P(grade > k).
 """
 
 from __future__ import annotations
@@ -15,29 +15,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.llm.shared import texts_of
-
 GRADES = 3
 SCHEMA = "severity double, grade int, toxic boolean"
-_EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_=+/\\~`^@"
+_EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_=+/\\~`^@"
+PREFIXES = (4, 5, 6)
 
 
-def features(text: bytes) -> set[bytes]:
-    """Distinct words in lower case (of A-Z), without marks at their edges."""
-    if not text:
-        return set()
-    return {w.strip(_EDGE) for w in set(text.lower().split())}
+def features(text: str) -> set[str]:
+    """Distinct lower-case words without marks at their edges, and their beginnings, marked with a star."""
+    plain = {w.strip(_EDGE) for w in set(text.lower().split())}
+    plain.discard("")
+    out = set(plain)
+    for n in PREFIXES:
+        out |= {w[:n] + "*" for w in plain if len(w) >= n}
+    return out
 
 
 @dataclass
 class Model:
-    weights: dict[bytes, float]
+    weights: dict[str, float]
     cuts: np.ndarray
     limit: float
 
-    def logit(self, text: bytes) -> float:
+    def logits(self, texts: list[str]) -> np.ndarray:
+        """Sum of the weights of each text's features; a word is only looked at if some feature begins as it does."""
         w = self.weights
-        return sum(w[x] for x in features(text) & w.keys())
+        heads = {k.rstrip("*")[: PREFIXES[0]] for k in w}
+        out = np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            found = set()
+            for x in set(text.lower().split()):
+                if not x[0].isalnum() or not x[-1].isalnum():
+                    x = x.strip(_EDGE)
+                if x[: PREFIXES[0]] in heads:
+                    found |= w.keys() & {x, *[x[:n] + "*" for n in PREFIXES if len(x) >= n]}
+            out[i] = sum(w[k] for k in found)
+        return out
 
     def severity(self, logits: np.ndarray) -> np.ndarray:
         return (1 / (1 + np.exp(np.clip(self.cuts[None, :] - logits[:, None], -40, 40)))).sum(1)
@@ -63,7 +76,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 800, rat
     return p[: x.shape[1]], c[0] + np.concatenate(([0.0], np.cumsum(c[1:] ** 2)))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 12000, size: int = 512, least: float = 30.0) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 12000, size: int = 512, least: float = 20.0, share: float = 0.02) -> Model | None:
     """Fit on at most ``rows`` labelled documents, those of the least hashed id. None without both kinds of label.
 
     The labels only say toxic or not, so the grades of toxic rows are set by how much evidence they hold: their
@@ -74,17 +87,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 12000, size: int = 512
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted(features(t)) for t in texts_of(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__t"), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "t", "words"])
+            found = [sorted(features(t)) for t in b.column("text").fill_null("").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__t"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "t", "words"])
 
     # at most `rows` ids of 12 bytes: a proven bound
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(words, "doc_id long, t int, words array<binary>").dropDuplicates(["doc_id"])
+    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(words, "doc_id long, t int, words array<string>").dropDuplicates(["doc_id"])
     # counts by word and class stay on the executors; only words that lean to a class come to the driver, at most `size`
     total = got.agg(F.count("*").alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     n, n1 = float(total["n"]), float(total["t"])
     if n1 < 5 or n - n1 < 5:
         return None
-    by_word = got.select("t", F.explode("words").alias("w")).where("length(w) > 0").groupBy("w").agg(F.count("*").alias("s"), F.sum("t").alias("a")).where("s >= 3")
+    by_word = got.select("t", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("s"), F.sum("t").alias("a")).where((F.col("s") >= 3) & (F.col("s") >= share * n1))
     s, a = F.col("s").cast("double"), F.col("a").cast("double")
     p = s / n
 
@@ -92,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 12000, size: int = 512
         return F.when((o > 0) & (e > 0), o * F.ln(o / e)).otherwise(0.0)
 
     g = part(a, n1 * p) + part(s - a, (n - n1) * p) + part(n1 - a, n1 * (1 - p)) + part(n - n1 - s + a, (n - n1) * (1 - p))
-    chosen = [bytes(r["w"]) for r in by_word.withColumn("g", g).where(F.col("g") > least / 2).orderBy(F.desc("g"), "w").limit(size).collect()]
+    chosen = [r["w"] for r in by_word.withColumn("g", g).where(F.col("g") > least / 2).orderBy(F.desc("g"), "w").limit(size).collect()]
     if not chosen:
         return None
     at = F.array(*[F.lit(w) for w in chosen])
@@ -134,8 +147,8 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b.column(names.index("text")))
-            sev = model.severity(np.array([model.logit(t) for t in texts])) if model and texts else np.zeros(len(texts))
+            texts = b.column(names.index("text")).fill_null("").to_pylist()
+            sev = model.severity(model.logits(texts)) if model and texts else np.zeros(len(texts))
             bad = sev > model.limit if model else np.zeros(len(texts), bool)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sev), pa.array(np.rint(sev).astype(np.int32)), pa.array(bad)], [*names, *made])
 
