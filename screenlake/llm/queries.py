@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from screenlake.llm import html_text, quality, sharding, toxicity, url_rules
+from screenlake.llm import html_text, near_text, quality, sharding, toxicity, url_rules
 
 QUERIES = {
     "op2_quality_forest": quality.query,
     "op4_hilbert_shards": sharding.query,
     "op5_html_text": html_text.query,
     "op6_toxicity_ordinal": toxicity.query,
+    "op7_minhash_dedup": near_text.query,
     "op9_url_rules": url_rules.query,
 }
 
 ORACLES = {
+    "op7_minhash_dedup": near_text.ORACLE,
     "op9_url_rules": url_rules.ORACLE,
 }
