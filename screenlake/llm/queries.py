@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from screenlake.llm import html_text, near_text, quality, sharding, suffix_dedup, toxicity, url_rules
+from screenlake.llm import html_text, near_text, packing, quality, sharding, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op2_quality_forest": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_html_text": html_text.query,
     "op6_toxicity_ordinal": toxicity.query,
     "op7_minhash_dedup": near_text.query,
+    "op8_best_fit": packing.query,
     "op9_url_rules": url_rules.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
