@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from screenlake.llm import html_text, near_text, packing, quality, sharding, suffix_dedup, toxicity, url_rules
+from screenlake.llm import html_text, near_text, near_vectors, packing, quality, sharding, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op2_quality_forest": quality.query,
+    "op3_cap_filters": near_vectors.query,
     "op4_hilbert_shards": sharding.query,
     "op5_html_text": html_text.query,
     "op6_toxicity_ordinal": toxicity.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_cap_filters": near_vectors.ORACLE,
     "op7_minhash_dedup": near_text.ORACLE,
     "op9_url_rules": url_rules.ORACLE,
 }
