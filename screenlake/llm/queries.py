@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from screenlake.llm import html_text, near_text, near_vectors, packing, quality, sharding, suffix_dedup, toxicity, url_rules
+from screenlake.llm import html_text, near_text, near_vectors, packing, pieces, quality, sharding, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
+    "op1_piece_sampling": pieces.query,
     "op2_quality_forest": quality.query,
     "op3_cap_filters": near_vectors.query,
     "op4_hilbert_shards": sharding.query,
