@@ -67,6 +67,8 @@ class Vocabulary:
         rank = {ord(c): k + 1 for k, c in enumerate(common)}
         more = iter(range(len(common) + 1, len(count) + 1))
         self.classes = np.array([rank[x] if x in rank else next(more) for x in self.letters.tolist()], np.int64)
+        self.table = np.zeros(1 << 16, np.int64)
+        self.table[:-1] = self._searched(np.arange(len(self.table) - 1))
         self.width = len(common) + 1
         class_of = dict(zip(self.letters.tolist(), self.classes.tolist()))
         steps: dict[tuple[int, int], int] = {}
@@ -95,6 +97,12 @@ class Vocabulary:
         self.begin = np.cumsum(self.length) - self.length
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
+    @classmethod
+    def of(cls, tables: dict) -> Vocabulary:
+        out = cls.__new__(cls)
+        out.__dict__.update(tables)
+        return out
+
     def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         out = self.dense[state, np.minimum(letter, self.width - 1)]
         far = np.flatnonzero(letter >= self.width)
@@ -105,6 +113,10 @@ class Vocabulary:
         return out
 
     def letter(self, chars: np.ndarray) -> np.ndarray:
+        out = self.table[np.minimum(chars, len(self.table) - 1)]
+        return out if self.letters[-1] < len(self.table) - 1 else np.where(chars < len(self.table) - 1, out, self._searched(chars))
+
+    def _searched(self, chars: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.letters, chars), len(self.letters) - 1)
         return np.where(self.letters[at] == chars, self.classes[at], 0)
 
@@ -164,8 +176,9 @@ class Lattices:
         alpha = np.full(nodes, -np.inf)
         alpha[self.first] = 0.0
         depth = self.b - self.first[word[order]]
-        turn = np.argsort(depth, kind="stable")
-        cuts = np.searchsorted(depth[turn], np.arange(1, (depth.max() if len(depth) else 0) + 2))
+        deepest = int(depth.max()) if len(depth) else 0
+        turn = np.argsort(depth.astype(np.int16) if deepest < 32768 else depth, kind="stable")
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(depth, minlength=deepest + 1)[1:])))
         for x, y in zip(cuts[:-1], cuts[1:]):
             e = turn[x:y]
             if not len(e):
@@ -178,26 +191,35 @@ class Lattices:
             alpha[into[at]] = top + np.log(total)
         self.alpha = alpha
         p = np.exp(alpha[self.a] + weight - alpha[self.b])
-        self.low = np.searchsorted(self.b, np.arange(nodes + 1))
+        self.low = np.concatenate(([0], np.cumsum(np.bincount(self.b, minlength=nodes))))
         run = np.cumsum(p)
         before = np.concatenate(([0.0], run))[self.low[self.b]]
         self.cut = self.b + np.minimum(run - before, 1.0)
 
     def sample(self, word: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Picks of every occurrence, last piece first: (occurrence, pick) in the order drawn."""
+        """Picks of the occurrences in turn, each one's in the order of the text, and picks per occurrence."""
         node, live = self.last[word], np.arange(len(word))
         first = self.first[word]
         who, what, turn = [], [], 0
         while len(live):
             u = (mix(salt[live] + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)) * 2.0**-53
-            e = np.searchsorted(self.cut, node[live] + u, "right")
-            e = np.clip(e, self.low[node[live]], self.low[node[live] + 1] - 1)
+            at = node[live]
+            e = np.searchsorted(self.cut, at + u, "right")
+            e = np.minimum(np.maximum(e, self.low[at]), self.low[at + 1] - 1)
             who.append(live)
             what.append(self.pick[e])
-            node[live] = self.a[e]
-            live = live[node[live] > first[live]]
+            at = self.a[e]
+            node[live] = at
+            live = live[at > first[live]]
             turn += 1
-        return np.concatenate(who) if who else live, np.concatenate(what) if what else live
+        count = np.zeros(len(word), np.int64)
+        for k, live in enumerate(who):
+            count[live] = k + 1
+        end = np.cumsum(count)
+        out = np.empty(int(end[-1]) if len(end) else 0, np.int64)
+        for k, (live, pick) in enumerate(zip(who, what)):
+            out[end[live] - 1 - k] = pick
+        return out, count
 
 
 def encode_block(texts: list[str], keys: np.ndarray, v: Vocabulary, o: Options) -> tuple[np.ndarray, np.ndarray]:
@@ -219,15 +241,8 @@ def encode_block(texts: list[str], keys: np.ndarray, v: Vocabulary, o: Options)
     place = np.arange(len(word)) - np.repeat(np.cumsum(per) - per, per)
     seeds = mix(keys.astype(np.uint64) + np.uint64(o.seed) * np.uint64(0xD6E8FEB86659FD93))
     salt = mix(np.repeat(seeds, per) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    who, what = Lattices(list(known), v, o.power).sample(word, salt)
-    count = np.bincount(who, minlength=len(word))
+    flat, count = Lattices(list(known), v, o.power).sample(word, salt)
     end = np.cumsum(count)
-    # the draws of an occurrence come last piece first
-    order = np.argsort(who, kind="stable")
-    who, what = who[order], what[order]
-    nth = np.arange(len(who)) - (end - count)[who]
-    flat = np.empty(len(who), np.int64)
-    flat[end[who] - 1 - nth] = what
     bare = np.flatnonzero(flat < 0)
     if len(bare):
         raw = [(MARK if x == ord(LITERAL) else chr(x)).encode() for x in (-1 - flat[bare]).tolist()]
@@ -264,14 +279,14 @@ def encode(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text
     Null texts have null ids and 0 tokens; empty ones no ids. Null keys count as 0; equal rows get equal ids. An
     empty table gives an empty one; input columns named like an output are replaced. One pass, no shuffle.
     """
-    v = docs.sparkSession.sparkContext.broadcast(load(o.model))  # bounded by the vocabulary
+    v = docs.sparkSession.sparkContext.broadcast(vars(load(o.model)))  # bounded by the vocabulary
     made = ["ids", "n_tokens", "lossless"]
     docs = docs.drop(*made)
     keep = [c for c in docs.columns if c != text_col or keep_text]
     rest = docs.select(*keep, F.col(text_col).alias("__text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = v.value
+        vocabulary = Vocabulary.of(v.value)
         for b in batches:
             texts, keys = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_numpy(zero_copy_only=False).view(np.uint64)
             for x, y in slices(np.array([len(t or "") for t in texts], np.int64), o.block):
@@ -291,13 +306,14 @@ def encode(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text
 
 def decode(tokens: DataFrame, o: Options = Options(), ids_col: str = "ids") -> DataFrame:
     """``tokens`` plus text: the exact inverse of ``encode``. Null ids give null texts."""
-    v = tokens.sparkSession.sparkContext.broadcast(load(o.model))
+    v = tokens.sparkSession.sparkContext.broadcast(vars(load(o.model)))
     tokens = tokens.drop("text")
     names = tokens.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary.of(v.value)
         for b in batches:
-            texts = [None if x is None else decode_block(np.array(x, np.int64), np.array([len(x)]), v.value)[0].decode("utf-8", "replace") for x in b.column(names.index(ids_col)).to_pylist()]
+            texts = [None if x is None else decode_block(np.array(x, np.int64), np.array([len(x)]), vocabulary)[0].decode("utf-8", "replace") for x in b.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
