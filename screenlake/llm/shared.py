@@ -1,92 +1,16 @@
-"""Stages in the cluster's shared folder, connected components, packed text arrays."""
+"""Packed text arrays, next to the library's stages and components."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a single-machine session without it gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _local_dirs:
-        _local_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="screenlake-")
-    return _local_dirs[sc.applicationId]
-
-
-class Stages:
-    """Written intermediate results: each ``save`` cuts the lineage, so a lost executor repeats one stage only."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def save(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        del df
-        self.release()
-        return out
-
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of finished stages now instead of at some later collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def components(stages: Stages, edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
-
-    Contraction: every node takes the label of its neighbour of least hashed priority, edges are relabelled and
-    made distinct, until none is left. Hashed priorities make the rounds logarithmic on chains as on stars.
-    """
-    def rank(c):
-        return F.struct(F.xxhash64(c).alias("p"), F.col(c).alias("v"))
-
-    level, maps = 0, []
-    e = stages.save(f"{name}-e0", edges.select("a", "b").where("a <> b").distinct())
-    while e.limit(1).count():
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
-        low = low.select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["v"].alias("label"))
-        m = stages.save(f"{name}-m{level}", low)
-        maps.append(m)
-        la, lb = m.select(F.col("node").alias("a"), F.col("label").alias("la")), m.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        nxt = e.join(la, "a").join(lb, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-        level += 1
-        e = stages.save(f"{name}-e{level}", nxt)
-        stages.drop(f"{name}-e{level - 1}")
-    if not maps:
-        return stages.spark.createDataFrame([], "node long, component long")
-    final = maps[-1]
-    for m in reversed(maps[:-1]):
-        up = final.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        final = m.join(up, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
-    final = stages.save(f"{name}-f", final)
-    least = final.groupBy("label").agg(F.min("node").alias("component"))
-    least = least.select("label", F.least("label", "component").alias("component"))
-    return final.join(least, "label").select("node", "component")
 
+from screenlake.operators.graph import components
+from screenlake.stages import Stages, shared_dir
+
+__all__ = ["SPACE", "Stages", "components", "mix", "shared_dir", "slices", "texts_of", "words"]
 
 # --- packed texts -------------------------------------------------------------------------------------------------
 
