@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from screenlake.functions.text import is_blank, normalise_doi
 from screenlake.operators.identity import find_existing, listed_title_match
 from screenlake.operators.upserts import latest, with_ids
+from screenlake.stages import Stages
 
 #: Order in which sources are asked, by the chosen one.
 CHAINS = {
@@ -83,6 +84,7 @@ def harvest(seed_papers: DataFrame, papers: DataFrame, fetched: DataFrame, lists
     refs = fetched.withColumn("k", normalise_doi("parent_doi")).join(s, "k").withColumn("ref_id", F.xxhash64("parent_paper_id", "ref_index"))
     known = find_existing(refs, papers).select("ref_id", F.col("paper_id").alias("resolved_paper_id"))
     refs = refs.join(known, "ref_id", "left").withColumns({"direction": F.lit(direction), "source": F.lit(source)})
+    refs = Stages(papers.sparkSession, "harvest").save("refs", refs)
     after = upsert_references(lists, refs)
     hit = refs.where("resolved_paper_id is not null")
     pairs = hit.select(F.col("resolved_paper_id").alias("child_paper_id"), "parent_paper_id") if direction == "backward" else hit.select(F.col("parent_paper_id").alias("child_paper_id"), F.col("resolved_paper_id").alias("parent_paper_id"))
@@ -158,16 +160,16 @@ def retry(lists: DataFrame) -> DataFrame:
 
 
 def resolve(lists: DataFrame, papers: DataFrame, edges: DataFrame, works: DataFrame, candidates: DataFrame, source: str = "crossref", assured: bool = True, **options) -> tuple[DataFrame, DataFrame]:
-    """(lists, edges) after: sync, DOIs, titles, and with ``assured`` the check against papers and one retry."""
-    out = sync_status(lists)
+    """(lists, edges) after: sync, DOIs, titles, and with ``assured`` the check against papers and one retry. Each step
+    is written before the next, so plans stay small."""
+    st = Stages(papers.sparkSession, "resolve")
+    papers, works, out = st.save("papers", papers), st.save("works", works), st.save("lists", sync_status(lists))
     for turn in range(2 if assured else 1):
-        out = apply_status(out, resolve_dois(out, works, papers, source, **options))
-        out = apply_status(out, resolve_titles(out, candidates).select("ref_id", "status"))
-        if not assured:
-            break
-        out, edges, _ = verify(out, papers, edges)
-        if turn == 0:
-            out = retry(out)
+        out = st.save(f"dois{turn}", apply_status(out, resolve_dois(out, works, papers, source, **options)))
+        out = st.save(f"titles{turn}", apply_status(out, resolve_titles(out, candidates).select("ref_id", "status")))
+        if assured:
+            out, edges, _ = verify(out, papers, edges)
+            out, edges = st.save(f"verified{turn}", out if turn else retry(out)), st.save(f"edges{turn}", edges)
     return out, edges
 
 

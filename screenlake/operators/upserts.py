@@ -24,9 +24,9 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = N
     """
     columns = [c for c in old.columns if c != "id"] if "id" in old.columns else old.columns
     fresh = latest(new, key, order).select(*columns) if order else new.select(*columns).dropDuplicates(key)
-    rest = old.join(fresh.select(*key), key, "left_anti")
+    rest = old.join(fresh.select(*key), key, "left_anti").select(*old.columns)
     if "id" not in old.columns:
-        return rest.select(*old.columns).unionByName(fresh)
+        return rest.unionByName(fresh)
     if keep_id:
         ids = old.select(*key, "id").dropDuplicates(key)
         fresh = fresh.join(ids, key, "left")

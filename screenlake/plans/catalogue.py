@@ -318,7 +318,7 @@ def bm25_normalised(spark, d):
     return rounded(scoring.normalised(scoring.bm25(_docs(spark, d), TOPIC.query_terms(), "doc_id", "text"), "bm25"))
 
 
-@query(f"WITH {_KW} SELECT doc_id, round(raw, 6) AS keyword_raw, round(least(raw / 10.0, 1.0), 6) AS keyword_score FROM kw")
+@query(f"WITH {_KW} SELECT doc_id, round(raw, 6)::DOUBLE AS keyword_raw, round(least(raw / 10.0, 1.0), 6)::DOUBLE AS keyword_score FROM kw")
 def keyword_spans(spark, d):
     return rounded(keyword_scores(_docs(spark, d), "text", TOPIC).select("doc_id", "keyword_raw", "keyword_score"))
 
