@@ -32,7 +32,7 @@ class Options:
     model: str = MODEL
     seed: int = 1
     power: float = 1.0
-    block: int = 1 << 22
+    block: int = 1 << 21
 
 
 class Vocabulary:
