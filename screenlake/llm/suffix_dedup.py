@@ -24,11 +24,13 @@ from screenlake.llm.shared import Stages, mix, slices
 
 @dataclass(frozen=True)
 class Options:
-    """``piece``: bytes of text handled at a time; ``group``: stretches of one anchor that a task sorts together."""
+    """``piece``: bytes of text that are searched for anchors at a time; ``batch``: bytes of stretches sorted at a
+    time, more only for a single group; ``group``: stretches of one anchor that a task sorts together."""
 
     width: int = 200
     k: int = 64
-    piece: int = 1 << 21
+    piece: int = 1 << 19
+    batch: int = 1 << 20
     group: int = 2000
 
     @property
@@ -50,10 +52,7 @@ def anchors(texts: list[bytes], o: Options) -> Iterator[tuple[np.ndarray, ...]]:
         buf = np.frombuffer(raw, np.uint8)
         n = len(buf) - o.k
         # 8 bytes at every place, doubled up to k
-        h = np.zeros(n + o.k - 7, np.uint64)
-        for j in range(8):
-            h |= buf[j : j + len(h)].astype(np.uint64) << np.uint64(8 * j)
-        h = mix(h)
+        h = mix(np.ndarray((n + o.k - 7,), "<u8", raw, 0, (1,)).copy())
         size, c = 8, 0xC2B2AE3D27D4EB4F
         while size < o.k:
             h = h[:-size] * np.uint64(c) + (h[size:] ^ (h[size:] >> np.uint64(29)))
@@ -237,10 +236,13 @@ def covered(docs: DataFrame, stages: Stages, o: Options) -> DataFrame:
 
     found = docs.mapInArrow(scan, "doc_id long, th long, key long, whole long, at long, lo smallint, hi smallint")
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1")
-    cand = found.join(keys.select("key", (F.col("w0") != F.col("w1")).alias("mixed")), "key")
+    # written first: the join then has plain shuffles on both sides, and a hot anchor's rows can be split
+    keys = stages.save("keys", keys.select("key", (F.col("w0") != F.col("w1")).alias("mixed")))
+    cand = found.join(keys, "key")
     cand = stages.save("candidates", cand)
     # stretches that are equal as a whole are repeated as a whole
     twin = cand.where("mixed").groupBy("key", "whole").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "at")).alias("rep"))
+    twin = stages.save("twins", twin)
     mixed = stages.save("mixed", cand.where("mixed").join(twin, ["key", "whole"]))
     span = F.struct((F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + o.width).alias("b"))
     sure = cand.where("not mixed").select("doc_id", "th", span.alias("span")).union(mixed.where("c > 1").select("doc_id", "th", span.alias("span")))
@@ -281,7 +283,7 @@ def covered(docs: DataFrame, stages: Stages, o: Options) -> DataFrame:
 
         for b in batches:
             for k, core, *row in zip(*[b.column(c).to_pylist() for c in ("key", "core", "doc_id", "th", "at", "lo", "hi", "c", "stretch", "left")]):
-                if (k, core) != key and size >= o.piece:
+                if (k, core) != key and size >= o.batch:
                     yield done()
                     held, size = [], 0
                 key = k, core
@@ -375,7 +377,7 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     spans = stages.save("spans", covered(source, stages, o))
-    for name in ("candidates", "mixed", "pieces"):
+    for name in ("keys", "candidates", "twins", "mixed", "pieces"):
         stages.drop(name)
     names = docs.columns
     whole = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__th": F.xxhash64(text)})
