@@ -66,6 +66,8 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = 4, id_col: str = "doc_i
     names = [f"d{i}" for i in range(n)]
     group = ["h", "text_crc32", "size"]
     lows = rows.groupBy(*group).agg(*[F.min(d).alias(d) for d in names], F.sum("size").alias("group_bytes"))
+    # written first: the join below then has plain shuffles on both sides, and a hot group's rows can be split
+    lows = stages.save("groups", lows)
     levels = 1 << bits
     cuts = lows.agg(*[F.percentile_approx(d, [k / levels for k in range(1, levels)], 2000).alias(d) for d in names], F.sum("group_bytes").alias("total")).first()
     total = cuts["total"] or 0
@@ -100,7 +102,7 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = 4, id_col: str = "doc_i
     placed = stages.save("cut", placed.select("doc_id", *group, "curve", "nth", number.alias("shard")))
     firsts = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.min("nth").alias("n")).collect()}
     first = F.element_at(F.create_map(*[F.lit(x) for kv in firsts.items() for x in kv]), F.col("shard"))
-    stages.drop("sorted"), stages.drop("placed")
+    stages.drop("groups"), stages.drop("sorted"), stages.drop("placed")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
