@@ -200,6 +200,7 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
     own = st.save("own", own.select("doc_id", "h1", "h2", "sig", "keys"))
     keyed = own.select("doc_id", "h1", "h2", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m")
+    shared = st.save("shared", shared)  # the join then has plain shuffles on both sides, and a hot bucket can be split
     node = F.xxhash64("doc_id", "h1", "h2")
     stars = keyed.join(shared, "key").select(node.alias("a"), F.xxhash64("m.doc_id", "m.h1", "m.h2").alias("b")).where("a <> b").distinct()
     groups = st.save("groups", components(st, stars, "cand").select(F.col("node"), F.col("component").alias("grp")))

@@ -159,6 +159,7 @@ def link(vectors: DataFrame, o: Options = Options(), id_col: str = "vec_id", vec
     found = st.save("listed", found)
     each = found.select("label", F.explode("filters").alias("filter"))
     blocks = each.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1").select("label", "filter", F.ceil(F.col("n") / o.block).cast("int").alias("blocks"))
+    blocks = st.save("blocks", blocks)  # the join then has plain shuffles on both sides
     entry = found.withColumn("filter", F.explode("filters")).join(blocks, ["label", "filter"])
     entry = entry.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
