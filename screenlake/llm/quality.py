@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.llm.shared import slices, texts_of, words
+from screenlake.llm.shared import aside, slices, texts_of, words
 
 GAPS, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -199,4 +199,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that base rules and forest keep, with the columns of ``docs``."""
     forest = train(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs, forest).where("kept").select(*docs.columns)
+    apart, back = aside(docs, [x.split()[0] for x in SCHEMA.split(", ")])
+    return judge(apart, forest).where("kept").select(*back)

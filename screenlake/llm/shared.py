@@ -6,11 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from screenlake.operators.graph import components
 from screenlake.stages import Stages, shared_dir
 
-__all__ = ["SPACE", "Stages", "components", "mix", "shared_dir", "slices", "texts_of", "words"]
+__all__ = ["SPACE", "Stages", "aside", "components", "mix", "shared_dir", "slices", "texts_of", "words"]
+
+
+def aside(docs: DataFrame, made: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns named like one of ``made`` put aside, and the columns that bring them back afterwards."""
+    low = {m.lower() for m in made}
+    names = {c: f"__own_{c}" for c in docs.columns if c.lower() in low}
+    return docs.withColumnsRenamed(names), [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
+
 
 # --- packed texts -------------------------------------------------------------------------------------------------
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.llm.shared import Stages, mix, slices
+from screenlake.llm.shared import Stages, aside, mix, slices
 
 
 @dataclass(frozen=True)
@@ -407,9 +407,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without its repeated passages; the bytes of a character that a cut has split go too."""
-    out = dedup(docs)
+    apart, back = aside(docs, ["removed", "kept"])
+    out = dedup(apart)
     whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
     out = out.withColumn("text", F.when(F.size("removed") == 0, F.col("text")).otherwise(whole))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*back)

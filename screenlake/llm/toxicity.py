@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenlake.llm.shared import aside
+
 GRADES = 3
 SCHEMA = "severity double, grade int, toxic boolean"
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_=+/\\~`^@"
@@ -164,4 +166,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic, with the columns of ``docs``."""
     model = train(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs, model).where("not toxic").select(*docs.columns)
+    apart, back = aside(docs, [x.split()[0] for x in SCHEMA.split(", ")])
+    return judge(apart, model).where("not toxic").select(*back)

@@ -62,3 +62,13 @@ def test_nothing_in_nothing_out(spark):
     for _, stage in corpus_pipeline.STAGES:
         made = stage(spark, made, SF)
         assert made.count() == 0
+
+
+def test_columns_named_like_outputs_stay(spark, docs):
+    from pyspark.sql import functions as F
+
+    d = docs.withColumns({"toxic": F.lit("own"), "removed": F.lit("own"), "n_chars": F.length("text")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, SF)
+        assert out.columns == d.columns
+        assert {r["kept"] for r in out.select("kept").distinct().collect()} <= {"x"} and {r["removed"] for r in out.select("removed").distinct().collect()} <= {"own"}
