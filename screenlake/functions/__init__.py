@@ -1 +1 @@
-"""functions"""
+"""Column expressions on text, and the topic model."""

@@ -1 +1 @@
-"""plans"""
+"""SQL surface, engine, and the queries over the driver's tables."""

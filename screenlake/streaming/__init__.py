@@ -1 +1 @@
-"""streaming"""
+"""Streams that are upserted into a project."""
