@@ -24,7 +24,8 @@ K = 5
 @dataclass(frozen=True)
 class Options:
     """6 rows in 40 bands: a pair at similarity 0.75 shares no band with probability 4e-4, at 0.8 with 5e-6.
-    ``block``: rows of a candidate group that one task holds at a time; larger groups go in pairs of blocks."""
+    ``block`` and ``block_bytes``: rows of a candidate group, and bytes of their full sets, that a block has on
+    average; larger groups go in pairs of blocks."""
 
     threshold: float = 0.75
     rows: int = 6
@@ -32,6 +33,7 @@ class Options:
     batch: int = 24
     miss: float = 1e-4
     block: int = 8192
+    block_bytes: int = 1 << 26
 
     @property
     def hashes(self) -> int:
@@ -162,8 +164,8 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
 
     Null texts and texts without words have no shingles, link with nothing, not even with each other, and are kept
     as their own component. Rows of one id are one document for the links of either text. Null ids get a null
-    component of their own and are kept. Ties go to the smallest id. Candidate groups larger than ``block`` are
-    dealt out as pairs of blocks, so no task holds more than two blocks.
+    component of their own and are kept. Ties go to the smallest id. Candidate groups of more rows or bytes than a
+    block are dealt out as pairs of blocks, so no task holds more than two blocks.
     """
     spark = docs.sparkSession
     st = Stages(spark, "near-text")
@@ -197,15 +199,17 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
     classes = st.save("classes", classes)
     own = signed.where(real).join(classes.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2", "doc_id"])
     # a document with two texts stands in two classes; its id links them
-    own = st.save("own", own.select("doc_id", "h1", "h2", "sig", "keys"))
+    own = st.save("own", own.select("doc_id", "h1", "h2", "n_shingles", "sig", "keys"))
     keyed = own.select("doc_id", "h1", "h2", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m")
     shared = st.save("shared", shared)  # the join then has plain shuffles on both sides, and a hot bucket can be split
     node = F.xxhash64("doc_id", "h1", "h2")
     stars = keyed.join(shared, "key").select(node.alias("a"), F.xxhash64("m.doc_id", "m.h1", "m.h2").alias("b")).where("a <> b").distinct()
     groups = st.save("groups", components(st, stars, "cand").select(F.col("node"), F.col("component").alias("grp")))
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / o.block).cast("int"))
-    members = own.withColumn("node", node).select("doc_id", "h1", "h2", "sig", "node").join(groups, "node").join(sizes.select("grp", "blocks"), "grp")
+    weights = groups.join(own.select(node.alias("node"), "n_shingles"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / o.block, F.sum("n_shingles") * 8 / o.block_bytes)).cast("int")
+    sizes = st.save("sizes", weights.groupBy("grp").agg(blocks.alias("blocks")))
+    members = own.withColumn("node", node).select("doc_id", "h1", "h2", "sig", "node").join(groups, "node").join(sizes, "grp")
     members = st.save("members", members.select("doc_id", "h1", "h2", "sig", "grp", "blocks"))
     st.drop("groups")
     edges = st.save("edges", _verified(docs, members, o))
