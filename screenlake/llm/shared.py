@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,15 @@ def slices(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield at, to
         at = to
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is free by now back to the system; a worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
