@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,26 +172,65 @@ def mark_papers(papers: DataFrame, results: DataFrame) -> DataFrame:
     return out.select(*papers.columns)
 
 
-def draws(labelled: list[tuple[int, int]], rounds: int, size: int, seed: int = 42) -> list[tuple[int, int]]:
-    """(round, paper_id) of samples with replacement, repeats inside a round left out: the bounded table of draws."""
-    rng = random.Random(seed)
-    return [(b, p) for b in range(rounds) for p in dict.fromkeys(p for p, _ in rng.choices(labelled, k=size))]
+def states(rounds: int, size: int, seed: int = 42) -> list[tuple[int, bytes, int]]:
+    """(round, state, place): the generator of ``random.Random(seed)`` before each round of ``size`` draws, so that a
+    round can be drawn anywhere as one sequence of ``choices`` would draw it."""
+    *words, place = random.Random(seed).getstate()[1]
+    rng = np.random.RandomState()
+    rng.set_state(("MT19937", np.array(words, np.uint32), place))
+    out = []
+    for b in range(rounds):
+        _, words, place, *_ = rng.get_state()
+        out.append((b, words.astype("<u4").tobytes(), int(place)))
+        rng.random_sample(size)
+    return out
+
+
+def best_thresholds(scores: np.ndarray, y: np.ndarray, step: float) -> tuple[float, float] | None:
+    """The first best threshold by F1 and by Youden's J, as ``sweep`` finds them; None without both classes."""
+    pos = int(y.sum())
+    neg = len(y) - pos
+    if not pos or not neg:
+        return None
+    start, stop = min(0.0, float(scores.min()) - 1e-3), max(1.0, float(scores.max()) + 1e-3)
+    grid = np.array([round(start + i * step, 10) for i in range(max(1, math.ceil((stop - start) / step)) + 1)])
+    tp, fp = (len(s) - np.searchsorted(np.sort(s), grid, "left") for s in (scores[y == 1], scores[y == 0]))
+    precision, recall = tp / np.maximum(tp + fp, 1), tp / pos
+    both = precision + recall
+    f1 = np.where(both > 0, 2 * precision * recall / np.where(both > 0, both, 1.0), 0.0)
+    return float(grid[f1.argmax()]), float(grid[(tp / pos + (neg - fp) / neg - 1.0).argmax()])
 
 
 def bootstrap(scores: DataFrame, consensus: DataFrame, rounds: int = 1000, size: int | None = None, step: float = 0.01, seed: int = 42) -> DataFrame:
     """round, criterion, threshold: thresholds of resampled labels. Rounds with one class only have no row.
 
-    The labels of a study are few (a human wrote each); the table of draws has at most rounds x size rows.
+    The labels of a study are few (a human wrote each): their scores and classes go to each task, 16 bytes a label, and
+    a task draws and sweeps its rounds one by one, so no draw is ever stored.
     """
+    if not 0 < step <= 1:
+        raise ValueError("step must be in (0, 1]")
     spark = scores.sparkSession
-    labels = gold(consensus)
-    rows = [(r["paper_id"], r["y"]) for r in labels.orderBy("paper_id").collect()]
+    rows = gold(consensus).join(scores.select(F.col("id").alias("paper_id"), "score"), "paper_id", "left").orderBy("paper_id").select("score", "y").collect()
     if not rows:
         raise ValueError("no labelled papers in the consensus")
-    table = spark.createDataFrame(draws(rows, rounds, size or len(rows), seed), "round int, paper_id long")
-    pairs = table.join(labels, "paper_id").join(scores.select(F.col("id").alias("paper_id"), "score"), "paper_id").select("round", "score", "y")
-    return sweep(pairs, ["round"], "f1", step).select("round", F.lit("f1").alias("criterion"), "threshold").union(
-        sweep(pairs, ["round"], "youden", step).select("round", F.lit("youden").alias("criterion"), "threshold"))
+    value = np.array([np.nan if r["score"] is None else r["score"] for r in rows], "float64")
+    y = np.array([r["y"] for r in rows], "int64")
+    k = size or len(rows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.RandomState()
+        for batch in batches:
+            out = []
+            for b, words, place in zip(batch["round"], batch["state"], batch["place"]):
+                rng.set_state(("MT19937", np.frombuffer(words, "<u4").astype(np.uint32), int(place)))
+                drawn = np.zeros(len(y), bool)
+                drawn[np.floor(rng.random_sample(k) * len(y)).astype("int64")] = True
+                drawn &= ~np.isnan(value)
+                if best := best_thresholds(value[drawn], y[drawn], step):
+                    out += [(b, "f1", best[0]), (b, "youden", best[1])]
+            yield pd.DataFrame(out, columns=["round", "criterion", "threshold"])
+
+    return spark.createDataFrame(states(rounds, k, seed), "round int, state binary, place int").mapInPandas(run, "round int, criterion string, threshold double")
 
 
 def intervals(thresholds: DataFrame) -> DataFrame:
@@ -197,3 +239,15 @@ def intervals(thresholds: DataFrame) -> DataFrame:
     n = F.size("t")
     pick = lambda q: F.get("t", F.floor(n * F.lit(q)).cast("int"))
     return s.select("criterion", n.alias("n"), pick(0.025).alias("low"), pick(0.975).alias("high"), F.get("t", F.floor(n / 2).cast("int")).alias("median"))
+
+
+def at_medians(bounds: DataFrame, scores: DataFrame, consensus: DataFrame) -> DataFrame:
+    """``bounds`` (one row for each criterion) with precision, recall and f1 of all labelled papers at the median
+    threshold; a paper without a score counts as 0."""
+    pairs = gold(consensus).join(scores.select(F.col("id").alias("paper_id"), "score"), "paper_id", "left").select(F.coalesce("score", F.lit(0.0)).alias("score"), "y")
+    over = F.col("score") >= F.col("median")
+    n = pairs.crossJoin(F.broadcast(bounds)).groupBy(*bounds.columns).agg(  # two rows
+        F.count_if(over & (F.col("y") == 1)).alias("tp"), F.count_if(over & (F.col("y") == 0)).alias("fp"), F.sum("y").alias("pos"))
+    tp, fp, p, r = F.col("tp"), F.col("fp"), F.col("precision"), F.col("recall")
+    n = n.withColumns({"precision": F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0), "recall": F.when(F.col("pos") > 0, tp / F.col("pos")).otherwise(0.0)})
+    return n.select(*bounds.columns, "precision", "recall", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))

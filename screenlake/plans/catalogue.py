@@ -368,7 +368,8 @@ def threshold_youden(spark, d):
 @query()
 def bootstrap_intervals(spark, d):
     scores = table(spark, d, "evals").where("run_id = 1").selectExpr("paper_id as id", "score")
-    return scoring.intervals(scoring.bootstrap(scores, table(spark, d, "gold"), rounds=100))
+    gold = table(spark, d, "gold")
+    return scoring.at_medians(scoring.intervals(scoring.bootstrap(scores, gold)), scores, gold)
 
 
 @query()

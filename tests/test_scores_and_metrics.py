@@ -5,6 +5,7 @@ import pytest
 
 from screenlake.functions.topic import clean
 from screenlake.operators import metrics, scoring
+from screenlake.plans import catalogue
 
 
 def test_bm25_equals_the_formula(spark):
@@ -75,6 +76,52 @@ def test_evaluate_and_bootstrap(spark):
     assert ci["f1"]["n"] <= 50 and 0.1 < ci["f1"]["low"] <= ci["f1"]["median"] <= ci["f1"]["high"] <= 0.9
 
 
+def first_best(pairs, criterion):
+    """As the reference sweeps: the first strict maximum."""
+    pos = sum(y for _, y in pairs)
+    neg = len(pairs) - pos
+    if not pos or not neg:
+        return None
+    start, stop = min(0.0, min(s for s, _ in pairs) - 1e-3), max(1.0, max(s for s, _ in pairs) + 1e-3)
+    best = (-1.0, None)
+    for i in range(max(1, math.ceil((stop - start) / 0.01)) + 1):
+        t = round(start + i * 0.01, 10)
+        tp, fp = sum(s >= t and y for s, y in pairs), sum(s >= t and not y for s, y in pairs)
+        p, r = (tp / (tp + fp) if tp + fp else 0.0), tp / pos
+        v = (2 * p * r / (p + r) if p + r else 0.0) if criterion == "f1" else r + (neg - fp) / neg - 1.0
+        if v > best[0]:
+            best = v, t
+    return best[1]
+
+
+def test_bootstrap_equals_the_loop(spark):
+    rng = random.Random(8)
+    labels = [(i, rng.choice(["in-scope", "hybrid", "out-of-scope", "disagree"])) for i in range(24)]
+    score = {i: rng.choice([rng.uniform(-0.3, 1.2), round(rng.uniform(0, 1), 2)]) for i in range(24) if i % 11}
+    gold = {i: int(c == "in-scope") for i, c in labels if c != "disagree"}
+    draw, ends = random.Random(42), {"f1": [], "youden": []}
+    for _ in range(1000):
+        pairs = [(score[i], y) for i, y in dict(draw.choices(list(gold.items()), k=len(gold))).items() if i in score]
+        for c in ends:
+            if (t := first_best(pairs, c)) is not None:
+                ends[c].append(t)
+    scores, consensus = spark.createDataFrame(list(score.items()), "id long, score double"), spark.createDataFrame(labels, "paper_id long, consensus_label string")
+    got = scoring.at_medians(scoring.intervals(scoring.bootstrap(scores, consensus)), scores, consensus).collect()
+    assert {r["criterion"] for r in got} == set(ends)
+    for r in got:
+        t = sorted(ends[r["criterion"]])
+        cut = t[len(t) // 2]
+        assert (r["n"], r["low"], r["high"], r["median"]) == (len(t), t[int(0.025 * len(t))], t[int(0.975 * len(t))], cut)
+        tp, fp = (sum(score.get(i, 0) >= cut and y == k for i, y in gold.items()) for k in (1, 0))
+        p, q = (tp / (tp + fp) if tp + fp else 0.0), tp / sum(gold.values())
+        assert all(abs(a - b) < 1e-12 for a, b in zip((r["precision"], r["recall"], r["f1"]), (p, q, 2 * p * q / (p + q) if p + q else 0.0)))
+
+
+def test_bootstrap_query_has_all_rounds(spark):
+    got = catalogue.QUERIES["bootstrap_intervals"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 2 and all(900 < r["n"] <= 1000 and 0 <= r["f1"] <= 1 for r in got)
+
+
 def from_matrix(spark, matrix):
     names = ("in-scope", "out-of-scope", "hybrid")
     rows, i = [], 0
