@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,39 +31,99 @@ def find_existing(refs: DataFrame, papers: DataFrame, key: str = "ref_id") -> Da
     return by_doi.unionByName(titled.where("paper_id is not null")).unionByName(squashed)
 
 
-def title_blocks(title: str) -> list[str]:
-    """Keys under which two titles of high similarity meet: their words of four letters or more, or all of them."""
-    words = sorted(set(title.split()))
-    return [w for w in words if len(w) >= 4] or words or [""]
+def plain_title(title: str | None) -> str:
+    return " ".join((title or "").split()).lower()
+
+
+@F.pandas_udf(T.StringType())
+def folded(titles: pd.Series) -> pd.Series:
+    return titles.map(fold_title)
+
+
+@F.pandas_udf(T.StringType())
+def plain(titles: pd.Series) -> pd.Series:
+    return titles.map(plain_title)
+
+
+def shared_grams(total: int, q: int, least: float) -> int:
+    """How many substrings of length ``q`` two strings of ``total`` characters together share at least if their ratio
+    is ``least`` or more.
+
+    The ratio is 2 m / total for m characters in common blocks, and total - 2 m characters lie outside of them, so there
+    is at most one block more than that; each block loses q - 1 places.
+    """
+    m = math.ceil(least * total / 2 - 1e-9)
+    return m - (q - 1) * (total - 2 * m + 1)
+
+
+@lru_cache(maxsize=None)
+def prefixes(n: int, least: float) -> tuple[tuple[int, int], ...]:
+    """(q, k): a string of ``n`` characters meets every string of a ratio of ``least`` or more under one of its first k
+    substrings of length q, in whatever order both sides list them; q is the longest that the length of the pair allows."""
+    need: dict[int, int] = {}
+    for other in range(max(1, math.ceil(least * n / (2 - least) - 1e-9)), math.floor(n * (2 - least) / least + 1e-9) + 1):
+        q = next(q for q in (3, 2, 1) if q == 1 or shared_grams(n + other, q, least) >= 1)
+        need[q] = min(need.get(q, n), shared_grams(n + other, q, least))
+    return tuple((q, n - q + 1 - t + 1) for q, t in need.items())
+
 
+def _grams(keys: DataFrame, least: float) -> DataFrame:
+    """k, n, q, g, keep: each substring of length q of each k with the number of its occurrence."""
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def blocks(titles: pd.Series) -> pd.Series:
-    return titles.map(lambda t: title_blocks(fold_title(t)))
+    @F.pandas_udf("array<struct<q:int,g:string,keep:int>>")
+    def listed(titles: pd.Series) -> pd.Series:
+        def one(t: str) -> list[dict]:
+            if not t:
+                return [{"q": 0, "g": "", "keep": 1}]
+            out = []
+            for q, keep in prefixes(len(t), least):
+                seen: Counter[str] = Counter()
+                for i in range(len(t) - q + 1):
+                    g = t[i : i + q]
+                    seen[g] += 1
+                    out.append({"q": q, "g": f"{seen[g]} {g}", "keep": keep})
+            return out
+
+        return titles.map(one)
+
+    return keys.select("k", F.char_length("k").alias("n"), F.explode(listed("k")).alias("x")).select("k", "n", "x.q", "x.g", "x.keep")
 
 
 def first_title_match(refs: DataFrame, works: DataFrame, key: str = "ref_id", least: float = 0.85, years: int = 1) -> DataFrame:
     """(key, work_id, similarity): for refs (key, title, year) the first of the works (work_id, title, year, rank)
     whose title is similar enough and whose year is within ``years`` where both are known."""
-    pairs = _candidates(refs, works, key).withColumn("similarity", title_similarity("work_title", F.lower("title")))
+    pairs = _similar(refs.withColumn("k", folded(F.lower("title"))), works.withColumn("k", folded("title")), key, title_similarity, least)
     near = F.col("year").isNull() | F.col("work_year").isNull() | (F.abs(F.col("year") - F.col("work_year")) <= years)
-    hits = pairs.where((F.col("similarity") >= least) & near)
+    hits = pairs.where(near)
     return hits.groupBy(key).agg(F.min(F.struct("rank", "work_id", "similarity")).alias("m")).select(key, "m.work_id", "m.similarity")
 
 
 def best_title_match(refs: DataFrame, works: DataFrame, key: str = "ref_id", least: float = 0.85) -> DataFrame:
     """(key, work_id, similarity): the most similar work, the earliest of equals; years don't count."""
-    pairs = _candidates(refs, works, key).withColumn("similarity", plain_similarity("work_title", "title"))
-    hits = pairs.where(F.col("similarity") >= least)
+    hits = _similar(refs.withColumn("k", plain("title")), works.withColumn("k", plain("title")), key, plain_similarity, least)
     return hits.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("rank")).alias("back"), "work_id")).alias("m")).select(key, "m.work_id", "m.similarity")
 
 
-def _candidates(refs: DataFrame, works: DataFrame, key: str) -> DataFrame:
-    """Pairs that share a word: titles of a ratio of 0.85 or more without a common word of four letters don't occur in
-    practice; pass ``works`` of one search at a time for an exhaustive comparison."""
-    r = refs.select(key, "title", "year").withColumn("b", F.explode(blocks("title")))
-    w = works.select("work_id", F.col("title").alias("work_title"), F.col("year").alias("work_year"), "rank").withColumn("b", F.explode(blocks("work_title")))
-    return r.join(w, "b").drop("b").dropDuplicates([key, "work_id"])
+def _similar(refs: DataFrame, works: DataFrame, key: str, similarity: Callable, least: float) -> DataFrame:
+    """key, year, work_id, work_year, rank, similarity of all pairs whose titles ``k`` have a ratio of ``least`` or more.
+
+    Different titles are compared once. Candidates share one of their rarest substrings, of so many that no pair of that
+    ratio is missed, and differ in length by no more than it allows.
+    """
+    r = refs.select(key, "year", F.col("k").alias("rk"))
+    w = works.select("work_id", F.col("year").alias("work_year"), "rank", F.col("k").alias("wk"))
+    left, right = r.select(F.col("rk").alias("k")).distinct(), w.select(F.col("wk").alias("k")).distinct()
+    if least <= 0:
+        pairs = left.select(F.col("k").alias("rk")).crossJoin(right.select(F.col("k").alias("wk")))
+    else:
+        a, b = _grams(left, least), _grams(right, least)
+        often = a.select("q", "g").union(b.select("q", "g")).groupBy("q", "g").agg(F.count("*").alias("often"))
+        place = F.row_number().over(Window.partitionBy("k", "q").orderBy("often", "g"))  # at most a title's length
+        rare = lambda x: x.join(often, ["q", "g"]).withColumn("place", place).where("place <= keep").select("k", "n", "q", "g")
+        a, b = (rare(x).withColumnsRenamed({"k": k, "n": n}) for x, k, n in ((a, "rk", "rn"), (b, "wk", "wn")))
+        pairs = a.join(b, ["q", "g"]).where(2 * F.least("rn", "wn") >= F.lit(least) * (F.col("rn") + F.col("wn")) - 1e-9).select("rk", "wk").distinct()
+    pairs = pairs.withColumn("similarity", similarity("wk", "rk")).where(F.col("similarity") >= least)
+    return r.join(pairs, "rk").join(w, "wk").drop("rk", "wk")
 
 
 def listed_title_match(lists: DataFrame, least: float = 0.85, years: int = 1) -> DataFrame:

@@ -1,9 +1,11 @@
+import difflib
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from screenlake.functions import text as X
 from screenlake.operators import citations, identity, screening, upserts
 from screenlake.plans.engine import TOOLS, Engine, schema
 from screenlake.plans.sql import prepared, select_only
@@ -88,6 +90,33 @@ def test_lookup_order(spark):
     assert {r["ref_id"]: r["paper_id"] for r in identity.find_existing(refs, papers).collect()} == {1: 1, 2: 1, 4: 4}
 
 
+def test_short_titles_with_typos(spark):
+    rng = random.Random(5)
+    base = ["", "map of the pufs", "cryptanalysis", "a", "ab", "on puf aging", "A survey of ring oscillators", "modelling attacks on arbiters", "Élan vital of the SRAM cell", "aaaa aaaa aaaa"]
+
+    def typo(t):
+        t = list(t)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randint(0, len(t))
+            t[i : i + rng.randint(0, 1)] = rng.choice(["", "s", "y", " "])
+        return "".join(t)
+
+    titles = [(i, typo(base[i % len(base)]), None) for i in range(80)] + [(90, "map of the puf", None), (91, "cryptanalysys", None), (92, "ab" * 120, None), (93, None, None)]
+    works = [(100 + i, typo(base[i % len(base)]), None, i) for i in range(60)] + [(200, "map of the pufs", None, 200), (201, "cryptanalysis", None, 201), (202, "ab" * 119 + "x", None, 202)]
+    r, w = spark.createDataFrame(titles, "ref_id long, title string, year int"), spark.createDataFrame(works, "work_id long, title string, year int, rank int")
+    plain = lambda t: " ".join((t or "").split()).lower()
+    for least in (0.85, 0.6):
+        first, best = {}, {}
+        for i, t, _ in titles:
+            for j, x, _, k in works:
+                if (s := difflib.SequenceMatcher(None, X.fold_title(x), X.fold_title((t or "").lower())).ratio()) >= least:
+                    first[i] = min(first.get(i, (k, j, s)), (k, j, s))
+                if (s := difflib.SequenceMatcher(None, plain(x), plain(t)).ratio()) >= least:
+                    best[i] = max(best.get(i, (s, -k, j)), (s, -k, j))
+        assert {x["ref_id"]: (x["work_id"], x["similarity"]) for x in identity.first_title_match(r, w, least=least).collect()} == {i: m[1:] for i, m in first.items()}
+        assert {x["ref_id"]: (x["work_id"], x["similarity"]) for x in identity.best_title_match(r, w, least=least).collect()} == {i: (m[2], m[0]) for i, m in best.items()}
+
+
 def test_titles_within_a_year(spark):
     refs = spark.createDataFrame([(1, "A study of ring oscillators.", 2000), (2, "Nothing alike", None)], "ref_id long, title string, year int")
     w = spark.createDataFrame([(1, "A Study of Ring-Oscillators", 2004, 0), (2, "A study of ring oscillators", 2001, 1), (3, "A study of ring oscillators", None, 2)], "work_id long, title string, year int, rank int")
