@@ -1,8 +1,8 @@
 """HTML extraction by tree scoring.
 
 Paragraphs pass points for their length and commas to their ancestors (all to the parent, half to the grandparent,
-a third and less further up), discounted by link density. The best container and those of its siblings that read
-like prose are kept; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments never
+a third and less further up), discounted by link density. The best container, or the lowest ancestor that it shares
+with other strong ones, and those of its siblings that read like prose are kept; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments never
 count.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -141,6 +141,28 @@ def blocks(page: str) -> list[tuple[Node, str, int, str]]:
     return out
 
 
+def shared(best: Node, pool: list[Node], worth: Callable[[Node], float]) -> Node:
+    """``best``, or where other containers compare with it that neither lie on its line nor in a sibling that is kept
+    anyway, the lowest ancestor that has them all."""
+    bar = max(10.0, 0.2 * worth(best))
+    least = min(bar, worth(best) / 2)
+    line = [best]
+    while line[-1].up:
+        line.append(line[-1].up)
+    place = {n: i for i, n in enumerate(line)}
+    top = 0
+    for n in pool:
+        if not worth(n) or worth(n) < least or n in place:
+            continue
+        below = n
+        while below.up not in place:
+            below = below.up
+        at = place[below.up]
+        if at > 1 or at == 1 and worth(below) < bar:
+            top = max(top, at)
+    return line[top]
+
+
 def extract(page: str | None) -> str:
     """The main text: blocks in page order joined by two line feeds; empty without any."""
     if not page:
@@ -180,6 +202,8 @@ def extract(page: str | None) -> str:
         if climb.tag in ("article", "main"):
             best = climb
         climb = climb.up
+    if best.tag not in ("article", "main"):
+        best = shared(best, pool, worth)
     bar = max(10.0, 0.2 * worth(best))
     kept = []
     for node, text, linked, tag in found:

@@ -190,6 +190,22 @@ def test_html_odd_pages(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(3, 3), (1, 1), (3, 3, 3), (9, 3), (3, 9), (9, 4, 3, 3)])
+def test_html_nested_sections_without_article(sizes):
+    texts = [[f"Paragraph {j} of section {i}, with commas, and enough words to count as prose of the page." for j in range(n)] for i, n in enumerate(sizes)]
+    row = lambda ps: "<div class='row'><div class='inner'>" + "".join(f"<p>{p}</p>" for p in ps) + "</div></div>"
+    page = "<body><nav><a href='/'>Home</a> menu</nav><div><a href='/a'>One link of many</a> <a href='/b'>another link of many</a></div><div id='page'>%s</div><div><p>Short blurb.</p></div><div class='comments'>%s</div></body>"
+    got = html_text.extract(page % ("".join(map(row, texts)), row(["Nice post, really, I liked it a lot, thanks, and so on, and so on, and so on."] * 9)))
+    assert got == "\n\n".join(p for ps in texts for p in ps)
+
+
+def test_html_weak_text_elsewhere_is_no_reason_to_climb():
+    body = "".join(f"<p>Paragraph {j}, with commas, and enough words to count as prose of the page.</p>" for j in range(9))
+    page = f"<body><div><div><p>All about us, in a line of text.</p></div></div><div><div>{body}</div></div></body>"
+    assert html_text.extract(page).startswith("Paragraph 0") and "about us" not in html_text.extract(page)
+    assert html_text.extract("<div><div>Short a</div></div><div><div>Short b</div></div>") == "Short a"
+
+
 # 6
 
 
