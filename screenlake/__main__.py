@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def show(df) -> None:
-    for r in df.limit(1000).collect():
+    for r in df.toLocalIterator():
         print(json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False))
 
 

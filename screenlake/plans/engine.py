@@ -97,7 +97,7 @@ class Engine:
         return self.spark.createDataFrame(list(readonly.prepared(statement_name).items()), "name string, sql string")
 
     def call(self, name: str, arguments: dict | None = None) -> list[dict]:
-        """Rows of a tool; unknown tools or arguments and bad values raise ValueError."""
+        """All rows of a tool; unknown tools or arguments and bad values raise ValueError."""
         if name not in TOOLS:
             raise ValueError(f"unknown tool {name!r}")
         given = dict(arguments or {})
@@ -106,7 +106,7 @@ class Engine:
             raise ValueError(f"unknown arguments {sorted(extra)}")
         if missing := [r for r in required if r not in given]:
             raise ValueError(f"missing arguments {missing}")
-        return [r.asDict(recursive=True) for r in getattr(self, name)(**given).limit(10000).collect()]
+        return [r.asDict(recursive=True) for r in getattr(self, name)(**given).toLocalIterator()]
 
     def evaluate(self, method: str = "hybrid", threshold: float | None = None, run: int = 1, store: bool = True, **options) -> DataFrame:
         """Scores and classes of all papers; with ``store`` also relevance_evals, papers and the run's evals."""

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from screenlake.__main__ import show
 from screenlake.functions import text as X
 from screenlake.operators import citations, identity, screening, upserts
 from screenlake.plans.engine import TOOLS, Engine, schema
@@ -162,6 +163,13 @@ def test_works(spark):
     assert src.by_dois(spark.createDataFrame([("10.1/x",), ("10.9",)], "doi string")).count() == 1 and src.references(spark.createDataFrame([("10.1/x",)], "doi string"), "forward").count() == 0
 
 
+def test_tools_and_command_line_give_all_rows(spark, tmp_path, capsys):
+    rows = Engine(spark, Store(spark, str(tmp_path))).call("execute_select", {"sql": "SELECT explode(sequence(1, 10001)) AS n ORDER BY n"})
+    assert [r["n"] for r in rows] == list(range(1, 10002))
+    show(spark.range(1001).orderBy("id"))
+    assert [json.loads(x)["id"] for x in capsys.readouterr().out.splitlines()] == list(range(1001))
+
+
 def test_pace():
     slept = []
     p = works.Pace(interval=1, jitter=0, sleep=slept.append, clock=lambda: 100.0)
