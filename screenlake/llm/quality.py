@@ -47,8 +47,10 @@ def dup_lines(text: bytes) -> int:
 
 
 def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The five counts, and the forest's features: mean word length and the logged rates of symbols and repeated words."""
+    """The five counts, and the forest's features: mean word length and the logged rates of symbols, repeated words and
+    repeated lines (of lines that are not blank)."""
     counts = np.zeros((len(texts), 5), np.int64)
+    lines = np.ones(len(texts), np.int64)
     for a, b in slices(np.array([len(t) for t in texts], np.int64), 1 << 20):
         hashes, per = words(texts[a:b], fold=False)
         at = 0
@@ -57,8 +59,10 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             chars = len(t.translate(None, GAPS).decode("utf-8", "replace"))
             counts[i] = n, chars, len(t) - len(t.translate(None, SYMBOLS)), dup_lines(t), repeat_words(hashes[at : at + n])
             at += n
+            if counts[i, 3]:
+                lines[i] = sum(bool(line.strip(GAPS)) for line in t.split(b"\n"))
     n = np.maximum(counts[:, 0], 1)
-    rates = counts[:, (2, 4)] / n[:, None]
+    rates = np.column_stack([counts[:, (2, 4)] / n[:, None], counts[:, 3] / lines])
     return counts, np.column_stack([counts[:, 1] / n, np.log1p(100 * rates)])
 
 

@@ -96,6 +96,16 @@ def test_forest_finds_held_out_anomalies(spark):
     assert sum(not r["kept"] for r in out if r["quality"] == 1) <= 0.02 * len(out)
 
 
+def test_forest_finds_repeated_lines(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    say = lambda bad: "\n".join(" ".join(word() for _ in range(8)) + bad * "\nRead more" for _ in range(rng.randint(10, 20)))
+    rows = [(i, say(i % 2), 1 - i % 2) for i in range(240)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    out = quality.judge(made, quality.train(made, made.where("doc_id < 160"))).where("doc_id >= 160").collect()
+    assert sum(not r["kept"] for r in out if not r["quality"]) >= 36 and sum(not r["kept"] for r in out if r["quality"]) <= 2
+
+
 # 3
 
 
