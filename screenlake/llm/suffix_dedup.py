@@ -364,13 +364,28 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def characters(part: bytes, first: bool, last: bool) -> bytes:
+    """A stretch of valid UTF-8 without the bytes of characters that are cut at its ends, the text's own ends apart."""
+    a, z = 0, len(part)
+    while not first and a < z and part[a] & 0xC0 == 0x80:
+        a += 1
+    if not last:
+        lead = z - 1
+        while lead >= a and part[lead] & 0xC0 == 0x80:
+            lead -= 1
+        if lead >= a and lead + (1 if part[lead] < 0xC0 else 2 if part[lead] < 0xE0 else 3 if part[lead] < 0xF0 else 4) > z:
+            z = lead
+    return part[a:z]
+
+
+def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """``docs`` plus removed (the maximal runs, in bytes of the input text) and kept (the remaining bytes, joined).
 
     A byte goes if a string of ``width`` bytes over it also starts anywhere else, in the same text or another one;
     strings are judged on the input. Null texts count as empty; texts under ``width`` bytes lose nothing; all of a
     repeated text of ``width`` bytes or more goes, in every row, null ids included. Input columns named removed or
     kept are replaced. Two copies of the texts are shuffled, one to cut out what must be sorted, one for the result.
+    With ``whole_characters`` kept has no bytes of characters that a cut has split.
     """
     stages = Stages(docs.sparkSession, "suffix-dedup")
     docs = docs.drop(*[c for c in ("removed", "kept") if c not in (id_col, text_col)])
@@ -391,7 +406,8 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
                 found = merged(s)
                 edges = [0, *[x for r in found for x in r], len(t)]
                 runs.append([{"a": a, "b": z} for a, z in found])
-                kept.append(b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2])) if found else t)
+                stay = [t[x:y] if not whole_characters else characters(t[x:y], x == 0, y == len(t)) for x, y in zip(edges[::2], edges[1::2])]
+                kept.append(b"".join(stay) if found else t)
             kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(runs, kind), pa.array(kept, pa.binary())], [*names, "removed", "kept"])
 
@@ -408,9 +424,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without its repeated passages; the bytes of a character that a cut has split go too."""
     apart, back = aside(docs, ["removed", "kept"])
-    out = dedup(apart)
-    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    out = out.withColumn("text", F.when(F.size("removed") == 0, F.col("text")).otherwise(whole))
+    out = dedup(apart, whole_characters=True)
+    out = out.withColumn("text", F.when(F.size("removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*back)

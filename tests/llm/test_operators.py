@@ -444,3 +444,14 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components(Stages(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 61)) and all(got[i] == 100 for i in range(100, 140)) and got[200] == got[201] == 200
+
+
+def test_passages_stage_keeps_own_replacement_characters(spark):
+    passage = "".join(random.Random(3).choice("abcdefgh ") for _ in range(300))
+    rows = [(1, "A \ufffd b \u00e9" + passage + "\u00e9 c \ufffd"), (2, "other \u0169" + passage + "\u00e8 \ufffdd"), (3, "no passage \ufffd")]
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {1: "A \ufffd b  c \ufffd", 2: "other  \ufffdd", 3: "no passage \ufffd"}
+    for cut in range(8):
+        part = "x\u00e9\U0001f600".encode()
+        assert suffix_dedup.characters(part[:cut], True, False) == part[:cut].decode("utf-8", "ignore").encode()
+        assert suffix_dedup.characters(part[cut:], False, True) == part[cut:].decode("utf-8", "ignore").encode()
