@@ -39,4 +39,6 @@ def components(stages: Stages, edges: DataFrame, name: str = "cc") -> DataFrame:
     final = stages.save(f"{name}-f", final)
     least = final.groupBy("label").agg(F.min("node").alias("component"))
     least = least.select("label", F.least("label", "component").alias("component"))
-    return final.join(least, "label").select("node", "component")
+    out = stages.save(f"{name}-cc", final.join(least, "label").select("node", "component"))
+    stages.drop(f"{name}-e{level}", *[f"{name}-m{k}" for k in range(level)], f"{name}-f")
+    return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -25,30 +24,51 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
+#: Makes Spark delete an execution's shuffle files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stages:
-    """Written intermediate results: each ``save`` cuts the lineage, so a lost executor repeats one stage only."""
+    """Written intermediate results: each ``save`` cuts the lineage, so a lost executor repeats one stage only.
+
+    ``save`` deletes the shuffle files of its own execution; ``finish`` deletes the steps that a result was made of.
+    What is left goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: list[str] = []
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        del df
-        self.release()
-        return out
+        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEAN, "false")
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN, before)
+        if not self.names:
+            fs, root = self._fs(self.root)
+            fs.deleteOnExit(root)
+        self.names.append(name)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of finished stages now instead of at some later collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+    def drop(self, *names: str) -> None:
+        for name in names:
+            fs, p = self._fs(f"{self.root}/{name}")
+            fs.delete(p, True)
+            self.names.remove(name)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def finish(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """``df`` written, and every step before it deleted."""
+        steps = list(self.names)
+        out = self.save(name, df)
+        self.drop(*steps)
+        return out
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "nth") -> DataFrame:
