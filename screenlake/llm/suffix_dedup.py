@@ -2,10 +2,11 @@
 
 A string of ``width`` bytes is fingered by its anchor: the k bytes of least hash inside it. Equal strings have equal
 anchors at equal places, so strings are dealt by anchor, and only anchors that occur twice or more matter. Stretches
-around such anchors that are equal as a whole need no sorting. The others meet in tasks, each of which builds the
+around such anchors meet in tasks, one for each content with the number of its occurrences. Each task builds the
 suffix array of its stretches by two-stage sorting: suffixes smaller than their successors are sorted directly, the
-rest is induced from them bucket by bucket; adjacent common prefixes of ``width`` or more mark repeated strings.
-Anchors with more stretches than a task should hold are dealt anew by longer and longer shared cores (``refined``).
+rest is induced from them bucket by bucket. A run of suffixes whose adjacent common prefixes reach ``width`` is one
+string, and it is repeated if the run's stretches occur twice or more together. Stretches of an anchor that has more
+of them than ``group`` are cut into parts that share more bytes than the anchor (``parted``) before the same sort.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ from screenlake.llm.shared import Stages, aside, mix, slices
 @dataclass(frozen=True)
 class Options:
     """``piece``: bytes of text that are searched for anchors at a time; ``batch``: bytes of stretches sorted at a
-    time, more only for a single group; ``group``: stretches of one anchor that a task sorts together."""
+    time, more only for a single group; ``group``: different stretches of one anchor that go to the sort uncut."""
 
     width: int = 200
     k: int = 64
     piece: int = 1 << 19
     batch: int = 1 << 20
-    group: int = 2000
+    group: int = 512
 
     @property
     def span(self) -> int:
@@ -90,47 +91,36 @@ def anchors(texts: list[bytes], o: Options) -> Iterator[tuple[np.ndarray, ...]]:
 # --- two-stage suffix sorting --------------------------------------------------------------------------------------
 
 
-def by_prefix(buf: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def by_prefix(buf: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """``at`` in the order of the ``depth`` bytes from each place; only ties of 8 bytes are looked at further."""
-    padded = np.concatenate((buf, np.zeros(depth + 16, np.uint8)))
-
-    def eight(p: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(p), np.uint64)
-        for j in range(8):
-            out = (out << np.uint64(8)) | padded[p + j]
-        return out
-
-    key = eight(at)
-    order = np.argsort(key, kind="stable")
+    eight = np.ndarray((len(buf) + depth,), ">u8", np.concatenate((buf, np.zeros(depth + 8, np.uint8))), 0, (1,))
+    key = eight[at].astype(np.uint64)
+    order = np.argsort(key)
     at, key = at[order], key[order]
     tie = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))  # number of the run of equals
     live = np.arange(len(at))
-    off = 8
-    while off < depth:
+    for off in range(8, depth, 8):
         run = tie[live]
         same = np.concatenate(([False], run[1:] == run[:-1], [False]))
         live = live[same[1:] | same[:-1]]
         if not len(live):
             break
-        key, run = eight(at[live] + off), tie[live]
+        key, run = eight[at[live] + off].astype(np.uint64), tie[live]
         order = np.lexsort((key, run))
         at[live], key = at[live][order], key[order]
         part = np.concatenate(([True], (run[1:] != run[:-1]) | (key[1:] != key[:-1])))
         tie[live] = live[np.maximum.accumulate(np.where(part, np.arange(len(live)), 0))] + len(tie) * (off + 1)
-        off += 8
-    return at, tie
+    return at
 
 
 def smaller(buf: np.ndarray) -> np.ndarray:
     """Whether the suffix at each place is smaller than its successor; the last one counts as such."""
-    up = np.zeros(len(buf), bool)
-    differ = np.flatnonzero(buf[:-1] != buf[1:])
-    nxt = np.searchsorted(differ, np.arange(len(buf)))
-    inside = nxt < len(differ)
-    d = differ[np.minimum(nxt, max(len(differ) - 1, 0))] if len(differ) else np.zeros(len(buf), np.int64)
-    if len(differ):
-        up[inside] = buf[d[inside]] < buf[d[inside] + 1]
-    up[~inside] = True
+    n = len(buf)
+    up = np.ones(n, bool)
+    differ = np.where(buf[:-1] != buf[1:], np.arange(n - 1), n)
+    nxt = np.minimum.accumulate(differ[::-1])[::-1]  # where the run of one byte ends
+    inside = np.flatnonzero(nxt < n)
+    up[inside] = buf[nxt[inside]] < buf[nxt[inside] + 1]
     return up
 
 
@@ -154,7 +144,7 @@ def suffix_order(buf: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
         np.add.at(edge, np.minimum(stop[open_] + 1, n), -1)
         inside |= np.cumsum(edge)[:n] > 0
     direct = np.flatnonzero(inside & small)
-    direct, _ = by_prefix(buf, direct, depth)
+    direct = by_prefix(buf, direct, depth)
     bounds = np.searchsorted(buf[direct], np.arange(257))
     larger = inside & ~small
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -190,8 +180,9 @@ def suffix_order(buf: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     return order[wanted[order]]
 
 
-def repeated(texts: list[bytes], froms: np.ndarray, tos: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each text whether the strings that start at froms..tos occur twice or more among all of these."""
+def repeated(texts: list[bytes], froms: np.ndarray, tos: np.ndarray, times: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first and last start) of each run of strings, out of those that start at froms..tos of each text,
+    that occur twice or more; a text stands for as many equal ones as ``times`` says."""
     lengths = np.array([len(t) + 1 for t in texts])
     base = np.cumsum(lengths) - lengths
     buf = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
@@ -201,27 +192,28 @@ def repeated(texts: list[bytes], froms: np.ndarray, tos: np.ndarray, width: int)
     wanted = np.cumsum(edge)[:-1] > 0
     order = suffix_order(buf, wanted, width)
     # adjacent common prefixes, as far as the width
+    eight = np.ndarray((len(buf) + width,), "<u8", np.concatenate((buf, np.zeros(width + 8, np.uint8))), 0, (1,))
     same = np.ones(max(len(order) - 1, 0), bool)
     live = np.arange(len(same))
     for off in range(0, width, 8):
-        size = min(8, width - off)
-        equal = np.ones(len(live), bool)
-        for j in range(size):
-            equal &= buf[order[live] + off + j] == buf[order[live + 1] + off + j]
+        off = min(off, width - 8)
+        equal = eight[order[live] + off] == eight[order[live + 1] + off]
         same[live[~equal]] = False
         live = live[equal]
-    hit = np.zeros(len(buf), bool)
+    hit = np.zeros(len(buf) + 1, bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
-    return [hit[b + f : b + t + 1] for b, f, t in zip(base.tolist(), froms.tolist(), tos.tolist())]
+    hit[:-1] |= wanted & (np.repeat(times, lengths) > 1)
+    ends = np.flatnonzero(hit[1:] != hit[:-1]) + 1
+    ends = np.concatenate(([0], ends)) if hit[0] else ends
+    first, last = ends[::2], ends[1::2] - 1
+    row = np.searchsorted(base, first, "right") - 1
+    return row, first - base[row], last - base[row]
 
 
 # --- the distributed operator --------------------------------------------------------------------------------------
 
-
-def _runs(mask: np.ndarray, shift: int, width: int) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-    return [(shift + int(a), shift + int(b) - 1 + width) for a, b in zip(edge[::2], edge[1::2])]
+STRETCH = "core long, own long, lo smallint, hi smallint, left int, c long, stretch binary"
 
 
 def covered(docs: DataFrame, stages: Stages, o: Options) -> DataFrame:
@@ -232,125 +224,113 @@ def covered(docs: DataFrame, stages: Stages, o: Options) -> DataFrame:
             texts = b.column("text").to_pylist()
             for number, at, first, last, key, whole in anchors(texts, o):
                 rows = pa.array(number)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("th").take(rows), pa.array(key), pa.array(whole), pa.array(at), pa.array((at - last).astype(np.int16)), pa.array((at - first).astype(np.int16))], ["doc_id", "th", "key", "whole", "at", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("th").take(rows), pa.array(key), pa.array(whole), pa.array(at), pa.array((at - last).astype(np.int16)), pa.array((at - first).astype(np.int16))], ["doc_id", "th", "core", "own", "at", "lo", "hi"])
 
-    found = docs.mapInArrow(scan, "doc_id long, th long, key long, whole long, at long, lo smallint, hi smallint")
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("n > 1")
+    found = stages.save("found", docs.mapInArrow(scan, "doc_id long, th long, core long, own long, at long, lo smallint, hi smallint"))
     # written first: the join then has plain shuffles on both sides, and a hot anchor's rows can be split
-    keys = stages.save("keys", keys.select("key", (F.col("w0") != F.col("w1")).alias("mixed")))
-    cand = found.join(keys, "key")
-    cand = stages.save("candidates", cand)
-    # stretches that are equal as a whole are repeated as a whole
-    twin = cand.where("mixed").groupBy("key", "whole").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "at")).alias("rep"))
-    twin = stages.save("twins", twin)
-    mixed = stages.save("mixed", cand.where("mixed").join(twin, ["key", "whole"]))
-    span = F.struct((F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + o.width).alias("b"))
-    sure = cand.where("not mixed").select("doc_id", "th", span.alias("span")).union(mixed.where("c > 1").select("doc_id", "th", span.alias("span")))
-    # the rest is sorted, with one row for each set of equal stretches
-    rest = mixed.where((F.col("c") == 1) | (F.struct("doc_id", "th", "at") == F.col("rep")))
-    rest = rest.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "at", "lo", "hi", "c")).alias("parts"))
+    cores = stages.save("cores", found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
+    cand = stages.save("candidates", found.join(cores, "core"))
+    stages.drop("found", "cores")
+    # one row for each content, with the number of its occurrences; it is cut out of the least of its documents
+    classes = cand.groupBy("core", "own").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "at", "lo", "hi")).alias("r"))
+    parts = classes.groupBy("r.doc_id", "r.th").agg(F.collect_list(F.struct("core", "own", "r.at", "r.lo", "r.hi", "c")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for d, th, text, parts in zip(*[b.column(c).to_pylist() for c in ("doc_id", "th", "text", "parts")]):
-                for p in parts:
-                    for col, v in zip(out, (d, th, p["key"], p["at"], p["lo"], p["hi"], p["c"], text[p["at"] - p["hi"] : p["at"] - p["lo"] + o.width])):
-                        col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "th", "key", "at", "lo", "hi", "c", "stretch"])
-
-    pieces = docs.join(rest, ["doc_id", "th"]).select("doc_id", "th", "text", "parts").mapInArrow(cut, "doc_id long, th long, key long, at long, lo smallint, hi smallint, c long, stretch binary")
-    pieces = stages.save("pieces", pieces.withColumn("core", F.lit(0).cast("long")))
-    pieces, more = refined(pieces, stages, o)
-    pieces = pieces.repartition("key", "core").sortWithinPartitions("key", "core")
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, key = 0, None
-
-        def done() -> pa.RecordBatch:
-            hi, lo = np.array([r[4] for r in held], np.int64), np.array([r[3] for r in held], np.int64)
-            lefts = np.array([r[7] for r in held], np.int64)
-            hits = repeated([r[6] for r in held], lefts - hi, lefts - lo, o.width)
-            d, t, s = [], [], []
-            for row, hit in zip(held, hits):
-                if row[5] == 1 and hit.any():
-                    d.append(row[0])
-                    t.append(row[1])
-                    s.append([{"a": a, "b": b} for a, b in _runs(hit, row[2] - row[4], o.width)])
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(s, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["doc_id", "th", "spans"])
-
-        for b in batches:
-            for k, core, *row in zip(*[b.column(c).to_pylist() for c in ("key", "core", "doc_id", "th", "at", "lo", "hi", "c", "stretch", "left")]):
-                if (k, core) != key and size >= o.batch:
-                    yield done()
-                    held, size = [], 0
-                key = k, core
-                held.append(tuple(row))
-                size += len(row[6])
-        if held:
+            for text, parts in zip(b.column("text"), b.column("parts")):
+                p = {f: parts.values.field(f) for f in ("core", "own", "at", "lo", "hi", "c")}
+                at, lo, hi = (p[f].to_numpy().astype(np.int64) for f in ("at", "lo", "hi"))
+                raw = text.as_buffer()
+                own = [raw[f:t].to_pybytes() for f, t in zip((at - hi).tolist(), (at - lo + o.width).tolist())]
+                yield pa.RecordBatch.from_arrays([p["core"], p["own"], p["lo"], p["hi"], pa.array(hi.astype(np.int32)), p["c"], pa.array(own, pa.binary())], ["core", "own", "lo", "hi", "left", "c", "stretch"])
+
+    rows = stages.save("stretches", docs.join(parts, ["doc_id", "th"]).select("text", "parts").mapInArrow(cut, STRETCH))
+    levels, links = parted(rows, stages, o)
+    spans = None
+    for n in reversed(range(len(levels))):
+        here = levels[n].repartition("core").sortWithinPartitions("core").mapInArrow(lambda batches: sort(batches, o), "core long, own long, a int, b int")
+        if spans is not None:
+            here = here.unionByName(links[n].join(spans, ["core", "own"]).select(F.col("of_core").alias("core"), F.col("of_own").alias("own"), "a", "b"))
+        spans = stages.save(f"spans{n}", here)
+    out = cand.join(spans, ["core", "own"]).select("doc_id", "th", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("span"))
+    return out.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
+
+
+def sort(batches: Iterator[pa.RecordBatch], o: Options) -> Iterator[pa.RecordBatch]:
+    """(core, own, a, b): runs of bytes, from and to places counted from the anchor, that repeated strings cover. Rows
+    come in the order of core; whole groups are taken together up to ``batch`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+
+    def done() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        lo, hi, left, c = (t.column(f).to_numpy().astype(np.int64) for f in ("lo", "hi", "left", "c"))
+        row, first, end = repeated(t.column("stretch").to_pylist(), left - hi, left - lo, c, o.width)
+        at = pa.array(row)
+        a, b = (first - left[row]).astype(np.int32), (end - left[row] + o.width).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*[t.column(f).take(at).combine_chunks() for f in ("core", "own")], pa.array(a), pa.array(b)], ["core", "own", "a", "b"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        core = b.column("core").to_numpy()
+        ends = np.cumsum([len(x) for x in b.column("stretch").to_pylist()])
+        new = np.flatnonzero(np.concatenate(([core[0] != last], core[1:] != core[:-1])))
+        before = np.concatenate(([0], ends))
+        at = 0
+        while True:
+            full = new[(new >= at) & (size + before[new] - before[at] >= o.batch)]
+            if not len(full):
+                break
+            held.append(b.slice(at, full[0] - at))
             yield done()
-
-    hits = pieces.select("key", "core", "doc_id", "th", "at", "lo", "hi", "c", "stretch", "left").mapInArrow(sort, "doc_id long, th long, spans array<struct<a:bigint,b:bigint>>")
-    for m in more:
-        sure = sure.union(m)
-    spans = sure.union(hits.select("doc_id", "th", F.explode("spans").alias("span")))
-    return spans.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
-
-
-def refined(pieces: DataFrame, stages: Stages, o: Options) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows (key, core, ..., left) with at most ``group`` rows for each (key, core), and spans (doc_id, th, span) found.
-
-    ``left``: the anchor's place inside the stretch. Rows of too large a group are cut by the strings' start into
-    quarters; the bytes that all strings of a quarter share become the core. Rows alone with their core go: their
-    strings occur once. Cuts equal as a whole are found at once, and one of them goes on. The last round, the fourth,
-    holds single strings, of which one row for each content goes on.
+            held, size, at = [], 0, int(full[0])
+        held.append(b.slice(at))
+        size += int(before[-1] - before[at])
+        last = core[-1]
+    if held:
+        yield done()
+
+
+def parted(rows: DataFrame, stages: Stages, o: Options) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Levels of stretches to sort, and for each level but the last the (core, own, of_core, of_own) of the parts that
+    its large groups were cut into.
+
+    ``left``: the anchor's place inside the stretch. A group of more than ``group`` stretches is cut by the strings'
+    start into quarters; the bytes that all strings of a quarter share become its parts' core. Parts of one content
+    become one row with their occurrences summed, and a part that is alone with its core goes: its strings occur once.
+    At the latest the fourth level has single strings, one row for each core.
     """
-    rows = pieces.withColumn("left", F.col("hi").cast("int"))
-    step = o.span
-    parts, more = [], []
-    turn = 0
-    while step > 1:
-        big = rows.groupBy("key", "core").agg(F.count("*").alias("n")).where(F.col("n") > o.group)
-        big = stages.save(f"big{turn}", big)
-        if not big.limit(1).count():
-            break
-        parts.append(rows.join(big.select("key", "core"), ["key", "core"], "left_anti"))
+    step, levels, links = o.span, [], []
+    while True:
+        turn = len(levels)
+        big = stages.save(f"big{turn}", rows.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > o.group).select("core")) if step > 1 else None
+        if big is None or not big.limit(1).count():
+            return [*levels, rows], links
+        levels.append(rows.join(big, "core", "left_anti"))
         step = max(1, -(-step // 4))
-        width, now = o.width, step
 
-        def split(batches: Iterator[pa.RecordBatch], width=width, now=now) -> Iterator[pa.RecordBatch]:
+        def split(batches: Iterator[pa.RecordBatch], width: int = o.width, now: int = step) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out: list[list] = [[] for _ in range(11)]
-                for key, core, d, th, at, lo, hi, c, text, left in zip(*[b.column(x).to_pylist() for x in ("key", "core", "doc_id", "th", "at", "lo", "hi", "c", "stretch", "left")]):
+                out: list[list] = [[] for _ in range(9)]
+                for core, mine, lo, hi, left, c, text in zip(*[b.column(x).to_pylist() for x in ("core", "own", "lo", "hi", "left", "c", "stretch")]):
                     for k in range(lo // now, hi // now + 1):
                         a, z = max(lo, k * now), min(hi, k * now + now - 1)
                         # strings start k*now .. k*now+now-1 before the anchor; all of them hold these bytes
                         shared = text[max(left - k * now, 0) : left - (k * now + now - 1) + width]
-                        mine = xxhash.xxh3_64_intdigest(shared, seed=k) - 2**63
-                        own = text[left - z : left - a + width]
-                        values = (key, mine, d, th, at, a, z, c, own, z, xxhash.xxh3_64_intdigest(own, seed=z) - 2**63)
+                        part = text[left - z : left - a + width]
+                        values = (xxhash.xxh3_64_intdigest(shared, seed=k) ^ (core & 2**64 - 1), xxhash.xxh3_64_intdigest(part, seed=z), a, z, z, c, part, core, mine)
                         for col, v in zip(out, values):
                             col.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["key", "core", "doc_id", "th", "at", "lo", "hi", "c", "stretch", "left", "own"])
-
-        cut = rows.join(big.select("key", "core"), ["key", "core"], "left_semi").select("key", "core", "doc_id", "th", "at", "lo", "hi", "c", "stretch", "left")
-        cut = cut.mapInArrow(split, "key long, core long, doc_id long, th long, at long, lo smallint, hi smallint, c long, stretch binary, left int, own long")
-        cut = stages.save(f"cut{turn}", cut)
-        many = cut.groupBy("key", "core").agg(F.count("*").alias("n")).where("n > 1")
-        cut = cut.join(many.select("key", "core"), ["key", "core"])
-        twin = cut.groupBy("key", "core", "own").agg(F.count("*").alias("twins"), F.min(F.struct("doc_id", "th", "at")).alias("rep"))
-        cut = stages.save(f"twin{turn}", cut.join(twin, ["key", "core", "own"]))
-        more.append(cut.where("twins > 1 and c = 1").select("doc_id", "th", F.struct((F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + o.width).alias("b")).alias("span")))
-        rows = cut.where((F.col("twins") == 1) | (F.struct("doc_id", "th", "at") == F.col("rep")))
-        rows = rows.withColumn("c", F.when(F.col("twins") > 1, F.lit(2).cast("long")).otherwise(F.col("c"))).select(*pieces.columns, "left")
-        turn += 1
-    out = rows
-    for p in parts:
-        out = out.unionByName(p)
-    return out, more
+                kinds = (pa.uint64(), pa.uint64(), pa.int16(), pa.int16(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                cols = [pa.array(c, k) for c, k in zip(out, kinds)]
+                yield pa.RecordBatch.from_arrays([cols[0].view(pa.int64()), cols[1].view(pa.int64()), *cols[2:]], ["core", "own", "lo", "hi", "left", "c", "stretch", "of_core", "of_own"])
+
+        cut = stages.save(f"cut{turn}", rows.join(big, "core", "left_semi").select("core", "own", "lo", "hi", "left", "c", "stretch").mapInArrow(split, f"{STRETCH}, of_core long, of_own long"))
+        links.append(cut.select("core", "own", "of_core", "of_own"))
+        same = cut.groupBy("core", "own").agg(F.sum("c").alias("c"), F.first(F.struct("lo", "hi", "left", "stretch")).alias("r"))
+        often = cut.groupBy("core").agg(F.sum("c").alias("n")).where("n > 1").select("core")
+        rows = stages.save(f"rows{turn}", same.join(often, "core").select("core", "own", "r.lo", "r.hi", "r.left", "c", "r.stretch"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -391,9 +371,7 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
     docs = docs.drop(*[c for c in ("removed", "kept") if c not in (id_col, text_col)])
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    spans = stages.save("spans", covered(source, stages, o))
-    for name in ("keys", "candidates", "twins", "mixed", "pieces"):
-        stages.drop(name)
+    spans = stages.finish(covered(source, stages, o), "spans")
     names = docs.columns
     whole = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__th": F.xxhash64(text)})
     whole = whole.join(spans.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__id", "__th"], "left").select(*names, "__spans")
