@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -216,6 +217,85 @@ def test_html_weak_text_elsewhere_is_no_reason_to_climb():
     assert html_text.extract("<div><div>Short a</div></div><div><div>Short b</div></div>") == "Short a"
 
 
+PROSE = "First paragraph, with commas, and enough words to count as prose."
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    (f"<p title='it's here'>{PROSE}</p><p>Don't.</p>", [PROSE, "Don't."]),
+    (f"<p>{PROSE} <span class='ad'>Buy</span><span style='display:none'>no</span><a class='share'>share</a><i hidden>no</i> End.</p>", [PROSE + " End."]),
+    (f"<p>{PROSE}</p><ul><li><a href='1'>One</a></li><li><a href='2'>Two</a></li></ul><div><a href='x'>Only a link</a></div>", [PROSE, "One", "Two", "Only a link"]),
+    (f"<p>{PROSE} <button>b</button><label>l</label> <svg><g><path d='x'/></g></svg>Rest.</p>", [PROSE + " Rest."]),
+    (f"<header class='entry-header'><h1>Title</h1></header><p>{PROSE}</p><footer>By us, all of us.</footer>", ["Title", PROSE]),
+    (f"<p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><p data-x=\"a > b\">Kept.</p>", [PROSE + " x=2", "Kept."]),
+])
+def test_html_article_parts(body, want):
+    page = f"<body><header><h1>Site</h1></header><nav><a href='/'>Home</a></nav><article>{body}</article><div class='related-posts'><p>{PROSE} Others.</p></div></body>"
+    assert html_text.extract(page) == "\n\n".join(want)
+
+
+def test_html_names_that_hold_a_word():
+    outside = ["ad", "cookie-notice", "site-header", "comment-list", "post_footer", "related-posts", "share-buttons", "ad-slot-3", "newsletter-signup-box", "sideBar"]
+    inside = ["legal-analysis", "header-image-story", "has-sidebar", "navy", "shareholder-report", "adventure", "body"]
+    assert all(map(html_text.names_outside, outside)) and not any(map(html_text.names_outside, inside))
+    for c in inside:
+        assert html_text.extract(f"<body><div class='{c}'><p>{PROSE}</p></div></body>") == PROSE
+
+
+def test_html_time_grows_with_length():
+    from time import perf_counter
+
+    for part in ("<div>", "<b><div>", "<div>a", "<li><div>x", "<x", "<a =", "<a b='", "<p><b>x"):
+        began = perf_counter()
+        html_text.extract(part * 30000 + "</b>" * 30000)
+        assert perf_counter() - began < 5, part
+
+
+class Tree(HTMLParser):
+    """Text of the blocks of an article by the standard library's parser: a second, plain implementation for pages
+    whose text is all in article elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.skip, self.parts = 0, [], [[]]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "aside", "nav", "form", "footer", "header") or dict(attrs).get("class") in ("comments", "ad", "sidebar", "share", "related"):
+            self.skip.append(tag)
+        elif self.skip and tag == self.skip[-1]:
+            self.skip.append(tag)
+        self.open += tag == "article"
+        if tag == "br":
+            self.parts[-1].append(" ")
+        elif tag not in html_text.INLINE:
+            self.parts.append([])
+
+    def handle_endtag(self, tag):
+        if self.skip and tag == self.skip[-1]:
+            self.skip.pop()
+        self.open -= tag == "article"
+        if tag not in html_text.INLINE:
+            self.parts.append([])
+
+    def handle_data(self, data):
+        if self.open and not self.skip:
+            self.parts[-1].append(data)
+
+    def text(self):
+        return "\n\n".join(t for t in (" ".join("".join(p).split()) for p in self.parts) if t)
+
+
+def test_html_equals_a_plain_parser_on_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    raw = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(pages).collect()}
+    assert set(got) == set(raw)
+    for i, page in raw.items():
+        t = Tree()
+        t.feed(page or "")
+        t.close()
+        assert got[i] == t.text(), i
+
+
 # 6
 
 
