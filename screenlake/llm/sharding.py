@@ -44,15 +44,37 @@ def leading(c: Column) -> Column:
     return F.conv(F.rpad(F.hex(F.substring(F.coalesce(c, F.lit("")).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
 
 
-def shard(docs: DataFrame, shards: int = 16, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, whole: int = 64) -> DataFrame:
+#: A group of equal texts over this part of a shard finds its shard by itself, the others go with the curve.
+LARGE = 64
+
+
+def spread(groups: list[tuple[int, int]], total: int, shards: int) -> list[int]:
+    """A shard for each (start, bytes) of the large groups: the one nearest to where the curve has it among those that
+    still have room for it, the emptiest if none has. Largest first."""
+    load, out = [0.0] * shards, [0] * len(groups)
+    for k in sorted(range(len(groups)), key=lambda k: (-groups[k][1], groups[k])):
+        start, size = groups[k]
+        near = min(start * shards // max(total, 1), shards - 1)
+        room = [s for s in range(shards) if load[s] + size <= total / shards]
+        s = min(room, key=lambda s: (abs(s - near), s)) if room else min(range(shards), key=lambda s: (load[s], s))
+        load[s] += size
+        out[k] = s
+    return out
+
+
+def shard(docs: DataFrame, shards: int = 16, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot, grown_shard, curve.
 
     ``dims``: metadata as numbers, each quantised to 2 ** ``bits`` levels at its approximate quantiles; the first
     letters of lang and source and the size, if not given. Equal texts take their group's smallest values, so they
-    stand side by side, and a cut never falls inside a group unless the group is over 1/``whole`` of a shard.
-    Null texts count as empty, null metadata as the lowest level; repeated rows get slots of their own; an empty
-    table gives an empty result. No text is shuffled, and no task gathers a group: rows are dealt by range of
-    (curve, text hash, id), and what comes to the driver is one row for each range and shard.
+    stand side by side on the curve, and no cut falls inside a group: large groups get a shard each, the nearest on
+    the curve that has room, and the rest of the curve is cut where each shard is full. Only a group that is larger
+    than a whole shard is cut, since sizes could not be near equal otherwise.
+
+    Null texts count as empty, null metadata as the lowest level; null ids come first within their text; repeated rows
+    get slots of their own; an empty table gives an empty result. No text is shuffled, and no task gathers a group:
+    rows are dealt by range of (curve, text hash, id). To the driver come one row for each range and shard, and one
+    for each large group, of which there are at most ``LARGE`` a shard.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "sharding")
@@ -77,33 +99,52 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = 4, id_col: str = "doc_i
         level = sum((F.when(F.col(d) > b, 1).otherwise(0) for b in bounds), F.lit(0))
         cell = cell * levels + level
     table = F.lit(hilbert_table(n, bits).tolist())
-    lows = lows.select(*group, "group_bytes", F.element_at(table, (cell + 1).cast("int")).cast("long").alias("curve"))
+    several = F.col("group_bytes") > F.col("size")
+    lows = lows.select(*group, several.alias("several"), (several & (F.col("group_bytes") * (LARGE * shards) > total) & (F.col("group_bytes") * shards <= total)).alias("large"),
+                       (F.col("group_bytes") * shards > total).alias("over"), "group_bytes", F.element_at(table, (cell + 1).cast("int")).cast("long").alias("curve"))
     placed = rows.select("doc_id", *group).join(lows, group)
     order = ["curve", *group, "doc_id"]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = stages.save("sorted", placed.repartitionByRange(ranges, *order).withColumn("pid", F.spark_partition_id()))
-    sums = {r["pid"]: (r["b"], r["n"]) for r in placed.groupBy("pid").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
-    at_bytes, at_rows, b, k = {}, {}, 0, 0
-    for pid in sorted(sums):
-        at_bytes[pid], at_rows[pid] = b, k
-        b, k = b + sums[pid][0], k + sums[pid][1]
+    free = F.when(~F.col("large"), F.col("size")).otherwise(0)
+    sums = placed.groupBy("pid").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.sum(free).alias("f"), F.count_if(~F.col("large")).alias("k")).orderBy("pid").collect()
     if not sums:
         return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
-    offsets = F.broadcast(spark.createDataFrame([(p, at_bytes[p], at_rows[p]) for p in sums], "pid int, b0 long, n0 long"))  # one row for each range
+    starts, at = [], (0, 0, 0, 0)
+    for r in sums:
+        starts.append((r["pid"], *at))
+        at = at[0] + r["b"], at[1] + r["n"], at[2] + r["f"], at[3] + r["k"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "pid int, b0 long, n0 long, f0 long, k0 long"))  # one row for each range
     w = Window.partitionBy("pid").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.join(offsets, "pid").select(
-        *order, "group_bytes", (F.col("b0") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"),
-        (F.col("n0") + F.row_number().over(w) - 1).alias("nth"))
+        *order, "several", "large", "over", (F.col("b0") + F.sum("size").over(upto) - F.col("size")).alias("before"), (F.col("f0") + F.sum(free).over(upto) - free).alias("free"),
+        (F.col("n0") + F.row_number().over(w) - 1).alias("nth"), (F.col("k0") + F.count_if(~F.col("large")).over(upto) - 1).alias("kth"))
     placed = stages.save("placed", placed)
-    small = F.col("group_bytes") * (whole * shards) <= total
-    starts = placed.where(small & (F.col("group_bytes") > F.col("size"))).groupBy(*group).agg(F.min("before").alias("start"))
-    placed = placed.join(starts, group, "left")
-    number = F.least(F.floor(F.coalesce("start", "before") * shards / F.lit(total)), F.lit(shards - 1)).cast("int")
-    placed = stages.save("cut", placed.select("doc_id", *group, "curve", "nth", number.alias("shard")))
-    firsts = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.min("nth").alias("n")).collect()}
-    first = F.element_at(F.create_map(*[F.lit(x) for kv in firsts.items() for x in kv]), F.col("shard"))
-    stages.drop("groups"), stages.drop("sorted"), stages.drop("placed")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("nth") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    # at most LARGE rows a shard: each has more than 1 / LARGE of a shard's bytes
+    large = placed.where("large").groupBy(*group).agg(F.min("before").alias("start"), F.min("nth").alias("first"), F.count("*").alias("rows")).orderBy("start").collect()
+    homes = spread([(r["start"], r["rows"] * r["size"]) for r in large], total, shards)
+    ends, full = [], 0.0
+    for s in range(shards - 1):
+        full += max(total / shards - sum(r["rows"] * r["size"] for r, home in zip(large, homes) if home == s), 0.0)
+        ends.append(full)
+    # a group that is not cut goes where its first row goes
+    firsts = placed.where("several and not large and not over").groupBy(*group).agg(F.min("free").alias("from"))
+    rest = placed.where("not large").join(firsts, group, "left")
+    number = sum((F.when(F.coalesce("from", "free") >= e, 1).otherwise(0) for e in ends), F.lit(0)).cast("int")
+    rest = stages.save("rest", rest.select("doc_id", *group, "curve", "kth", number.alias("shard")))
+    # large groups come after the rest of their shard; inside either, the order is that of the curve
+    held = {r["shard"]: (r["first"], r["n"]) for r in rest.groupBy("shard").agg(F.min("kth").alias("first"), F.count("*").alias("n")).collect()}
+    slot = F.col("kth") - F.element_at(F.create_map(*[F.lit(x) for s, (first, _) in held.items() for x in (s, first)]), F.col("shard")) if held else F.lit(0)
+    base = {s: held[s][1] if s in held else 0 for s in range(shards)}
+    homed = []
+    for r, s in zip(large, homes):
+        homed.append((r["h"], r["text_crc32"], r["size"], s, base[s] - r["first"]))
+        base[s] += r["rows"]
+    home = F.broadcast(spark.createDataFrame(homed, "h long, text_crc32 long, size long, shard int, base long"))  # one row for each large group
+    tail = placed.where("large").join(home, group).select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("nth") + F.col("base")).alias("slot"))
+    out = rest.select("doc_id", "size", "text_crc32", "curve", "shard", slot.cast("long").alias("slot")).unionByName(tail)
+    return stages.finish(out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
