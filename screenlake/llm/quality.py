@@ -47,8 +47,8 @@ def dup_lines(text: bytes) -> int:
 
 
 def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The five counts, and the forest's features: mean word length and the logged rates of symbols, repeated words and
-    repeated lines (of lines that are not blank)."""
+    """The five counts, and the forest's features, one of each count: the logged number of words, mean word length, and
+    the logged rates of symbols, repeated words and repeated lines (of lines that are not blank)."""
     counts = np.zeros((len(texts), 5), np.int64)
     lines = np.ones(len(texts), np.int64)
     for a, b in slices(np.array([len(t) for t in texts], np.int64), 1 << 20):
@@ -63,7 +63,7 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 lines[i] = sum(bool(line.strip(GAPS)) for line in t.split(b"\n"))
     n = np.maximum(counts[:, 0], 1)
     rates = np.column_stack([counts[:, (2, 4)] / n[:, None], counts[:, 3] / lines])
-    return counts, np.column_stack([counts[:, 1] / n, np.log1p(100 * rates)])
+    return counts, np.column_stack([np.log(n), counts[:, 1] / n, np.log1p(100 * rates)])
 
 
 @dataclass
@@ -144,7 +144,11 @@ def calibrate(score: np.ndarray, good: np.ndarray, false_rate: float) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 8192, false_rate: float = 0.001) -> Forest | None:
-    """Fit on at most ``rows`` labelled documents, those of the least hashed id; None without labelled documents."""
+    """Fit on at most ``rows`` labelled documents, those of the least hashed id; None without labelled documents.
+
+    Null labels and ids are left out; of repeated labels the lowest counts, of repeated documents one row. Documents
+    that fail the base rules, null and empty ones among them, take no part.
+    """
     picked = (labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("__q"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     # at most `rows` ids of 12 bytes: a proven bound
@@ -156,15 +160,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8192, false_rate: floa
             failed = base_failed(counts)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__q"), pa.array(failed), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "q", "failed", "x"])
 
-    got = texts.mapInArrow(features, "doc_id long, q int, failed boolean, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(rows).collect()
+    got = texts.mapInArrow(features, "doc_id long, q int, failed boolean, x array<double>")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("q", "failed", "x")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()  # at most `rows`
     got = [r for r in got if not r["failed"]]
     if len(got) < 8:
         return None
     x, good = np.array([r["x"] for r in got]), np.array([r["q"] > 0 for r in got])
     if not good.any():
         return None
-    forest = fit_forest(x[good], bounds=np.array([x.min(0), x.max(0)]))
-    forest.limit = calibrate(forest.score(x), good, false_rate)
+    # grown on every second good row; the threshold comes from the others and the bad rows, which it has not seen
+    grown = good & (np.cumsum(good) % 2 == 1)
+    forest = fit_forest(x[grown], bounds=np.array([x.min(0), x.max(0)]))
+    rest = ~grown if (good & ~grown).any() else np.ones(len(x), bool)
+    forest.limit = calibrate(forest.score(x[rest]), good[rest], false_rate)
     return forest
 
 
@@ -176,7 +184,8 @@ def judge(docs: DataFrame, forest: Forest | None) -> DataFrame:
     """``docs`` plus the counts, base_failed, anomaly and kept. No shuffle: one pass of Arrow batches.
 
     Null and empty texts have no words, so they fail the base rules. Without a forest the base rules decide alone.
-    Repeated rows are judged alike; columns named like an output are replaced.
+    Repeated rows are judged alike; a score at the threshold is rejected. Texts are counted whole, however long, and
+    an empty table gives an empty result. Columns named like an output are replaced.
     """
     made = [x.split()[0] for x in SCHEMA.split(", ")]
     docs = docs.drop(*made)
@@ -201,7 +210,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that base rules and forest keep, with the columns of ``docs``."""
+    """Documents that base rules and forest keep, with the columns of ``docs``. Null and empty texts fail the base
+    rules and go; repeated rows stay or go together; an empty table gives an empty one."""
     forest = train(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     apart, back = aside(docs, [x.split()[0] for x in SCHEMA.split(", ")])
     return judge(apart, forest).where("kept").select(*back)
