@@ -211,7 +211,7 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
     sizes = st.save("sizes", weights.groupBy("grp").agg(blocks.alias("blocks")))
     members = own.withColumn("node", node).select("doc_id", "h1", "h2", "sig", "node").join(groups, "node").join(sizes, "grp")
     members = st.save("members", members.select("doc_id", "h1", "h2", "sig", "grp", "blocks"))
-    st.drop("groups")
+    st.drop("groups", "sizes", "shared")
     edges = st.save("edges", _verified(docs, members, o))
     # ids and classes: every row's id links to its class's, every class's to its component's
     found = components(st, edges.select("a", "b"), "links")
@@ -219,14 +219,13 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
     by_id = signed.where(real).select("doc_id", "h1", "h2").join(classes, ["h1", "h2"])
     by_id = by_id.join(found, "rep", "left").select("doc_id", F.least(F.coalesce("root", "rep"), "doc_id").alias("c"))
     twice = by_id.groupBy("doc_id").agg(F.min("c").alias("c"), F.max("c").alias("d"))
-    st.save("by_id", twice)
-    by_id = spark.read.parquet(f"{st.root}/by_id")
+    by_id = st.save("by_id", twice)
     if by_id.where("c <> d").limit(1).count():  # an id with two texts joined two components
         more = components(st, by_id.where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")), "twice")
         by_id = by_id.join(more.withColumnRenamed("node", "c"), "c", "left").select("doc_id", F.coalesce("component", "c").alias("c"))
     out = signed.select("doc_id", "n_shingles").join(by_id.select("doc_id", F.col("c")), "doc_id", "left")
     component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return st.finish(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")))
 
 
 def _verified(docs: DataFrame, members: DataFrame, o: Options) -> DataFrame:
@@ -298,10 +297,18 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one of the smallest id, with the columns of ``docs``."""
-    kept = dedup(docs).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept.where("doc_id is not null"), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The documents of the smallest id of each component, with the columns of ``docs``.
+
+    Rows of one kept id stay once for each different text, so no text of a repeated id is lost; of rows with equal id
+    and text the one of the least hash over all columns stays. Rows with a null id, and null, empty and wordless texts,
+    have no copies: all of them stay, but for rows repeated under one id. An empty table gives an empty one.
+    """
+    ids = dedup(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    once = docs.join(ids.where("__rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    several = docs.join(ids.where("__rows > 1").select("doc_id"), "doc_id", "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = several.groupBy("doc_id", F.xxhash64("text").alias("__a"), F.md5(F.coalesce("text", F.lit(""))).alias("__b")).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("r")).select("r.*")
+    return once.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 ORACLE = """

@@ -184,7 +184,7 @@ def link(vectors: DataFrame, o: Options = Options(), id_col: str = "vec_id", vec
     comps = components(st, links.select(F.col("rep").alias("a"), "b"), "links")
     info = classes.join(degree, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     info = info.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    info = st.save("info", info)
+    info = st.finish(info)
     out = keyed.where("real").select("vec_id", "label", "h1", "h2").join(info, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     rest = keyed.where("not real").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

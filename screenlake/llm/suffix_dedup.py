@@ -400,7 +400,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without its repeated passages; the bytes of a character that a cut has split go too."""
+    """Every document without its repeated passages; the bytes of a character that a cut has split go too.
+
+    No row goes, even one that loses all of its text: null texts stay null, empty ones empty. Repeated rows lose all
+    that they share. An empty table gives an empty one.
+    """
     apart, back = aside(docs, ["removed", "kept"])
     out = dedup(apart, whole_characters=True)
     out = out.withColumn("text", F.when(F.size("removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string")))
