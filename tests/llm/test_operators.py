@@ -165,6 +165,35 @@ def test_shards_law_and_slots(docs, rows):
     assert sharding.shard(empty(docs)).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(6)
+    rows, i = [], 0
+    for copies in [1] * 400 + [2] * 40 + [3] * 20 + [12, 25, 40, 60] + [700]:
+        text = "".join(rng.choice("abcdef ") for _ in range(rng.randint(50, 400))) if copies < 700 else "hot " * 60
+        for _ in range(copies):
+            rows.append((None if i % 50 == 7 else i, text, rng.choice(["en", "fr", None]), rng.choice("abc")))
+            i += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("shard", F.lit("x")).withColumn("large", F.lit(1))
+    got = sharding.shard(df, 4).collect()
+    assert len(got) == len(rows)
+    by, of = defaultdict(list), defaultdict(set)
+    for r in got:
+        by[r["shard"]].append(r)
+        of[r["text_crc32"], r["size"]].add(r["shard"])
+    total, hot = sum(r["size"] for r in got), (zlib.crc32(b"hot " * 60), 241)
+    assert [k for k, v in of.items() if len(v) > 1] == [hot]  # larger than a shard
+    sizes = [sum(r["size"] for r in by[s]) for s in range(4)]
+    assert max(sizes) - min(sizes) <= total / 4 * 0.06 and all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+    curve = sharding.hilbert_table(3, 4)
+    for v in by.values():  # along the curve, large groups apart
+        runs = [r["curve"] for r in sorted(v, key=lambda r: r["slot"])]
+        assert set(runs) <= set(curve.tolist()) and sum(a > b for a, b in zip(runs, runs[1:])) <= 4
+
+
+def test_large_groups_find_room():
+    assert sharding.spread([(0, 10), (10, 10), (20, 5)], 40, 4) == [0, 1, 2] and sharding.spread([(0, 9), (9, 9)], 40, 4) == [0, 0 + 1] and sharding.spread([], 0, 4) == []
+
+
 def test_shards_are_near_equal(spark):
     sizes = [r["b"] for r in sharding.query(spark, SF).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     biggest = spark.read.parquet(f"{SF}/documents.parquet").agg(F.max(F.octet_length("text"))).first()[0]
@@ -318,6 +347,45 @@ def test_toxicity_held_out(spark):
     assert mean(0) < 0.5 < mean(1) < mean(3) < mean(5) <= 3
 
 
+def test_toxicity_learns_graded_labels(spark):
+    """Severities that only the labels know: one mild and one strong word, as often as each other."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(1500):
+        k = i % 4
+        words = [rng.choice("river stone light paper house green window music".split()) for _ in range(30)]
+        if k:
+            words[rng.randrange(30)] = {1: "blimey", 2: "nitwit", 3: "scumbag"}[k]
+        rows.append((i, " ".join(words), k))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.where("doc_id < 1000").select("doc_id", "toxic"))
+    out = toxicity.judge(df.where("doc_id >= 1000").withColumnRenamed("toxic", "gold"), model).collect()
+    assert (np.diff(model.cuts) > 0).all() and np.mean([r["grade"] == r["gold"] for r in out]) > 0.97
+    assert all(r["toxic"] == (r["gold"] > 0) == (r["grade"] > 0) for r in out)
+
+
+def test_toxicity_fit_equals_a_dense_one():
+    rng = np.random.default_rng(4)
+    dense = rng.random((60, 7)) < 0.3
+    y = np.minimum(dense[:, 0] + dense[:, 1] + (rng.random(60) < 0.1), 3)
+    row, at = np.nonzero(dense)
+    x = toxicity.Rows(at, row, 60, 7)
+    w = rng.standard_normal(7)
+    assert np.allclose(x.dot(w), dense @ w) and np.allclose(x.back(np.arange(60.0)), dense.T @ np.arange(60.0))
+    keep = rng.random(60) < 0.5
+    assert np.allclose(x.only(keep).dot(w), dense[keep] @ w)
+    got, cuts = toxicity.fit(x, y)
+
+    def loss(w, c):
+        z = (dense @ w)[:, None] - c[None, :]
+        over = y[:, None] > np.arange(3)[None, :]
+        return np.mean(np.where(over, np.log1p(np.exp(-z)), np.log1p(np.exp(z))).sum(1)) + 5e-4 * w @ w
+
+    best = loss(got, cuts)
+    for _ in range(300):  # no near point is better
+        assert loss(got + 0.05 * rng.standard_normal(7), np.sort(cuts + 0.05 * rng.standard_normal(3))) > best - 2e-3
+
+
 def test_toxicity_odd_rows(docs, spark):
     assert toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int")) is None
     got = toxicity.judge(docs, None).collect()
@@ -375,6 +443,16 @@ def test_near_copies_of_nothing(docs):
     assert near_text.dedup(empty(docs)).count() == 0
 
 
+def test_near_copies_stage_keeps_other_texts_of_an_id(spark):
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(1, say(1), "a"), (1, say(2), "b"), (1, say(2), "c"), (1, None, "d"), (2, say(2), "e"), (3, None, "f"), (None, say(1), "g"), (4, say(4), "h"), (4, say(4), "h")]
+    got = near_text.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    again = near_text.stage(spark, spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(3), "").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    texts = sorted((r["doc_id"] or 0, r["text"] or "") for r in got)
+    assert texts == sorted([(1, say(1)), (1, say(2)), (1, ""), (3, ""), (0, say(1)), (4, say(4))])
+
+
 def test_posterior_bounds_fall_as_expected():
     o = near_text.Options()
     need = near_text.least_matches(o)
@@ -499,6 +577,23 @@ def test_passages_equal_brute_force(docs, rows, spark, options):
     assert {i: sorted(v) for i, v in got.items()} == brute_removed(rows + more, 200)
 
 
+def test_passages_find_repeats_by_the_sort_alone():
+    rng = random.Random(12)
+    for _ in range(40):
+        pool = ["".join(rng.choice("abc") for _ in range(rng.randint(24, 60))) for _ in range(4)]
+        texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 3))).encode() for _ in range(6)]
+        times = np.array([rng.choice([1, 1, 1, 3]) for _ in texts])
+        froms = np.zeros(6, np.int64)
+        tos = np.array([len(t) - 24 for t in texts])
+        count = Counter()
+        for t, n in zip(texts, times.tolist()):
+            for k in range(len(t) - 23):
+                count[t[k : k + 24]] += n
+        row, first, last = suffix_dedup.repeated(texts, froms, tos, times, 24)
+        got = {(r, k) for r, a, b in zip(row.tolist(), first.tolist(), last.tolist()) for k in range(a, b + 1)}
+        assert got == {(r, k) for r, t in enumerate(texts) for k in range(len(t) - 23) if count[t[k : k + 24]] > 1}
+
+
 def test_passages_of_nothing(docs):
     assert suffix_dedup.dedup(empty(docs)).count() == 0
 
