@@ -543,6 +543,59 @@ def test_url_rules(spark):
     assert url_rules.judge(df.limit(0)).count() == 0
 
 
+def fits(text, url):
+    """A pattern by plain search, one sign at a time."""
+    def run(signs, at, first):
+        if not signs:
+            return True
+        s, rest = signs[0], signs[1:]
+        edge = lambda k: k < 0 or k >= len(url) or not url[k].isalnum() or url[k] > "z"
+        if s == "||":
+            slash = url.find("/") if "/" in url else len(url)
+            return any(run(rest, k, False) for k in [0] + [k + 1 for k in range(slash) if url[k] == "."])
+        if s == "*":
+            return any(run(rest, k, False) for k in range(at, len(url) + 1))
+        if s == "|":
+            return at == 0 and run(rest, at, False) if first else at == len(url) and run(rest, at, False)
+        if s == "^":
+            return at in (0, len(url)) and run(rest, at, False) or at < len(url) and edge(at) and run(rest, at + 1, False)
+        return any(url.startswith(x, at) and run(rest, at + len(x), False) for x in (s[1:-1].split(",") if s[0] == "{" else [s]))
+
+    signs = re.findall(r"\{[^{}]*\}|\|\||[*^|]|[^*^|{}]+", text.removeprefix("@@"))
+    anchored = signs[0] in ("|", "||")
+    return run(signs, 0, True) if anchored else any(run(signs, k, False) for k in range(len(url) + 1))
+
+
+def test_url_patterns_equal_plain_search(spark):
+    rng = random.Random(13)
+    words = "casino poker buy cheap online now pills payday loan history museum of wiki ads click9 redirect login php cart tag page feed www wp-login cgi-bin run exe search results a b crack free".split()
+    urls = []
+    for i in range(1500):
+        host = ".".join(rng.choice(words) + rng.choice(["", "-" + rng.choice(words)]) for _ in range(rng.randint(1, 3)))
+        path = "".join("/" + rng.choice(words) + rng.choice(["", "-", "."]) + rng.choice([*words, ""]) for _ in range(rng.randint(0, 4))) + rng.choice(["", "/"])
+        urls.append((i, f"http://{host}{path}", host + path))
+    got = url_rules.judge(spark.createDataFrame([u[:2] for u in urls], "page_id long, url string"), url_rules.FILTERS).collect()
+    want = {}
+    for i, _, u in urls:
+        hits = [r for r in url_rules.FILTERS if fits(r.name, u)]
+        want[i] = (max(hits, key=lambda r: (r.rank, r.name)).verdict if hits else "allow", len(hits))
+    assert len(got) == len(urls) and Counter(v for v, _ in want.values())["block"] > 200
+    for r in got:
+        assert r["verdict"] == want[r["page_id"]][0], r
+        assert r["n_tried"] >= want[r["page_id"]][1]  # every rule that fits was fetched
+    assert sum(r["n_tried"] for r in got) > sum(n for _, n in want.values())  # and the expressions turned some down
+    with pytest.raises(ValueError):
+        url_rules.pattern_rule("*casino*")
+
+
+def test_url_rules_as_a_table(spark):
+    """Twenty thousand rules as rows, of which a url tries the few that its tokens fetch."""
+    rules = spark.range(20000).selectExpr("concat('r', id) as name", "1 as rank", "concat('(^|[^a-z0-9])w', id, '([^a-z0-9]|\\\\z)') as pattern", "'block' as verdict", "false as exact", "0 as branch", "array(concat('w', id), 'common') as tokens")
+    urls = spark.createDataFrame([(1, "http://w7.com/common"), (2, "http://x.com/common/w19999"), (3, "http://x.com/common/w20000"), (4, None)], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["n_tried"]) for r in url_rules.judge(urls, rules).collect()}
+    assert got == {1: ("block", 1), 2: ("block", 1), 3: ("allow", 0), 4: ("allow", 0)}
+
+
 # 10
 
 
