@@ -6,6 +6,7 @@ import difflib
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,12 +25,29 @@ def squeeze(c: Column | str) -> Column:
 
 def preprocess(c: Column | str) -> Column:
     """Lower case; everything but letters, digits, _ and - to spaces; white space squeezed. Null stays null."""
-    return squeeze(F.regexp_replace(F.lower(_c(c)), r"(?U)[^\p{L}\p{N}_\s-]", " "))
+    return F.trim(F.regexp_replace(F.lower(_c(c)), r"[^\p{L}\p{N}_-]+", " "))
 
 
 def tokens(c: Column | str) -> Column:
     """Words of the preprocessed text; an empty array for null or empty texts."""
-    return F.filter(F.split(F.coalesce(preprocess(c), F.lit("")), " "), lambda x: x != "")
+    plain = preprocess(c)
+    return F.when(F.coalesce(plain, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+
+
+def apart(c: Column) -> Column:
+    """A preprocessed text with spaces of its own on both sides of each word, so that words are found as " word ": by
+    plain search, where neighbours don't share a space."""
+    return F.concat(F.lit(" "), F.replace(c, F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
+def occurrences(c: Column, part: str) -> Column:
+    """How often a text holds ``part``, from left to right."""
+    return F.when(F.contains(c, F.lit(part)), ((F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("int")).otherwise(0)
+
+
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a column's value, which is worked out once however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
 
 
 #: Prefixes that a DOI may carry.
@@ -142,15 +160,19 @@ def inverted_index_text(index: Column | str) -> Column:
 QUOTES_FROM, QUOTES_TO = "“”‘’„‚«» ", "\"\"''\"'\"\" "
 
 
-def verify_excerpt(excerpt: Column | str, text: Column | str) -> Column:
-    """Whether the fragments between elision marks occur in the text, in order; case, quotes and space don't count."""
-    def plain(c: Column) -> Column:
-        return F.lower(squeeze(F.translate(F.coalesce(c, F.lit("")), QUOTES_FROM, QUOTES_TO)))
+def plain_quote(c: Column) -> Column:
+    """Lower case, plain quotes, white space squeezed; '' for null."""
+    return F.lower(squeeze(F.translate(F.coalesce(c, F.lit("")), QUOTES_FROM, QUOTES_TO)))
+
 
-    whole = plain(_c(text))
+def excerpt_fragments(excerpt: Column | str) -> Column:
+    """The fragments between elision marks, plain, without empty ones and without a mark at the end."""
     cut = F.regexp_replace(F.coalesce(_c(excerpt), F.lit("")), r"(?U)[\s.\x{2026}]+\z", "")
-    fragments = F.filter(F.transform(F.split(cut, r"(?U)\s*(?:\[\.\.\.\]|\.{3,}|\x{2026})\s*"), plain), lambda f: f != "")
+    return F.filter(F.transform(F.split(cut, r"(?U)\s*(?:\[\.\.\.\]|\.{3,}|\x{2026})\s*"), plain_quote), lambda f: f != "")
 
+
+def in_order(fragments: Column, whole: Column) -> Column:
+    """Whether a plain text holds the fragments one after the other."""
     def step(at: Column, f: Column) -> Column:
         found = F.call_function("locate", f, whole, at)
         return F.when((at > 0) & (found > 0), found + F.length(f)).otherwise(F.lit(0))
@@ -158,6 +180,11 @@ def verify_excerpt(excerpt: Column | str, text: Column | str) -> Column:
     return F.aggregate(fragments, F.lit(1), step) > 0
 
 
+def verify_excerpt(excerpt: Column | str, text: Column | str) -> Column:
+    """Whether the fragments between elision marks occur in the text, in order; case, quotes and space don't count."""
+    return bound(plain_quote(_c(text)), lambda whole: in_order(excerpt_fragments(excerpt), whole))
+
+
 def parse_year(c: Column | str) -> Column:
     """A whole number, or null."""
     return F.trim(_c(c).cast("string")).try_cast("int")

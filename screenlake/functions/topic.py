@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.functions.text import preprocess
+from screenlake.functions.text import apart, bound, preprocess
 
-WORD = r"[\p{L}\p{N}_]"
+#: What a claimed span leaves behind.
+CLAIMED = "\u0001"
 
 
 @dataclass(frozen=True)
@@ -66,36 +67,72 @@ STUDY = Topic(
 )
 
 
-def whole_word(term: str) -> str:
-    """The term as a whole word, with or without a plural ending."""
-    return rf"(?<!{WORD})\Q{clean(term)}\E(?:s|es)?(?!{WORD})"
+def spaced(c: Column) -> Column:
+    """A preprocessed text whose words and hyphens stand apart: a hyphen parts words, but is none."""
+    return F.replace(apart(c), F.lit("-"), F.lit(" - "))
 
 
-def keyword_scores(df: DataFrame, text: str, topic: Topic = STUDY, shortest: int = 20) -> DataFrame:
+def forms(term: str) -> list[str]:
+    """A term and its two plurals as a spaced text has them."""
+    plain = clean(term).replace(" ", "  ").replace("-", " - ")
+    return [f" {plain}{ending} " for ending in ("", "s", "es")]
+
+
+def mentions(text: Column, terms: tuple[str, ...]) -> Column:
+    """Whether a spaced text has one of the terms as a whole word, with or without a plural ending."""
+    hit = F.lit(False)
+    for t in terms:
+        one, *more = forms(t)
+        any_form = F.contains(text, F.lit(one))
+        for m in more:
+            any_form = any_form | F.contains(text, F.lit(m))
+        hit = hit | F.contains(text, F.lit(one[:-1])) & any_form
+    return hit
+
+
+def keyword_scores(df: DataFrame, text: str, topic: Topic = STUDY, shortest: int = 20, cleaned: str | None = None) -> DataFrame:
     """``df`` plus keyword_score in [0, 1], keyword_raw and keyword_matched (keyword -> weight of its occurrences).
 
-    The longest keyword claims its span first: each step counts one keyword and masks it for the shorter ones.
-    Texts under ``shortest`` characters and null texts score 0.
+    The longest keyword claims its spans first: each step counts one keyword and masks it for the shorter ones, by
+    plain search and only where the text has it. Texts under ``shortest`` characters and null texts score 0.
+    ``cleaned``: a column that has the preprocessed text already.
     """
-    out = df.withColumn("__m", F.when(F.length(F.trim(F.col(text))) >= shortest, preprocess(text)).otherwise(""))
-    counts = []
+    plain = F.col(cleaned) if cleaned else preprocess(text)
+    out = df.withColumn("__m", F.when(F.length(F.trim(F.col(text))) >= shortest, spaced(plain)).otherwise(""))
+    marks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(CLAIMED), F.lit("")))
+    counts, last = [], "__m"
     for i, k in enumerate(topic.by_length):
-        out = out.withColumn(f"__n{i}", F.regexp_count("__m", F.lit(whole_word(k)))).withColumn("__m", F.regexp_replace("__m", whole_word(k), "\u0001"))
+        one, *more = forms(k)
+        has = F.contains(last, F.lit(one[:-1]))
+        masked = F.replace(last, F.lit(one), F.lit(CLAIMED))
+        for m in more:
+            masked = F.replace(masked, F.lit(m), F.lit(CLAIMED))
+        out = out.withColumn(f"__m{i}", F.when(has, masked).otherwise(F.col(last)))
+        out = out.withColumn(f"__n{i}", F.when(has, marks(F.col(f"__m{i}")) - marks(F.col(last))).otherwise(0))
         counts.append((k, topic.keywords[k][1], F.col(f"__n{i}")))
+        last = f"__m{i}"
     raw = sum((n * F.lit(w) for _, w, n in counts), F.lit(0.0))
     each = F.array(*[F.struct(F.lit(k).alias("key"), (n * F.lit(w)).alias("value")) for k, w, n in counts])
     matched = F.map_from_entries(F.filter(each, lambda e: e["value"] > 0))
     out = out.withColumn("keyword_raw", raw).withColumn("keyword_matched", matched)
     score = F.least(F.col("keyword_raw") / F.lit(topic.most), F.lit(1.0)) if topic.most > 0 else F.lit(0.0)
-    return out.withColumn("keyword_score", score).drop("__m", *[f"__n{i}" for i in range(len(counts))])
+    return out.withColumn("keyword_score", score).drop("__m", *[f"__{c}{i}" for i in range(len(counts)) for c in "mn"])
 
 
-def classify(text: Column | str, score: Column | str, threshold: Column | float, topic: Topic = STUDY) -> Column:
+def signals(cleaned: Column, topic: Topic = STUDY) -> Column:
+    """(physical, learning): whether a preprocessed text has terms of either family."""
+    return bound(spaced(F.coalesce(cleaned, F.lit(""))), lambda t: F.struct(mentions(t, topic.physical).alias("physical"), mentions(t, topic.learning).alias("learning")))
+
+
+def labelled(found: Column, score: Column, threshold: Column | float) -> Column:
     """Both families of signals: hybrid; physical only: in-scope; learning only: out-of-scope; none: by the score."""
-    t = F.coalesce(preprocess(text), F.lit(""))
-    has = lambda terms: t.rlike("|".join(whole_word(x) for x in terms)) if terms else F.lit(False)
-    physical, learning = has(topic.physical), has(topic.learning)
-    s = F.col(score) if isinstance(score, str) else score
     bar = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    physical, learning = found["physical"], found["learning"]
     return (F.when(physical & learning, "hybrid").when(physical, "in-scope").when(learning, "out-of-scope")
-            .when(s >= bar, "in-scope").otherwise("out-of-scope"))
+            .when(score >= bar, "in-scope").otherwise("out-of-scope"))
+
+
+def classify(text: Column | str, score: Column | str, threshold: Column | float, topic: Topic = STUDY) -> Column:
+    """The class of a text by its signals, else by its score (see ``labelled``)."""
+    s = F.col(score) if isinstance(score, str) else score
+    return bound(signals(preprocess(text), topic), lambda found: labelled(found, s, threshold))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,48 +144,81 @@ def distinct_dois(rows: DataFrame, col: str = "doi", order: str = "seq", size: i
     return out
 
 
+class Shelf:
+    """Papers of one group in the order of their arrival, found by DOI, else by title: the first paper of the title, or
+    for an entry with a DOI the first that has none. Every step looks up one key."""
+
+    def __init__(self) -> None:
+        self.papers: list[list] = []  # id, DOI, title
+        self.by_doi: dict[str, int] = {}
+        self.first: dict[str, int] = {}
+        self.free: dict[str, int] = {}
+
+    def find(self, doi: str | None, title: str) -> int | None:
+        if doi and doi in self.by_doi:
+            return self.by_doi[doi]
+        return (self.free if doi else self.first).get(title) if title else None
+
+    def name(self, k: int, title: str) -> None:
+        """Gives a paper its title; an earlier paper goes before later ones of that title."""
+        self.papers[k][2] = title
+        self.first[title] = min(k, self.first.get(title, k))
+        if not self.papers[k][1]:
+            self.free[title] = min(k, self.free.get(title, k))
+
+    def add(self, paper: int, doi: str | None, title: str) -> int:
+        k = len(self.papers)
+        self.papers.append([paper, doi, ""])
+        if doi:
+            self.by_doi.setdefault(doi, k)
+        if title:
+            self.name(k, title)
+        return k
+
+
 def ingest(entries: DataFrame) -> DataFrame:
     """(seq, paper, inserted, title, authors, year, abstract, publication_title, doi, keywords): the fold of a search's
     entries into papers, in the order of ``seq``; ``paper`` is the seq of the entry that made the paper.
 
     An entry is the paper of its DOI, else that of its title unless both have DOIs that differ; later entries fill
     empty fields. The result depends on order only inside groups linked by DOIs or titles, so these groups are found
-    first, and each is folded by itself. Entries with neither are papers of their own and stay out of the groups.
+    first, and each is read once, in order, by looking up keys; texts don't pass through. Entries with neither key are
+    papers of their own and stay out of the groups.
     """
     spark = entries.sparkSession
+    st = Stages(spark, "ingest")
     e = entries.withColumn("__d", F.nullif(F.trim(F.coalesce("doi", F.lit(""))), F.lit(""))).withColumn("__t", normalise_title("title"))
     keys = e.select("seq", F.explode(F.array(F.concat(F.lit("d"), "__d"), F.when(F.col("__t") != "", F.concat(F.lit("t"), "__t")))).alias("k")).where("k is not null")
     heads = keys.groupBy("k").agg(F.min("seq").alias("head"))
-    st = Stages(spark, "ingest")
     edges = keys.join(heads, "k").select(F.col("seq").alias("a"), F.col("head").alias("b"))
     groups = components(st, edges).select(F.col("node").alias("seq"), F.col("component").alias("grp"))
-    e = e.join(groups, "seq", "left").withColumn("grp", F.coalesce("grp", "seq"))
+    linked = e.select("seq", F.col("__d").alias("d"), F.col("__t").alias("t")).join(groups, "seq")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, shelf = None, Shelf()
+        for b in batches:
+            paper = []
+            for g, seq, d, t in zip(*[b.column(c).to_pylist() for c in ("grp", "seq", "d", "t")]):
+                if g != group:
+                    group, shelf = g, Shelf()
+                k = shelf.find(d, t)
+                if k is None:
+                    k = shelf.add(seq, d, t)
+                elif t and not shelf.papers[k][2]:
+                    shelf.name(k, t)
+                paper.append(shelf.papers[k][0])
+            yield pa.RecordBatch.from_arrays([b.column("seq"), pa.array(paper, pa.int64())], ["seq", "paper"])
+
+    got = linked.select("grp", "seq", "d", "t").repartition("grp").sortWithinPartitions("grp", "seq").mapInArrow(fold, "seq long, paper long")
+    got = st.save("papers", e.select("seq", "__d").join(got, "seq", "left").select("seq", F.coalesce("paper", "seq").alias("paper"), "__d"))
     names = [c for c in entries.columns if c != "seq"]
-    schema = "seq long, paper long, inserted boolean, " + ", ".join(f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in names)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        papers: list[dict] = []
-        out = []
-        for r in rows.sort_values("seq").to_dict("records"):
-            d, t = r["__d"] or None, r["__t"]
-            hit = next((p for p in papers if d and p["doi"] == d), None)
-            if hit is None and t:
-                hit = next((p for p in papers if p["key"] == t and (not d or not p["doi"] or p["doi"] == d)), None)
-            if hit is None:
-                hit = {c: r[c] for c in names} | {"doi": d, "key": t, "seq": r["seq"]}
-                papers.append(hit)
-            else:
-                for c in ("title", "authors", "abstract"):
-                    if c in names and not hit[c] and r[c]:
-                        hit[c] = r[c]
-                if "year" in names and pd.isna(hit["year"]) and not pd.isna(r["year"]):
-                    hit["year"] = r["year"]
-                hit["key"] = " ".join((hit["title"] or "").split()).lower()
-            out.append((r["seq"], hit, hit["seq"] == r["seq"]))
-        table = [{"seq": s, "paper": p["seq"], "inserted": made} | {c: p[c] for c in names} for s, p, made in out]
-        return pd.DataFrame(table, columns=["seq", "paper", "inserted", *names])
-
-    return e.groupBy("grp").applyInPandas(fold, schema)
+    filled = [c for c in ("title", "authors", "abstract", "year") if c in names]
+    full = {c: F.col(c).isNotNull() if c == "year" else F.coalesce(c, F.lit("")) != "" for c in filled}
+    first = got.join(entries.select("seq", *filled), "seq").groupBy("paper").agg(*[F.min_by(c, F.when(full[c], F.col("seq"))).alias(f"__{c}") for c in filled])
+    made = entries.withColumnRenamed("seq", "paper").join(got.where("seq = paper").select("paper", "__d"), "paper").join(first, "paper")
+    value = {c: F.coalesce(f"__{c}", c) for c in filled} | ({"doi": F.col("__d")} if "doi" in names else {})
+    made = made.select("paper", *[value.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+    return got.select("seq", "paper", (F.col("seq") == F.col("paper")).alias("inserted")).join(made, "paper").select("seq", "paper", "inserted", *names)
 
 
 def ingest_counts(folded: DataFrame) -> DataFrame:

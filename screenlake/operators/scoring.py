@@ -4,40 +4,48 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenlake.functions.text import tokens
-from screenlake.functions.topic import STUDY, Topic, classify, keyword_scores
+from screenlake.functions.text import apart, occurrences, preprocess, tokens
+from screenlake.functions.topic import STUDY, Topic, keyword_scores, labelled, signals
+from screenlake.stages import Stages
 
 FALLBACK = 0.15
 
 
-def equals(word: str) -> Callable[[Column], Column]:
-    return lambda w: w == word
+def term_counts(docs: DataFrame, asked: list[str], cleaned: str) -> DataFrame:
+    """``docs`` plus dl (words of a preprocessed text) and tf (how often each of the terms asked for is a word)."""
+    c = F.coalesce(F.col(cleaned), F.lit(""))
+    df = docs.withColumn("__a", apart(c)).withColumn("dl", F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1))
+    return df.withColumn("tf", F.array(*[occurrences(F.col("__a"), f" {x} ") for x in asked]).cast("array<int>")).drop("__a")
+
+
+def ranked(counted: DataFrame, terms: Mapping[str, int], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``counted`` (dl, tf of the sorted terms) plus bm25."""
+    asked = sorted(terms)
+    stats = counted.agg(F.count("*").alias("__docs"), F.avg("dl").alias("__avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"__df{i}") for i in range(len(asked))])
+    one = counted.crossJoin(F.broadcast(stats))  # one row
+    score: Column = F.lit(0.0)
+    for i, x in enumerate(asked):
+        tf, df = F.col("tf")[i], F.col(f"__df{i}")
+        idf = F.ln((F.col("__docs") - df + 0.5) / (df + 0.5) + 1)
+        score = score + F.when(tf > 0, F.lit(terms[x]) * idf * tf * (k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("__avgdl")))).otherwise(0.0)
+    return one.withColumn("bm25", score).drop(*[c for c in stats.columns])
 
 
 def bm25(docs: DataFrame, terms: Mapping[str, int], id_col: str = "id", text_col: str = "abstract", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(id, bm25) of every document for a query given as term -> times. Texts without words score 0.
 
-    No document is shuffled: one pass reduces to a row of corpus statistics, which is joined back to each document's
-    hits on the query's terms.
+    One pass over the texts counts words and hits and is written; statistics and scores come from that small table. No
+    document is shuffled.
     """
-    asked = sorted(terms)
-    t = tokens(text_col)
-    hits = docs.select(F.col(id_col).alias("id"), F.size(t).alias("dl"), F.filter(t, lambda x: x.isin(asked)).alias("hits")) if asked else docs.select(F.col(id_col).alias("id"), F.size(t).alias("dl"), F.array().cast("array<string>").alias("hits"))
-    stats = hits.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.array_contains("hits", x)).alias(f"df{i}") for i, x in enumerate(asked)])
-    one = hits.crossJoin(F.broadcast(stats))  # one row
-    score: Column = F.lit(0.0)
-    for i, x in enumerate(asked):
-        tf, df = F.size(F.filter("hits", equals(x))), F.col(f"df{i}")
-        idf = F.ln((F.col("docs") - df + 0.5) / (df + 0.5) + 1)
-        score = score + F.when(tf > 0, F.lit(terms[x]) * idf * tf * (k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-    return one.select("id", score.alias("bm25"))
+    counted = term_counts(docs.select(F.col(id_col).alias("id"), preprocess(text_col).alias("__c")), sorted(terms), "__c").select("id", "dl", "tf")
+    return ranked(Stages(docs.sparkSession, "bm25").save("counted", counted), terms, k1, b).select("id", "bm25")
 
 
 def corpus_statistics(docs: DataFrame, id_col: str = "id", text_col: str = "abstract") -> tuple[DataFrame, DataFrame]:
@@ -64,21 +72,27 @@ def cosine(papers: DataFrame, embeddings: DataFrame, topic: DataFrame) -> DataFr
 
 
 def components(papers: DataFrame, method: str = "hybrid", keyword_weight: float = 0.4, bm25_weight: float = 0.6, topic: Topic = STUDY, embeddings: DataFrame | None = None, topic_vector: DataFrame | None = None) -> DataFrame:
-    """id, abstract, keyword_score, keyword_raw, keyword_matched, bm25_score, score of every paper."""
-    base = keyword_scores(papers.select("id", F.coalesce("abstract", F.lit("")).alias("abstract")), "abstract", topic)
+    """id, keyword_score, keyword_raw, keyword_matched, signals, bm25_score, score of every paper.
+
+    The texts are read and preprocessed once: what keywords, signals and the ranking function need of them is written
+    as one small row for each paper, from which thresholds and results are made.
+    """
+    if method not in ("keyword", "bm25", "hybrid", "embedding"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "embedding" and (embeddings is None or topic_vector is None):
+        raise ValueError("method 'embedding' needs embeddings and a topic vector")
+    terms = topic.query_terms()
+    base = papers.select("id", F.coalesce("abstract", F.lit("")).alias("abstract")).withColumn("__c", preprocess("abstract"))
+    base = term_counts(keyword_scores(base, "abstract", topic, cleaned="__c").withColumn("signals", signals(F.col("__c"), topic)), sorted(terms), "__c")
+    base = Stages(papers.sparkSession, "scores").save("measured", base.drop("abstract", "__c"))
     if method == "embedding":
-        if embeddings is None or topic_vector is None:
-            raise ValueError("method 'embedding' needs embeddings and a topic vector")
-        return base.join(cosine(papers, embeddings, topic_vector), "id").withColumn("bm25_score", F.lit(0.0))
-    if method in ("bm25", "hybrid"):
-        ranked = normalised(bm25(papers, topic.query_terms()), "bm25").select("id", F.col("bm25").alias("bm25_score"))
-        base = base.join(ranked, "id")
-    elif method == "keyword":
+        return base.drop("dl", "tf").withColumn("bm25_score", F.lit(0.0)).join(cosine(papers, embeddings, topic_vector), "id")
+    if method == "keyword":
         base = base.withColumn("bm25_score", F.lit(0.0))
     else:
-        raise ValueError(f"unknown method {method!r}")
+        base = normalised(ranked(base, terms), "bm25").withColumnRenamed("bm25", "bm25_score")
     both = F.lit(keyword_weight) * F.col("keyword_score") + F.lit(bm25_weight) * F.col("bm25_score")
-    return base.withColumn("score", {"keyword": F.col("keyword_score"), "bm25": F.col("bm25_score")}.get(method, both))
+    return base.drop("dl", "tf").withColumn("score", {"keyword": F.col("keyword_score"), "bm25": F.col("bm25_score")}.get(method, both))
 
 
 def gold(consensus: DataFrame) -> DataFrame:
@@ -135,7 +149,7 @@ def evaluate_corpus(papers: DataFrame, consensus: DataFrame | None = None, metho
         threshold = derive_threshold(parts, consensus) if consensus is not None else None
         threshold = FALLBACK if threshold is None else threshold
     return parts.select(
-        F.col("id").alias("paper_id"), "score", (F.col("score") >= threshold).alias("is_relevant"), classify("abstract", "score", threshold, topic).alias("relevance_class"),
+        F.col("id").alias("paper_id"), "score", (F.col("score") >= threshold).alias("is_relevant"), labelled(F.col("signals"), F.col("score"), threshold).alias("relevance_class"),
         F.lit(method).alias("method"), F.lit(threshold).alias("threshold"), "keyword_score", "bm25_score", "keyword_raw", "keyword_matched")
 
 

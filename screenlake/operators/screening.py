@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.functions.text import embedding_text, html_unescape, judge_result, verify_excerpt
+from screenlake.functions.text import embedding_text, excerpt_fragments, html_unescape, in_order, judge_result, plain_quote, verify_excerpt
 from screenlake.schemas import LABELS
+from screenlake.stages import Stages
 
 #: Prompts by name; the words are our own.
 PROMPTS = {
@@ -94,6 +95,37 @@ def judge(evals: DataFrame, papers: DataFrame, model: Model, judge_model: str, p
     return a.select(F.col("id").alias("eval_id"), F.lit(judge_model).alias("judge_model"), F.lit(prompt_id).alias("judge_prompt_id"), *[v.alias(k) for k, v in fields.items()])
 
 
+def find_excerpts(docs: DataFrame, excerpts: DataFrame, id_col: str = "id", text_col: str = "abstract", key: str = "excerpt_id", size: int = 5) -> DataFrame:
+    """(id, key) of each document and each of the excerpts (key, excerpt) that it holds: fragments in order.
+
+    Words inside of a fragment, its first and last apart, are words of any text that holds it, one after the other. The
+    first ``size`` of them, fewer in a shorter fragment, of the longest fragment find candidates: runs of as many words
+    of the texts are joined with them by hash, and only candidates are compared. Excerpts without inner words are
+    compared with every text, empty ones are in all. Each text is made plain once for either step.
+    """
+    st = Stages(docs.sparkSession, "excerpts")
+    longest = F.split(F.element_at(F.array_sort("fragments", lambda a, b: F.length(b) - F.length(a)), 1), " ")
+    asked = excerpts.select(key, excerpt_fragments("excerpt").alias("fragments")).withColumn("inner", F.when(F.size("fragments") > 0, longest).otherwise(F.array().cast("array<string>")))
+    asked = asked.withColumn("inner", F.slice("inner", 2, F.greatest(F.lit(0), F.least(F.lit(size), F.size("inner") - 2)))).withColumn("n", F.size("inner"))
+    asked = st.save("asked", asked.withColumn("run", F.xxhash64("inner")))
+    lengths = [r["n"] for r in asked.select("n").distinct().orderBy("n").collect()]  # at most size + 1
+    plain = docs.select(F.col(id_col).alias("id"), plain_quote(F.col(text_col)).alias("plain"))
+    w = F.col("w")
+
+    def runs(n: int):
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(w, i, n)).alias("run")))).otherwise(F.array().cast("array<struct<n:int,run:bigint>>"))
+
+    none = F.array().cast("array<struct<n:int,run:bigint>>")
+    held = plain.select("id", F.split("plain", " ").alias("w")).select("id", F.explode(F.concat(none, *[runs(n) for n in lengths if n])).alias("r"))
+    pairs = held.select("id", "r.n", "r.run").join(asked.where("n > 0").select(key, "n", "run"), ["n", "run"]).select("id", key).distinct()
+    pairs = st.save("pairs", pairs)
+    fits = in_order(F.col("fragments"), F.col("plain"))
+    found = plain.join(pairs, "id").join(asked.select(key, "fragments"), key).where(fits).select("id", key)
+    if 0 in lengths:
+        found = found.unionByName(plain.crossJoin(asked.where("n = 0").select(key, "fragments")).where(fits).select("id", key))  # no word of these is sure
+    return found
+
+
 def embed(papers: DataFrame, embeddings: DataFrame, embedder: Callable[[list[str]], list[list[float]]], model_name: str, prefix: str = "- ", batch: int = 64) -> DataFrame:
     """Rows of paper_embeddings for papers that have none of this model yet."""
     missing = papers.join(embeddings.where(F.col("model_name") == model_name).select(F.col("paper_id").alias("id")), "id", "left_anti")

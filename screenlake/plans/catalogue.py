@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from screenlake.functions import text as X
 from screenlake.functions.topic import Topic, classify, keyword_scores
-from screenlake.operators import citations, identity, lookups, metrics, reports, scoring, upserts
+from screenlake.operators import citations, identity, lookups, metrics, reports, scoring, screening, upserts
 from screenlake.plans import sql as readonly
 from screenlake.plans.standin import ctes, table
 
@@ -268,9 +268,19 @@ _PLAIN = r"lower(trim(regexp_replace(translate({}, '“”‘’„‚«» ', '\
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(" + _PLAIN.format("d.text") + ", " + _PLAIN.format(r"regexp_replace(b.text, '[\s.…]+$', '')") + ")")
 def excerpt_in_order(spark, d):
     items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("excerpt"))
-    # the benchmark has a fixed number of items
-    pairs = _docs(spark, d).crossJoin(F.broadcast(items))
-    return pairs.where(X.verify_excerpt("excerpt", "text")).select("doc_id", "item_id")
+    return screening.find_excerpts(_docs(spark, d), items, "doc_id", "text", "item_id").withColumnRenamed("id", "doc_id")
+
+
+#: Excerpts with an elision: two parts of each item in their order (kind 0) and the other way round (kind 1).
+_ELIDED = "SELECT item_id * 2 AS part_id, concat(substr(text, 1, 90), ' [...] ', substr(text, 120, 70)) AS excerpt, substr(text, 1, 90) AS a, substr(text, 120, 70) AS b FROM benchmark UNION ALL " \
+    "SELECT item_id * 2 + 1 AS part_id, concat(substr(text, 120, 70), ' ... ', substr(text, 1, 90)) AS excerpt, substr(text, 120, 70) AS a, substr(text, 1, 90) AS b FROM benchmark"
+
+
+@query(f"WITH e AS ({_ELIDED}), p AS (SELECT part_id, {_PLAIN.format('a')} AS a, {_PLAIN.format('b').replace('translate(b', chr(116) + 'ranslate(regexp_replace(b, ' + chr(39) + '[' + chr(92) + 's.…]+$' + chr(39) + ', ' + chr(39) * 2 + ')')} AS b FROM e), "
+       f"t AS (SELECT doc_id, {_PLAIN.format('text')} AS t FROM documents) SELECT doc_id, part_id FROM t JOIN p ON contains(t, a) AND contains(substr(t, instr(t, a) + length(a)), b)")
+def excerpt_fragments(spark, d):
+    spark.read.parquet(f"{d}/benchmark.parquet").createOrReplaceTempView("benchmark")
+    return screening.find_excerpts(_docs(spark, d), spark.sql(_ELIDED).select("part_id", "excerpt"), "doc_id", "text", "part_id").withColumnRenamed("id", "doc_id")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
