@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -9,12 +10,13 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenlake.functions.text import fold_title, normalise_doi, normalise_title, plain_similarity, squash_title, title_similarity
 from screenlake.operators.graph import components
+from screenlake.operators.upserts import with_ids
 from screenlake.stages import Stages
 
 
@@ -145,36 +147,128 @@ def distinct_dois(rows: DataFrame, col: str = "doi", order: str = "seq", size: i
 
 
 class Shelf:
-    """Papers of one group in the order of their arrival, found by DOI, else by title: the first paper of the title, or
+    """Papers of one group in the order of their arrival, found by DOI, else by name: the first paper of the name, or
     for an entry with a DOI the first that has none. Every step looks up one key."""
 
     def __init__(self) -> None:
         self.papers: list[list] = []  # id, DOI, title
         self.by_doi: dict[str, int] = {}
         self.first: dict[str, int] = {}
-        self.free: dict[str, int] = {}
+        self.free: dict[str, list[int]] = {}
 
-    def find(self, doi: str | None, title: str) -> int | None:
+    def find(self, doi: str | None, *names: str) -> int | None:
+        """By DOI, else by the first of the names that any paper has."""
         if doi and doi in self.by_doi:
             return self.by_doi[doi]
-        return (self.free if doi else self.first).get(title) if title else None
-
-    def name(self, k: int, title: str) -> None:
-        """Gives a paper its title; an earlier paper goes before later ones of that title."""
-        self.papers[k][2] = title
-        self.first[title] = min(k, self.first.get(title, k))
-        if not self.papers[k][1]:
-            self.free[title] = min(k, self.free.get(title, k))
-
-    def add(self, paper: int, doi: str | None, title: str) -> int:
+        for name in names:
+            if name and name in self.first:
+                if not doi:
+                    return self.first[name]
+                free = self.free.get(name, [])
+                while free and self.papers[free[0]][1]:
+                    heapq.heappop(free)
+                return free[0] if free else None
+        return None
+
+    def name(self, k: int, *names: str) -> None:
+        """Gives a paper names; an earlier paper goes before later ones of a name."""
+        for name in filter(None, names):
+            self.first[name] = min(k, self.first.get(name, k))
+            if not self.papers[k][1]:
+                heapq.heappush(self.free.setdefault(name, []), k)
+
+    def add(self, paper: int, doi: str | None, *names: str) -> int:
         k = len(self.papers)
-        self.papers.append([paper, doi, ""])
+        self.papers.append([paper, doi, names[0] if names else ""])
         if doi:
             self.by_doi.setdefault(doi, k)
-        if title:
-            self.name(k, title)
+        self.name(k, *names)
         return k
 
+    def learn(self, k: int, doi: str | None) -> None:
+        """A paper without a DOI takes one that no paper has."""
+        if doi and not self.papers[k][1] and doi not in self.by_doi:
+            self.papers[k][1] = doi
+            self.by_doi[doi] = k
+
+
+def find_or_create(papers: DataFrame, works: DataFrame) -> DataFrame:
+    """(seq, paper_id, maker): for each of the works (seq, doi, title), in the order of ``seq``, the paper that it is: one
+    known before, or null and the seq of the work that makes it.
+
+    A work is the paper of its DOI, else the first of its title, else, where no paper has the title, the first of it
+    without white space; never where both have DOIs that differ. A paper without DOI takes that of its first work, so
+    later works see it. Only papers that share a key with a work are looked at, in groups linked by keys, and each
+    group is read once, in order.
+    """
+    st = Stages(papers.sparkSession, "find-or-create")
+
+    def keyed(df: DataFrame, seq: Column, kind: int, doi: Column) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), seq.alias("seq"), F.nullif(doi, F.lit("")).alias("d"), normalise_title("title").alias("t"), squash_title("title").alias("s"))
+
+    def keys(df: DataFrame) -> DataFrame:
+        return df.select("kind", "seq", F.explode(F.array(F.concat(F.lit("d"), "d"), F.when(F.col("s") != "", F.concat(F.lit("s"), "s")))).alias("k")).where("k is not null")
+
+    w = st.save("works", keyed(works, F.col("seq"), 1, normalise_doi("doi")))
+    p = keyed(papers, F.col("id"), 0, F.lower("doi"))
+    wanted = st.save("keys", keys(w).select("k").distinct())
+    near = keys(p).join(wanted, "k", "left_semi")
+    rows = st.save("rows", w.unionByName(p.join(near.select("seq").distinct(), "seq", "left_semi").select(*w.columns)).withColumn("node", F.col("seq") * 2 + F.col("kind")))
+    links = st.save("links", keys(rows).select((F.col("seq") * 2 + F.col("kind")).alias("a"), "k"))
+    heads = links.groupBy("k").agg(F.min("a").alias("b"))
+    groups = components(st, links.join(heads, "k").select("a", "b"))
+    rows = rows.join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, shelf = None, Shelf()
+        for b in batches:
+            out: list[tuple] = []
+            for g, kind, seq, d, t, q in zip(*[b.column(c).to_pylist() for c in ("grp", "kind", "seq", "d", "t", "s")]):
+                if g != group:
+                    group, shelf = g, Shelf()
+                names = ("t" + t, "s" + q) if q else ()
+                if kind == 0:
+                    shelf.add(2 * seq, d, *names)
+                    continue
+                k = shelf.find(d, *names)
+                if k is None:
+                    k = shelf.add(2 * seq + 1, d, *names)
+                else:
+                    shelf.learn(k, d)
+                paper, made = divmod(shelf.papers[k][0], 2)
+                out.append((seq, None if made else paper, paper if made else None))
+            cols = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["seq", "paper_id", "maker"])
+
+    got = rows.select("grp", "kind", "seq", "d", "t", "s").repartition("grp").sortWithinPartitions("grp", "kind", "seq")
+    return st.finish(got.mapInArrow(fold, "seq long, paper_id long, maker long"))
+
+
+WORK_FIELDS = ("doi", "title", "authors", "year", "abstract", "publication_title", "pdf_url")
+
+
+def absorb(papers: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(papers, (seq, paper_id), ids of new papers) after the works (seq and the fields of a work) came in: unknown
+    ones become papers, known ones fill what their papers lack."""
+    st = Stages(papers.sparkSession, "absorb")
+    for c in WORK_FIELDS:
+        if c not in works.columns:
+            works = works.withColumn(c, F.lit(None).cast("int" if c == "year" else "string"))
+    works = st.save("works", works.select("seq", *WORK_FIELDS))
+    placed = st.save("placed", find_or_create(papers, works))
+    trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    made = works.join(placed.where("maker = seq").select("seq"), "seq")
+    made = made.withColumns({"title": trimmed("title"), "abstract": trimmed("abstract"), "authors": F.coalesce("authors", F.lit("")), "publication_title": F.coalesce("publication_title", F.lit("")), "year": F.coalesce("year", F.lit(0)), "doi": F.nullif("doi", F.lit(""))})
+    new = st.save("new", with_ids(papers, made, ["seq"]))
+    ids = new.select(F.col("seq").alias("maker"), F.col("id").alias("new_id"))
+    placed = st.save("ids", placed.join(ids, "maker", "left").select("seq", F.coalesce("paper_id", "new_id").alias("paper_id"), (F.col("seq") == F.col("maker")).alias("made")))
+    for f in papers.schema:
+        if f.name not in new.columns:
+            new = new.withColumn(f.name, F.lit(None).cast(f.dataType))
+    grown = st.save("grown", papers.unionByName(new.select(*[F.col(f.name).cast(f.dataType) for f in papers.schema])))
+    later = works.join(placed.where("not coalesce(made, false)"), "seq").withColumn("rank", F.col("seq"))
+    return fill_missing(grown, later), placed.select("seq", "paper_id"), ids.select(F.col("new_id").alias("paper_id"))
+
 
 def ingest(entries: DataFrame) -> DataFrame:
     """(seq, paper, inserted, title, authors, year, abstract, publication_title, doi, keywords): the fold of a search's
@@ -205,6 +299,7 @@ def ingest(entries: DataFrame) -> DataFrame:
                 if k is None:
                     k = shelf.add(seq, d, t)
                 elif t and not shelf.papers[k][2]:
+                    shelf.papers[k][2] = t
                     shelf.name(k, t)
                 paper.append(shelf.papers[k][0])
             yield pa.RecordBatch.from_arrays([b.column("seq"), pa.array(paper, pa.int64())], ["seq", "paper"])
@@ -229,7 +324,7 @@ def ingest_counts(folded: DataFrame) -> DataFrame:
 def fill_missing(papers: DataFrame, found: DataFrame) -> DataFrame:
     """Papers whose empty abstract, authors, year, doi and pdf_url are filled from (paper_id, those columns, rank); a
     DOI that another paper has is not taken."""
-    best = {c: F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0"), None).otherwise(F.col("rank"))) for c in ("abstract", "authors", "year", "doi", "pdf_url") if c in found.columns}
+    best = {c: F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0"), None).otherwise(F.col("rank"))) for c in ("abstract", "authors", "year", "doi", "pdf_url") if c in found.columns and c in papers.columns}
     new = found.groupBy(F.col("paper_id").alias("id")).agg(*[v.alias(f"__{c}") for c, v in best.items()])
     taken = papers.where("doi is not null").select(normalise_doi("doi").alias("__taken")).distinct()
     if "doi" in best:

@@ -14,72 +14,79 @@ from screenlake.stages import numbered
 
 ENTRY = "seq_in_file int, entry_type string, cite_key string, fields map<string,string>"
 _HEAD = re.compile(r"@(\w+)\s*\{\s*([^,\s]+)\s*,")
-_NAME = re.compile(r"[ \t]*(\w+)\s*=\s*", re.S)
-
-
-def unwrap(value: str) -> str:
-    """Takes off pairs of braces that enclose all of the value."""
-    value = value.strip()
-    while value[:1] == "{" and value[-1:] == "}" and len(value) > 1:
-        depth, inner = 0, value[1:-1]
-        for ch in inner:
-            depth += (ch == "{") - (ch == "}")
-            if depth < 0:
-                break
-        if depth:
-            return value
-        value = inner.strip()
-    return value
+#: Characters that mean something in the body of an entry, and a field's name.
+_MARK = re.compile(r'[{}",]')
+_NAME = re.compile(r"\s*(\w+)\s*=\s*(.*)", re.S)
+
+
+def pairs(text: str) -> dict[int, int]:
+    """Where each brace that opens is closed, as far as it is."""
+    out, open_ = {}, []
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out
 
 
-def split_fields(body: str) -> list[str]:
-    """Pieces between commas that are in neither braces nor quotes."""
-    cuts, depth, quoted = [-1], 0, False
-    for i, ch in enumerate(body):
-        if ch == '"' and not depth:
-            quoted = not quoted
-        elif not quoted:
-            depth += (ch == "{") - (ch == "}")
-            if ch == "," and not depth:
-                cuts.append(i)
-    cuts.append(len(body))
-    pieces = [body[a + 1 : b] for a, b in zip(cuts, cuts[1:])]
-    return pieces if pieces[-1] else pieces[:-1]
-
-
-def field(piece: str) -> tuple[str, str] | None:
-    """name and value of ``name = {..}``, ``name = ".."`` or ``name = bare``; None for anything else."""
-    piece = piece.strip()
-    m = _NAME.match(piece)
-    if not m:
-        return None
-    rest = piece[m.end() :].rstrip()
-    rest = rest[:-1].rstrip() if rest.endswith(",") else rest
-    if len(rest) > 1 and rest[0] == "{" and rest[-1] == "}" or len(rest) > 1 and rest[0] == '"' and rest[-1] == '"':
-        value = rest[1:-1] or ""
-    elif rest and "," not in rest[1:]:
-        value = rest
-    else:
+def value_of(raw: str) -> str | None:
+    """What a field says: without its mark (braces or quotes), without braces around the whole, spaces squeezed. None
+    where several values stand without a mark. A comma that an unclosed brace has kept from ending the field goes."""
+    raw = raw.removesuffix(",").rstrip()
+    first, last = raw[:1], raw[-1:]
+    if len(raw) > 1 and (first, last) in (("{", "}"), ('"', '"')):
+        raw = raw[1:-1]
+    elif not raw or "," in raw[1:]:
         return None
-    return m[1].lower(), " ".join(unwrap(value).split())
+    raw = raw.strip()
+    closed = pairs(raw)
+    a, z = 0, len(raw)
+    while z - a > 1 and raw[a] == "{" and closed.get(a) == z - 1:
+        a, z = a + 1, z - 1
+        while a < z and raw[a].isspace():
+            a += 1
+        while z > a and raw[z - 1].isspace():
+            z -= 1
+    return " ".join(raw[a:z].split())
+
+
+def fields_of(body: str) -> dict[str, str]:
+    """name -> value of ``name = {..}``, ``name = ".."`` and ``name = bare`` between the commas that stand in neither
+    braces nor quotes. One pass over the marks; pieces that are no field are left out."""
+    out, depth, quoted, start = {}, 0, False, 0
+    ends = [(m.start(), m[0]) for m in _MARK.finditer(body)] + [(len(body), "end")]
+    for at, mark in ends:
+        if mark == '"' and not depth:
+            quoted = not quoted
+        elif mark in "{}" and not quoted:
+            depth += 1 if mark == "{" else -1
+        elif mark == "end" or mark == "," and not quoted and not depth:
+            named = _NAME.fullmatch(body[start:at].strip())
+            value = value_of(named[2].strip()) if named else None
+            if value is not None:
+                out[named[1].lower()] = value
+            start = at + 1
+    return out
 
 
 def parse(text: str) -> list[dict]:
     """Entries in order. Fields on the line that opens an entry or on the one that closes it are not read."""
-    out, lines, i = [], text.splitlines(), 0
-    while i < len(lines):
-        head = _HEAD.match(lines[i].strip())
-        i += 1
-        if not head:
+    out: list[dict] = []
+    depth, body = 0, []
+    for line in text.splitlines():
+        if not depth:
+            if head := _HEAD.match(line.strip()):
+                out.append({"entry_type": head[1].lower(), "cite_key": head[2], "fields": {}})
+                depth, body = 1, []
             continue
-        depth, body = 1, []
-        while i < len(lines) and depth > 0:
-            depth += lines[i].count("{") - lines[i].count("}")
-            if depth > 0:
-                body.append(lines[i])
-            i += 1
-        fields = dict(f for f in map(field, split_fields(" ".join(body))) if f)
-        out.append({"entry_type": head[1].lower(), "cite_key": head[2], "fields": fields})
+        depth = max(depth + line.count("{") - line.count("}"), 0)
+        if depth:
+            body.append(line)
+        else:
+            out[-1]["fields"] = fields_of(" ".join(body))
+    if depth and out:
+        out[-1]["fields"] = fields_of(" ".join(body))
     return out
 
 

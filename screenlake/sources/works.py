@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import email.utils
+import itertools
 import random
+import re
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,82 +58,133 @@ class RateLimitError(Exception):
     """A source could not be used any further."""
 
 
+def _number(text: str) -> float | None:
+    return float(text) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text) else None
+
+
+def _moment(text: str) -> float | None:
+    fields = email.utils.parsedate_tz(text)
+    return email.utils.mktime_tz(fields) if fields else None
+
+
 def retry_after(header: str | None, now: float | None = None) -> float | None:
     """Seconds that a Retry-After header asks to wait: a number or an HTTP date; None if it is past or no such thing."""
     text = (header or "").strip()
-    if not text:
-        return None
-    try:
-        seconds = float(text)
-    except ValueError:
-        try:
-            seconds = email.utils.parsedate_to_datetime(text).timestamp() - (time.time() if now is None else now)
-        except (TypeError, ValueError):
-            return None
-    return seconds if seconds > 0 else None
+    seconds, moment = _number(text), _moment(text)
+    if seconds is None and moment is not None:
+        seconds = moment - (time.time() if now is None else now)
+    return seconds if seconds is not None and seconds > 0 else None
 
 
-@dataclass
-class Pace:
-    """Keeps the intervals between calls of each source, widens them after failures, and gives up in the end."""
+@dataclass(frozen=True)
+class Limits:
+    """What a source stands: pure functions of what has happened so far."""
 
+    #: Seconds between calls, failures in a row that end a run, the longest wait, how waits widen, and the
+    #: share of chance in them.
     interval: float = 1.0
     retries: int = 5
     longest: float = 60.0
     base: float = 2.0
     jitter: float = 0.5
-    by_source: dict[str, float] = field(default_factory=dict)
-    sleep: Callable[[float], None] = time.sleep
-    clock: Callable[[], float] = time.monotonic
-    failures: int = 0
-    calls: int = 0
-    last: float | None = None
+    by_source: Mapping[str, float] = field(default_factory=dict)
+
+    def due(self, last: float | None, failures: int, source: str | None) -> float:
+        """When the next call may go."""
+        if last is None:
+            return float("-inf")
+        gap = self.interval if source is None else self.by_source.get(source, self.interval)
+        return last + (gap if failures == 0 else min(gap * self.base**failures, self.longest))
+
+    def back_off(self, attempt: int, asked: float | None, chance: float) -> float:
+        """Seconds to wait after a failed attempt; what the source asked for goes before our own measure."""
+        own = min(self.base ** max(attempt, 0), self.longest) + chance * self.jitter
+        return own if asked is None else min(asked, self.longest)
+
+
+class Pace:
+    """One client's calls under ``Limits``: waits until the next may go, counts failures in a row, gives up in the end."""
+
+    def __init__(self, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic, **limits):
+        self.limits, self.sleep, self.clock = Limits(**limits), sleep, clock
+        self.last: float | None = None
+        self.failures = self.calls = 0
 
     def wait(self, source: str | None = None) -> None:
-        gap = self.by_source.get(source, self.interval) if source else self.interval
-        if self.failures:
-            gap = min(self.longest, gap * self.base**self.failures)
-        if self.last is not None and (rest := gap - (self.clock() - self.last)) > 0:
-            self.sleep(rest)
-        self.last = self.clock()
-        self.calls += 1
+        early = self.limits.due(self.last, self.failures, source) - self.clock()
+        if early > 0:
+            self.sleep(early)
+        self.last, self.calls = self.clock(), self.calls + 1
 
     def pause(self, attempt: int, header: str | None = None) -> float:
-        asked = retry_after(header)
-        return min(self.longest, asked) if asked is not None else min(self.longest, self.base ** max(0, attempt)) + random.uniform(0, self.jitter)
+        return self.limits.back_off(attempt, retry_after(header), random.random())
 
-    def failed(self) -> None:
-        self.failures += 1
-        if self.failures >= self.retries:
+    def outcome(self, good: bool) -> None:
+        self.failures = 0 if good else self.failures + 1
+        if self.failures >= self.limits.retries:
             raise RateLimitError(f"{self.failures} calls in a row failed")
 
-    def succeeded(self) -> None:
-        self.failures = 0
-
 
 #: Answers that are worth another try.
 AGAIN = frozenset({429, 500, 502, 503, 504})
 
 
+def transient(status: int) -> bool:
+    """Whether the source, not the request, is at fault."""
+    return status in AGAIN
+
+
 def call(request: Callable[[], tuple[int, dict, object]], pace: Pace, source: str) -> object:
     """The body of a request (status, headers, body), tried again on passing faults; RateLimitError in the end."""
-    attempt = 0
-    while True:
+    for attempt in itertools.count():
         pace.wait(source)
         status, headers, body = request()
-        if status < 400:
-            pace.succeeded()
-            return body
-        if not transient(status):
+        passing = transient(status)
+        if status >= 400 and not passing:
             raise LookupError(f"{source} answered {status}")
-        pace.failed()
+        pace.outcome(not passing)
+        if not passing:
+            return body
         pace.sleep(pace.pause(attempt, headers.get("Retry-After")))
-        attempt += 1
 
 
-def transient(status: int) -> bool:
-    """Whether the source, not the request, is at fault."""
-    return status in AGAIN
+class Run:
+    """One run over several sources: a source that fails passingly once is skipped for the rest of it."""
+
+    def __init__(self) -> None:
+        self.throttled: set[str] = set()
+
+    def ask(self, source: str, request: Callable[[], object]) -> object | None:
+        """The answer, or None from a source that is skipped, fails, or does not have it."""
+        if source in self.throttled:
+            return None
+        try:
+            return request()
+        except LookupError:
+            return None
+        except (RateLimitError, OSError):  # time-outs and refused connections among them
+            self.throttled.add(source)
+            return None
+
+    def first(self, sources: Iterable[str], request: Callable[[str], object]) -> object | None:
+        """The first answer of the sources in turn."""
+        return next((a for s in sources if (a := self.ask(s, lambda s=s: request(s))) is not None), None)
+
+
+def secret(value: str | None, names: Iterable[str], environment: Mapping[str, str]) -> str:
+    """A key for a client: the value given, else the first of the names that the caller's environment has."""
+    found = value or next((environment[n] for n in names if environment.get(n)), None)
+    if not found:
+        raise ValueError(f"no key given, and none of {', '.join(names)} is set")
+    return found
+
+
+def optional(make: Callable[[], object]) -> object | None:
+    """A client, or None where its package or key is missing."""
+    try:
+        return make()
+    except (ImportError, ValueError):
+        return None
 
 
 #: DOIs asked for in one request.
@@ -142,15 +195,16 @@ CAN_LIST = {("crossref", "backward"), ("openalex", "backward"), ("openalex", "fo
 
 class WorkSource:
     """Works of one source out of a table of payloads (key, payload), which stands for the service: files written by a
-    client, or rows of tests. ``fetch`` fills it from a live client on the driver, one batch at a time."""
+    client, or rows of tests. ``fetch`` fills it from a live client, one batch at a time."""
 
     def __init__(self, name: str, payloads: DataFrame):
         self.name, self.payloads = name, payloads
 
-    def by_dois(self, dois: DataFrame) -> DataFrame:
-        """Works of (doi) with the column source."""
+    def by_dois(self, dois: DataFrame, single: bool = False) -> DataFrame:
+        """Works of (doi) with the column source. ``single``: as asked one by one, where the library names no venue."""
         hit = self.payloads.join(dois.select(F.col("doi").alias("key")).distinct(), "key", "left_semi")
-        return normalise(hit, self.name, keep=[]).withColumn("source", F.lit(self.name))
+        out = normalise(hit, self.name, keep=[]).withColumn("source", F.lit(self.name))
+        return out.withColumn("publication_title", F.lit("")) if single and self.name == "zotero" else out
 
     def references(self, seeds: DataFrame, direction: str) -> DataFrame:
         """(parent_doi, ref_index, work...) of seeds (doi); empty for pairs that the source does not offer."""
@@ -161,13 +215,22 @@ class WorkSource:
         return normalise(hit.select(F.col("key").alias("parent_doi"), "ref_index", "payload"), kind)
 
 
-def fetch(spark: SparkSession, name: str, dois: Iterable[str], ask: Callable[[list[str]], dict[str, str]], pace: Pace, budget: int | None = None) -> DataFrame:
-    """(key, payload) of a live client ``ask``: DOIs in, DOI -> JSON out. At most ``budget`` calls; the source's limit
-    on calls makes this serial by nature."""
-    todo, rows, size = list(dict.fromkeys(dois)), [], BATCH.get(name, 50)
-    for n, at in enumerate(range(0, len(todo), size)):
-        if budget is not None and n >= budget:
+def fetch(spark: SparkSession, name: str, dois: Iterable[str], ask: Callable[[list[str]], dict[str, str]], pace: Pace, path: str, run: Run | None = None, budget: int | None = None) -> DataFrame:
+    """(key, payload) of a live client ``ask``: DOIs in, DOI -> JSON out, kept under ``path``. At most ``budget`` calls;
+    the source's limit on calls makes this serial by nature. Answers are written batch by batch, so the driver holds
+    one, and what a source gave before it failed stays; DOIs that ``path`` has are not asked for again."""
+    schema, run = "key string, payload string", run or Run()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    todo = spark.createDataFrame([(d,) for d in dict.fromkeys(dois)], "key string")
+    todo = todo.join(spark.read.schema(schema).parquet(path), "key", "left_anti") if exists else todo
+    left = (r["key"] for r in todo.orderBy("key").toLocalIterator())
+    for n in itertools.count():
+        batch = list(itertools.islice(left, BATCH.get(name, 50)))
+        if not batch or name in run.throttled or budget is not None and n >= budget:
             break
         pace.wait(name)
-        rows += list(ask(todo[at : at + size]).items())
-    return spark.createDataFrame(rows, "key string, payload string")
+        answers = run.ask(name, lambda: ask(batch)) or {}
+        spark.createDataFrame(list(answers.items()), schema).coalesce(1).write.mode("append").parquet(path)
+        exists = True
+    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
