@@ -132,7 +132,10 @@ def _similar(refs: DataFrame, works: DataFrame, key: str, similarity: Callable,
 def listed_title_match(lists: DataFrame, least: float = 0.85, years: int = 1) -> DataFrame:
     """(ref_id, work_id, similarity): first match inside each ref's own list of works (ref_id, title, year, rank, work_id, work_title, work_year), compared exhaustively."""
     near = F.col("year").isNull() | F.col("work_year").isNull() | (F.abs(F.col("year") - F.col("work_year")) <= years)
-    hits = lists.withColumn("similarity", title_similarity("work_title", normalise_title("title"))).where((F.col("similarity") >= least) & near)
+    # titles whose lengths alone keep the ratio down are not compared
+    a, b = F.char_length("__a"), F.char_length("__b")
+    rows = lists.withColumns({"__a": folded("work_title"), "__b": folded(normalise_title("title"))}).where(near & (2 * F.least(a, b) >= F.lit(least) * (a + b) - 1e-9))
+    hits = rows.withColumn("similarity", title_similarity("work_title", normalise_title("title"))).where(F.col("similarity") >= least)
     return hits.groupBy("ref_id").agg(F.min(F.struct("rank", "work_id", "similarity")).alias("m")).select("ref_id", "m.work_id", "m.similarity")
 
 

@@ -83,14 +83,22 @@ def dashboard(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def provenance(papers: DataFrame, sources: DataFrame, paper_sources: DataFrame, queries: DataFrame, paper_queries: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, title, sources, queries, parents, children of each of ``papers``: every arm is aggregated before it is joined."""
-    ids = papers.select("id")
+def provenance(papers: DataFrame, sources: DataFrame, paper_sources: DataFrame, queries: DataFrame, paper_queries: DataFrame, edges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """id, found, title, sources, queries, parents, children of each of ``papers``, or of the ids ``asked`` for, known or
+    not. Parents and children come with title (null where the paper is gone), depth and time, by id. Every arm is
+    aggregated before it is joined."""
+    ids = (asked if asked is not None else papers).select("id")
+    titles = papers.select("id", "title")
     s = paper_sources.join(sources.select(F.col("id").alias("source_id"), "name"), "source_id").groupBy(F.col("paper_id").alias("id")).agg(F.sort_array(F.collect_set("name")).alias("sources"))
     q = paper_queries.join(queries.select(F.col("id").alias("query_id"), "platform", "query_text"), "query_id").groupBy(F.col("paper_id").alias("id")).agg(F.sort_array(F.collect_set(F.struct("query_id", "platform", "query_text"))).alias("queries"))
-    up = edges.groupBy(F.col("child_paper_id").alias("id")).agg(F.sort_array(F.collect_set("parent_paper_id")).alias("parents"))
-    down = edges.groupBy(F.col("parent_paper_id").alias("id")).agg(F.sort_array(F.collect_set("child_paper_id")).alias("children"))
-    out = papers.select("id", "title")
-    for arm in (s, q, up, down):
-        out = out.join(arm.join(ids, "id", "left_semi"), "id", "left")
+    time = F.col("discovered_at") if "discovered_at" in edges.columns else F.lit(None).cast("timestamp")
+    named = edges.select("child_paper_id", "parent_paper_id", "depth", time.alias("discovered_at"))
+
+    def arm(me: str, other: str, name: str) -> DataFrame:
+        near = named.join(ids.select(F.col("id").alias(me)), me, "left_semi").join(titles.select(F.col("id").alias(other), "title"), other, "left")
+        return near.groupBy(F.col(me).alias("id")).agg(F.sort_array(F.collect_set(F.struct(F.col(other).alias("paper_id"), "title", "depth", "discovered_at"))).alias(name))
+
+    out = ids.join(titles.withColumn("found", F.lit(True)), "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"), "title")
+    for part in (s.join(ids, "id", "left_semi"), q.join(ids, "id", "left_semi"), arm("child_paper_id", "parent_paper_id", "parents"), arm("parent_paper_id", "child_paper_id", "children")):
+        out = out.join(part, "id", "left")
     return out

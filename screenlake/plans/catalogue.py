@@ -43,9 +43,10 @@ def corpus_by_source(spark, d):
     return reports.by_source(table(spark, d, "sources"), table(spark, d, "paper_sources"))
 
 
-@query(ctes("sources", "paper_sources") + " SELECT s.name AS source, count(DISTINCT l.paper_id) AS n_papers FROM sources s LEFT JOIN paper_sources l ON l.source_id = s.id AND l.paper_id < 40 GROUP BY s.name")
+@query(ctes("sources", "paper_sources") + ", s AS (SELECT id, name FROM sources UNION ALL SELECT -1, 'no papers') SELECT s.name AS source, count(DISTINCT l.paper_id) AS n_papers FROM s LEFT JOIN paper_sources l ON l.source_id = s.id GROUP BY s.name")
 def source_counts_with_zeros(spark, d):
-    return reports.by_source(table(spark, d, "sources"), table(spark, d, "paper_sources").where("paper_id < 40"), zeros=True)
+    extra = spark.range(1).selectExpr("-1L as id", "'no papers' as name")
+    return reports.by_source(table(spark, d, "sources").union(extra), table(spark, d, "paper_sources"), zeros=True)
 
 
 _CATEGORY = "CASE WHEN contains(lower(s.name), 'snowball') THEN 'snowball' WHEN lower(s.name) LIKE 'query%' OR lower(s.name) IN ('acm', 'ieee', 'springer', 'semantic scholar') THEN 'database_query' ELSE 'other' END"
@@ -107,8 +108,11 @@ def relevance_totals(spark, d):
     return reports.relevance_totals(table(spark, d, "papers"), table(spark, d, "evals").withColumnRenamed("id", "evaluated_at"))
 
 
-@query(ctes("papers", "reference_lists") + """ SELECT count(*) AS total, count(*) FILTER (coalesce(abstract, '') = '') AS missing_abstract, count(*) FILTER (coalesce(doi, '') = '') AS missing_doi, count(*) FILTER (coalesce(year, 0) = 0) AS missing_year,
-    (SELECT count(*) FROM reference_lists r JOIN papers p ON p.id = r.resolved_paper_id WHERE r.status = 'resolved' AND coalesce(p.abstract, '') = '') AS resolved_missing_abstract FROM papers""")
+_RESOLVED = "(SELECT count(*) FROM reference_lists r JOIN papers p ON p.id = r.resolved_paper_id WHERE r.status = 'resolved' AND coalesce(p.{0}, '') = '') AS resolved_missing_{0}"
+
+
+@query(ctes("papers", "reference_lists") + f""" SELECT count(*) AS papers_total, count(*) FILTER (coalesce(abstract, '') = '') AS papers_missing_abstract, count(*) FILTER (coalesce(title, '') = '') AS papers_missing_title,
+    {_RESOLVED.format('abstract')}, {_RESOLVED.format('title')} FROM papers""")
 def coverage(spark, d):
     return citations.coverage(table(spark, d, "papers"), table(spark, d, "reference_lists"))
 
@@ -128,13 +132,20 @@ def dashboard(spark, d):
     return reports.dashboard({n: table(spark, d, n) for n in ("papers", "edges", "evals")})
 
 
-@query(ctes("papers", "edges", "queries", "paper_queries") + """ SELECT p.id, p.title, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT parent_paper_id AS x FROM edges e WHERE e.child_paper_id = p.id)) AS parents,
-    (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT child_paper_id AS x FROM edges e WHERE e.parent_paper_id = p.id)) AS children FROM papers p""")
+def _near(me: str, other: str) -> str:
+    return f"(SELECT string_agg(x, ',' ORDER BY k) FROM (SELECT DISTINCT e.{other} AS k, concat(e.{other}, ':', e.depth, ':', coalesce(md5(q.title), '')) AS x FROM edges e LEFT JOIN papers q ON q.id = e.{other} WHERE e.{me} = p.id))"
+
+
+@query(ctes("papers", "edges", "queries", "paper_queries") + f""" SELECT p.id, true AS found, p.title, {_near('child_paper_id', 'parent_paper_id')} AS parents, {_near('parent_paper_id', 'child_paper_id')} AS children,
+    (SELECT string_agg(DISTINCT q.query_text, ',' ORDER BY q.query_text) FROM paper_queries l JOIN queries q ON q.id = l.query_id WHERE l.paper_id = p.id) AS sources FROM papers p UNION ALL SELECT -1, false, NULL, NULL, NULL, NULL""")
 def provenance(spark, d):
     links = table(spark, d, "paper_queries").selectExpr("paper_id", "query_id as source_id")
     sources = table(spark, d, "queries").selectExpr("id", "query_text as name")
-    p = reports.provenance(table(spark, d, "papers"), sources, links, table(spark, d, "queries"), table(spark, d, "paper_queries"), table(spark, d, "edges"))
-    return p.select("id", "title", F.array_join(F.col("parents").cast("array<string>"), ",").alias("parents"), F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
+    papers = table(spark, d, "papers")
+    asked = papers.select("id").union(spark.range(1).selectExpr("-1L"))
+    p = reports.provenance(papers, sources, links, table(spark, d, "queries"), table(spark, d, "paper_queries"), table(spark, d, "edges"), asked)
+    near = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["paper_id"], x["depth"], F.coalesce(F.md5(x["title"]), F.lit("")))), ",").alias(c)
+    return p.select("id", "found", "title", near("parents"), near("children"), F.array_join("sources", ",").alias("sources"))
 
 
 # --- lookups --------------------------------------------------------------------------------------------------------

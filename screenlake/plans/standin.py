@@ -12,7 +12,7 @@ SQL: dict[str, str] = {
         doc_id % 17 AS created_at FROM documents""",
     "sources": """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN concat('Snowball ', s_suppkey) WHEN s_suppkey % 5 = 1 THEN concat('query', s_suppkey, ':ACM') WHEN s_suppkey % 5 = 2 AND s_suppkey < 5 THEN 'IEEE' ELSE s_name END AS name FROM supplier""",
     "paper_sources": "SELECT DISTINCT l_orderkey AS paper_id, l_suppkey AS source_id FROM lineitem",
-    "queries": "SELECT DISTINCT doc_id % 20 AS id, concat('platform ', doc_id % 3) AS platform, concat('q', doc_id % 20) AS query_text FROM documents WHERE doc_id < 60 AND doc_id % 3 = (doc_id % 20) % 3",
+    "queries": "SELECT DISTINCT doc_id % 20 AS id, concat('platform ', doc_id % 3) AS platform, concat('q', doc_id % 20) AS query_text FROM documents WHERE doc_id % 3 = (doc_id % 20) % 3",
     "paper_queries": "SELECT doc_id AS paper_id, doc_id % 20 AS query_id FROM documents UNION SELECT doc_id AS paper_id, (doc_id + 7) % 20 AS query_id FROM documents WHERE doc_id % 2 = 0",
     "edges": "SELECT doc_id AS child_paper_id, doc_id % 50 AS parent_paper_id, CAST(1 + doc_id % 2 AS INT) AS depth FROM documents WHERE doc_id <> doc_id % 50",
     "gold": "SELECT doc_id AS paper_id, CASE WHEN doc_id % 29 = 0 THEN 'disagree' WHEN quality = 0 THEN 'out-of-scope' WHEN toxic = 1 THEN 'hybrid' ELSE 'in-scope' END AS consensus_label FROM labels",
@@ -27,6 +27,10 @@ SQL: dict[str, str] = {
         CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN concat(' https://doi.org/10.1000/AB', (doc_id * 3) % 1500) WHEN 2 THEN concat('DOI:10.1000/ab', (doc_id * 3) % 1500) WHEN 3 THEN 'doi:' WHEN 4 THEN concat('http://dx.doi.org/10.1000/Ab', (doc_id * 3) % 1500) ELSE concat('10.1000/ab', (doc_id * 3) % 1500) END AS ref_doi,
         CASE WHEN doc_id % 5 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS ref_title, CAST(2000 + doc_id % 25 AS INT) AS ref_year, CASE WHEN doc_id % 9 = 0 THEN doc_id % 40 END AS resolved_paper_id, 'crossref' AS source,
         CASE WHEN doc_id % 9 = 0 THEN 'resolved' WHEN doc_id % 9 = 1 THEN 'fetch_error' WHEN doc_id % 9 = 2 THEN 'unresolved_no_doi' ELSE 'pending' END AS status FROM documents""",
+    "works": """SELECT concat('10.1000/AB', n) AS doi, concat('Work  ', n) AS title, '' AS authors, CAST(2010 AS INT) AS year, concat(source, ' ', n) AS abstract, 'V' AS publication_title, CAST(NULL AS STRING) AS pdf_url, source FROM (SELECT DISTINCT (doc_id * 3) % 1500 AS n FROM documents) x
+        JOIN (SELECT 'crossref' AS source, 4 AS m UNION ALL SELECT 'openalex', 8 UNION ALL SELECT 'semantic_scholar', 5 UNION ALL SELECT 'zotero', 10) y ON n % m = 0""",
+    "candidates": """SELECT doc_id AS ref_id, doc_id AS work_id, concat(split_part(text, chr(10), 1), '.') AS work_title, CAST(2001 + doc_id % 25 AS INT) AS work_year, CAST(1 AS INT) AS rank, 'crossref' AS source FROM documents WHERE length(split_part(text, chr(10), 1)) BETWEEN 20 AND 150 AND doc_id % 2 = 0
+        UNION ALL SELECT doc_id, doc_id + 1000000, 'Another title altogether', CAST(2000 AS INT), CAST(0 AS INT), 'openalex' FROM documents""",
 }
 
 

@@ -90,16 +90,20 @@ def parse(text: str) -> list[dict]:
     return out
 
 
-def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, seq_in_file, entry_type, cite_key, fields) of all files; one file is parsed by one task."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+def entries(files: DataFrame) -> DataFrame:
+    """(path, seq_in_file, entry_type, cite_key, fields) of texts (path, value); one text is parsed by one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, n, e["entry_type"], e["cite_key"], e["fields"]) for p, v in zip(b["path"], b["value"]) for n, e in enumerate(parse(v))]
+            rows = [(p, n, e["entry_type"], e["cite_key"], e["fields"]) for p, v in zip(b["path"], b["value"]) for n, e in enumerate(parse(v or ""))]
             yield pd.DataFrame(rows, columns=["path", "seq_in_file", "entry_type", "cite_key", "fields"])
 
-    return files.mapInPandas(run, f"path string, {ENTRY}")
+    return files.select("path", "value").mapInPandas(run, f"path string, {ENTRY}")
+
+
+def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The entries of all files."""
+    return entries(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def read_query_folders(spark: SparkSession, root: str) -> DataFrame:
@@ -111,6 +115,6 @@ def read_query_folders(spark: SparkSession, root: str) -> DataFrame:
     return numbered(e.where("platform is not null"), ["query", "path", "seq_in_file"], "seq")
 
 
-def papers(entries: DataFrame) -> DataFrame:
+def papers(found: DataFrame) -> DataFrame:
     """Paper rows of entries, those with a bad or missing year with an ``error``."""
-    return entries_to_papers(entries if "seq" in entries.columns else numbered(entries, ["path", "seq_in_file"], "seq"))
+    return entries_to_papers(found if "seq" in found.columns else numbered(found, ["path", "seq_in_file"], "seq"))

@@ -153,6 +153,121 @@ def test_citation_steps(spark):
     assert r["abstract"] == "abs" and r["doi"] is None and r["year"] == 2000
 
 
+def test_resolved_works_become_papers(spark):
+    """One step at a time: known by DOI, known by title without a DOI, new, new twice, and a DOI that is no paper's."""
+    papers = spark.createDataFrame([(1, "10.1/a", "Seed", "x", "", 2000), (2, None, "Titled Work", "", "", 0), (3, "10.3/c", "Same name", "x", "A", 1999)], "id long, doi string, title string, abstract string, authors string, year int")
+    papers = papers.withColumns({"publication_title": F.lit(""), "keywords": F.lit(None).cast("string"), "pdf_url": F.lit(None).cast("string")})
+    rows = [(1, "10.3/C", ""), (2, "10.2/b", ""), (3, "10.9/new", ""), (4, "https://doi.org/10.9/NEW", ""), (5, "10.8/s", ""), (6, "doi:", "t"), (7, "10.7/gone", ""), (8, None, "Fresh title"), (9, None, "fresh  TITLE."), (10, None, ""), (11, None, "No match")]
+    refs = spark.createDataFrame([(i, 1, "backward", i, d, t, 2001, "crossref", None, "pending") for i, d, t in rows], "id long, parent_paper_id long, direction string, ref_index int, ref_doi string, ref_title string, ref_year int, source string, resolved_paper_id long, status string")
+    lists = refs.select(*[(F.col(f.name) if f.name in refs.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES["reference_lists"].schema])
+    edges = spark.createDataFrame([], TABLES["snowball_edges"].schema)
+    w = spark.createDataFrame([
+        ("10.3/c", "Same name", "", 1999, "late", "crossref"), ("10.2/B", "titled  work", "W", 2003, "abs", "openalex"), ("10.9/new", "New one", "N", 2004, " a ", "crossref"), ("10.9/new", "Worse", "", 1, "", "openalex"),
+        ("10.8/s", "Same name", "S", 2005, "", "crossref"), ("10.7/gone", "Only there", "", 2006, "", "semantic_scholar")], "doi string, title string, authors string, year int, abstract string, source string").withColumns({"publication_title": F.lit("V"), "pdf_url": F.lit("u")})
+    cands = spark.createDataFrame([(8, 80, "Fresh Title", 2001, 0, "crossref", None), (8, 81, "Fresh title", 2009, 0, "openalex", None), (9, 90, "Fresh title", 2002, 0, "openalex", "10.5/f"), (11, 1, "Something else", 2001, 0, "openalex", None)], "ref_id long, work_id long, work_title string, work_year int, rank int, source string, doi string")
+    r = citations.expand(lists, papers, edges, w, cands)
+    got = {x["id"]: (x["status"], x["resolved_paper_id"]) for x in r.lists.collect()}
+    made = {x["title"]: x for x in r.papers.where("id > 3").collect()}
+    assert set(made) == {"New one", "Same name", "Fresh Title"} and r.counts["new_papers"] == 3 and r.new_papers.count() == 3
+    new, same, fresh = (made[t]["id"] for t in ("New one", "Same name", "Fresh Title"))
+    assert got == {1: ("resolved", 3), 2: ("resolved", 2), 3: ("resolved", new), 4: ("resolved", new), 5: ("resolved", same), 6: ("fetch_error", None), 7: ("fetch_error", None), 8: ("resolved", fresh), 9: ("resolved", fresh), 10: ("unresolved_no_doi", None), 11: ("unresolved_title_failed", None)}
+    known = {x["id"]: x for x in r.papers.collect()}
+    assert (known[2]["doi"], known[2]["abstract"], known[2]["year"], known[2]["authors"]) == ("10.2/B", "abs", 2003, "W") and known[3]["abstract"] == "x" and known[new]["abstract"] == "a" and known[fresh]["doi"] == "10.5/f" and known[new]["pdf_url"] == "u"
+    assert sorted((e["child_paper_id"], e["parent_paper_id"]) for e in r.edges.collect()) == sorted((c, 1) for c in (2, 3, new, same, fresh)) and r.counts["edges"] == 5
+    again = citations.expand(r.lists, r.papers, r.edges, w, cands)
+    assert again.counts["new_papers"] == again.counts["edges"] == 0 and again.statuses == r.statuses == {"resolved": 7, "fetch_error": 2, "unresolved_no_doi": 1, "unresolved_title_failed": 1}
+    # a throttled source passes its work on to the next of the chain (the library goes before the last); a strict one has no other
+    status = lambda **o: {x["ref_id"]: x["status"] for x in citations.resolve_dois(lists, w, papers, **o).collect()}
+    assert status(throttled=("crossref", "openalex", "zotero"))[7] == "resolved" and status(throttled=("crossref", "openalex"))[7] == "fetch_error" and status(source="semantic_scholar")[1] == "fetch_error" and status(alternates=False)[2] == "fetch_error"
+    assert {x["status"] for x in citations.resolve_titles(lists, cands, "semantic_scholar").collect()} == set()
+
+
+def plain_find_or_create(papers, works):
+    known = [list(p) for p in papers]
+    out, low = {}, lambda t: " ".join((t or "").split()).lower()
+    squash = lambda t: "".join((t or "").split()).lower()
+    for seq, d, t in works:
+        d = (d or "").lower() or None
+        hit = next((p for p in known if d and (p[1] or "").lower() == d), None)
+        if hit is None and low(t):
+            named = [p for p in known if low(p[2]) == low(t)] or [p for p in known if squash(p[2]) == squash(t)]
+            hit = next((p for p in named if not d or not p[1] or p[1].lower() == d), None)
+        if hit is None:
+            hit = [f"new {seq}", d, t]
+            known.append(hit)
+        hit[1] = hit[1] or d
+        out[seq] = hit[0]
+    return out
+
+
+def test_find_or_create_equals_the_loop(spark):
+    rng = random.Random(21)
+    title = lambda: rng.choice([None, "", "A b", "a  B", "ab", "c d", "cd", "e", "f g"])
+    papers = [(i, f"10.1/P{i}" if rng.random() < 0.5 else None, title()) for i in range(1, 25)]
+    works_ = [(i, rng.choice([None, None, "10.1/p3", "10.1/p4", "10.2/x", "10.2/y", "10.2/z", f"10.3/{i}"]), title()) for i in range(150)]
+    got = identity.find_or_create(spark.createDataFrame(papers, "id long, doi string, title string"), spark.createDataFrame(works_, "seq long, doi string, title string"))
+    assert {r["seq"]: r["paper_id"] if r["paper_id"] is not None else f"new {r['maker']}" for r in got.collect()} == plain_find_or_create(papers, works_)
+
+
+def test_backfill_by_doi_then_title(spark):
+    papers = spark.createDataFrame([(1, "10.1/a", "A title", ""), (2, None, "A lost paper", ""), (3, None, "Other lost paper", ""), (4, "10.4/d", "D", ""), (5, None, "Kept as is", "has")], "id long, doi string, title string, abstract string").withColumn("year", F.lit(2000))
+    w = spark.createDataFrame([("10.1/A", "from s2", "semantic_scholar"), ("10.1/a", "from openalex", "openalex"), ("10.4/d", "", "crossref"), ("10.4/d", "lib", "zotero")], "doi string, abstract string, source string")
+    c = spark.createDataFrame([(2, 1, "A Lost Paper.", 2001, 0, "openalex", "10.9/o", "o"), (2, 2, "A Lost Paper", 2001, 0, "crossref", "10.9/C", " c "), (3, 3, "Other lost papers", 1999, 0, "crossref", "10.4/D", ""), (5, 4, "Kept as it", 2000, 0, "crossref", "10.5/k", "no")], "ref_id long, work_id long, work_title string, work_year int, rank int, source string, doi string, abstract string")
+    got = {r["id"]: (r["doi"], r["title"], r["abstract"]) for r in citations.backfill_chain(papers, w, c).collect()}
+    assert got == {1: ("10.1/a", "A title", "from s2"), 2: ("10.9/c", "A Lost Paper", "c"), 3: (None, "Other lost papers", ""), 4: ("10.4/d", "D", "lib"), 5: (None, "Kept as is", "has")}
+    again = citations.backfill_chain(papers.where("id = 1"), w, c, "openalex")
+    assert again.first()["abstract"] == "from openalex" and citations.asked_for_abstracts("semantic_scholar") == ["zotero", "crossref", "semantic_scholar"] and citations.asked_for_abstracts("crossref", False, False) == ["crossref"]
+
+
+def test_expansion_through_the_engine(spark, tmp_path):
+    e = Engine(spark, Store(spark, str(tmp_path / "p")))
+    e.call("insert_paper", {"title": "Seed", "authors": "A", "year": 2000, "abstract": "x", "publication_title": "V", "doi": "10.1/a"})
+    fetched = spark.createDataFrame([("10.1/A", 0, "10.2/b", "Found", "", 2001, ""), ("10.1/a", 1, None, "", "", None, "raw")], "parent_doi string, ref_index int, doi string, title string, authors string, year int, unstructured string")
+    w = spark.createDataFrame([("10.2/B", "Found", "", 2001, "", "V", None, "openalex")], "doi string, title string, authors string, year int, abstract string, publication_title string, pdf_url string, source string")
+    none = spark.createDataFrame([], "ref_id long, work_id long, work_title string, work_year int, rank int, source string, doi string, abstract string")
+    n = e.snowball(fetched, w, none)
+    assert n["references_harvested"] == 2 and n["new_papers"] == 1 and n["edges"] == 1 and n["resolved"] == 1 and n["unresolved_no_doi"] == 1
+    run = e.t("snowball_runs").first()
+    assert (run["direction"], run["seed_count"], run["new_papers"], run["references_harvested"]) == ("backward", 1, 1, 2) and e.t("paper_sources").count() == 1
+    p = e.call("get_paper_provenance", {"paper_id": 2})[0]
+    assert p["found"] and p["sources"] == ["snowball"] and p["parents"][0]["title"] == "Seed" and p["parents"][0]["depth"] == 1 and p["parents"][0]["discovered_at"]
+    assert e.call("get_paper_provenance", {"paper_id": 99})[0]["found"] is False
+    assert e.backfill(w.withColumn("abstract", F.lit("late")), none).first().asDict() == {"papers_total": 2, "papers_missing_abstract": 0, "papers_missing_title": 0, "resolved_missing_abstract": 0, "resolved_missing_title": 0}
+    e.screen(lambda system, title, abstract: json.dumps({"decision": "hybrid"}), "m")
+    assert e.judge(lambda *_: json.dumps({"score": 2, "verdict": "pass"}), "j").first()["count"] == 2 and e.judge(lambda *_: json.dumps({"score": 2, "verdict": "fail"}), "j").first()["verdict"] == "fail"
+
+
+def test_sources_of_a_run():
+    run, asked = works.Run(), []
+
+    def request(source):
+        asked.append(source)
+        if source == "a":
+            raise works.RateLimitError
+        if source == "b":
+            raise LookupError
+        return f"from {source}"
+
+    assert run.first("abc", request) == run.first("abc", request) == "from c" and asked == ["a", "b", "c", "b", "c"] and run.throttled == {"a"}
+    assert works.secret(None, ["X", "Y"], {"Y": "k"}) == "k" and works.secret("v", ["X"], {}) == "v" and works.optional(lambda: works.secret(None, ["X"], {})) is None
+
+
+def test_answers_are_kept_batch_by_batch(spark, tmp_path):
+    calls = []
+
+    def ask(batch):
+        calls.append(len(batch))
+        if len(calls) == 2:
+            raise TimeoutError
+        return {d: "{}" for d in batch}
+
+    pace = works.Pace(interval=0, sleep=lambda s: None)
+    path, dois = str(tmp_path / "w"), [f"10.1/{i:03d}" for i in range(120)]
+    run = works.Run()
+    assert works.fetch(spark, "crossref", dois, ask, pace, path, run).count() == 50 and run.throttled == {"crossref"}
+    assert works.fetch(spark, "crossref", dois, ask, pace, path).count() == 120 and calls == [50, 50, 50, 20]
+
+
 def test_works(spark):
     cross = {"DOI": "10.1/x", "title": ["T"], "author": [{"given": "A", "family": "B"}, {"name": "Org"}], "published": {"date-parts": [[2019, 5]]}, "link": [{"content-type": "text/html", "URL": "h"}, {"content-type": "application/pdf", "URL": "p"}], "URL": "u", "container-title": ["V"], "abstract": "<jats:p>x &lt; y</jats:p>"}
     opened = {"doi": "10.2", "title": "T", "authorships": [{"author": {"display_name": "A B"}}, {"author": {}}], "publication_year": 2018, "primary_location": {"source": {"display_name": "V"}}, "best_oa_location": None, "abstract_inverted_index": {"b": [1], "a": [0, 2]}}
@@ -184,6 +299,11 @@ def test_pace():
     assert works.retry_after("Wed, 21 Oct 2015 07:28:10 GMT", 1445412480) == 10 and works.retry_after("x") is None and works.retry_after("-1") is None
 
 
+def test_guard_reads_quotes_whole():
+    assert select_only("select '-- no comment; drop' as x -- but this") == "select '-- no comment; drop' as x"
+    assert select_only("select `delete`, \"a;b\" from t ; -- end") == "select `delete`, \"a;b\" from t"
+
+
 @pytest.mark.parametrize("sql", ["SELECT 1", "with a as (select 1) select * from a;", "select 'drop; update' as x", "select \"delete\" from t -- drop", "/* x */ select 1"])
 def test_guard_allows(sql):
     assert select_only(sql)

@@ -35,6 +35,23 @@ def test_excerpts(spark):
     assert all(r["o"] == r["w"] for r in df.collect())
 
 
+def test_found_excerpts_equal_the_check_of_each(spark):
+    from screenlake.operators.screening import find_excerpts
+
+    rng = random.Random(17)
+    words = "we probe the chip then measure it finally “conclude” and so on in words".split()
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(60, None)]
+    cuts = []
+    for k in range(120):
+        t = rng.choice(texts[:60])[1]
+        a, b = sorted(rng.randint(0, len(t)) for _ in range(2))
+        c = rng.randint(b, len(t))
+        cuts.append((k, rng.choice([t[a:b], t[a:b] + " ... " + t[c:], t[c:] + "[...]" + t[a:b], t[a:b].upper() + "…", "", "we", "the chip"])))
+    d, e = spark.createDataFrame(texts, "id long, abstract string"), spark.createDataFrame(cuts, "excerpt_id long, excerpt string")
+    want = d.crossJoin(e).where(X.verify_excerpt("excerpt", "abstract")).select("id", "excerpt_id").collect()
+    assert sorted(map(tuple, find_excerpts(d, e).collect())) == sorted(map(tuple, want)) and len(want) > 200
+
+
 def test_similarity_is_the_ratio_of_folded_titles(spark):
     rng = random.Random(1)
     pairs = [("".join(rng.choice("abc é:") for _ in range(20)), "".join(rng.choice("abc é:") for _ in range(18))) for _ in range(50)]
