@@ -43,18 +43,27 @@ class Model:
     limit: float
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        """Sum of the weights of each text's features; a word is only looked at if some feature begins as it does."""
+        """Sum of the weights of each text's features; a word's features are looked up once for all of the texts."""
         w = self.weights
         heads = {k.rstrip("*")[: PREFIXES[0]] for k in w}
+        known: dict[str, tuple[str, ...]] = {}
+
+        def features_of(x: str) -> tuple[str, ...]:
+            plain = x if x[0].isalnum() and x[-1].isalnum() else x.strip(_EDGE)
+            if plain[: PREFIXES[0]] not in heads:
+                return ()
+            return tuple(w.keys() & {plain, *[plain[:n] + "*" for n in PREFIXES if len(plain) >= n]})
+
         out = np.zeros(len(texts))
         for i, text in enumerate(texts):
-            found = set()
+            found: set[str] = set()
             for x in set(text.lower().split()):
-                if not x[0].isalnum() or not x[-1].isalnum():
-                    x = x.strip(_EDGE)
-                if x[: PREFIXES[0]] in heads:
-                    found |= w.keys() & {x, *[x[:n] + "*" for n in PREFIXES if len(x) >= n]}
-            out[i] = sum(w[k] for k in found)
+                has = known.get(x)
+                if has is None:
+                    has = known[x] = features_of(x)
+                if has:
+                    found.update(has)
+            out[i] = sum(w[k] for k in sorted(found))
         return out
 
     def severity(self, logits: np.ndarray) -> np.ndarray:
