@@ -164,7 +164,8 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
 
     Null texts and texts without words have no shingles, link with nothing, not even with each other, and are kept
     as their own component. Rows of one id are one document for the links of either text. Null ids get a null
-    component of their own and are kept. Ties go to the smallest id. Candidate groups of more rows or bytes than a
+    component of their own and are kept. Ties go to the smallest id. Other input columns are left out, whatever their
+    names; an empty table gives an empty result. Texts are taken whole, however long. Candidate groups of more rows or bytes than a
     block are dealt out as pairs of blocks, so no task holds more than two blocks.
     """
     spark = docs.sparkSession

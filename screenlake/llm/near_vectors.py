@@ -127,7 +127,9 @@ def link(vectors: DataFrame, o: Options = Options(), id_col: str = "vec_id", vec
     Only rows of equal labels that are not null are compared. Rows whose vector is null, empty, zero, holds null or
     non-finite components, or is not as long as most, link with nothing. Equal vectors of one label form a class and
     link with each other; one row of the class is listed and counts as often as the class has rows. Null ids take no
-    part. A bucket larger than ``block`` is compared in pairs of blocks, so no task holds more than two blocks.
+    part; repeated rows of one id and vector each get the row's result. A cosine of exactly the bound links. Other input
+    columns are left out, whatever their names; an empty table gives an empty result. A bucket larger than ``block`` is
+    compared in pairs of blocks, so no task holds more than two blocks.
     """
     spark = vectors.sparkSession
     st = Stages(spark, "near-vectors")

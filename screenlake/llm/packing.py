@@ -114,7 +114,8 @@ def pack(items: DataFrame, o: Options = Options(), length_col: str = "n_tokens",
     """Rows (key..., chunk, start, length, bin, bin_length, place): where each piece of each item goes.
 
     Items longer than the largest capacity are cut into full bins and a rest. Null lengths and lengths of 0 or less
-    have nothing to place: one row with a null bin. Repeated rows are items of their own. Equal lengths are numbered
+    have nothing to place: one row with a null bin. Repeated rows are items of their own. Columns other than the key are
+    left out, whatever their names; an empty table gives an empty result. Equal lengths are numbered
     by range partitions of (length, hash of the key), so a length that a third of all items share is spread over
     tasks. To the driver come the histogram, at most one row for each length up to the largest capacity, and one
     row for each partition and length that it holds.

@@ -363,7 +363,8 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
 
     A byte goes if a string of ``width`` bytes over it also starts anywhere else, in the same text or another one;
     strings are judged on the input. Null texts count as empty; texts under ``width`` bytes lose nothing; all of a
-    repeated text of ``width`` bytes or more goes, in every row, null ids included. Input columns named removed or
+    repeated text of ``width`` bytes or more goes, in every row, null ids included; an empty table gives an empty result.
+    Texts are taken whole, however long: only the search for anchors takes them in overlapping pieces. Input columns named removed or
     kept are replaced. Two copies of the texts are shuffled, one to cut out what must be sorted, one for the result.
     With ``whole_characters`` kept has no bytes of characters that a cut has split.
     """
