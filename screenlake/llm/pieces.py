@@ -134,6 +134,10 @@ def load(path: str) -> Vocabulary:
     return v
 
 
+#: Bits of a draw.
+FINE = np.uint64(36)
+
+
 class Lattices:
     """Forward pass over the lattices of different words: edges sorted by the node they end in."""
 
@@ -192,9 +196,12 @@ class Lattices:
         self.alpha = alpha
         p = np.exp(alpha[self.a] + weight - alpha[self.b])
         self.low = np.concatenate(([0], np.cumsum(np.bincount(self.b, minlength=nodes))))
-        run = np.cumsum(p)
-        before = np.concatenate(([0.0], run))[self.low[self.b]]
-        self.cut = self.b + np.minimum(run - before, 1.0)
+        # sums of a node's edges in turn, as whole numbers: they don't depend on where in a block the word stands
+        run, width = p.copy(), np.diff(self.low)
+        for k in range(1, int(width.max()) if len(width) else 0):
+            e = self.low[:-1][width > k] + k
+            run[e] += run[e - 1]
+        self.cut = (self.b.astype(np.uint64) << FINE) + np.minimum(run * 2.0 ** int(FINE), 2.0 ** int(FINE)).astype(np.uint64)
 
     def sample(self, word: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Picks of the occurrences in turn, each one's in the order of the text, and picks per occurrence."""
@@ -202,9 +209,9 @@ class Lattices:
         first = self.first[word]
         who, what, turn = [], [], 0
         while len(live):
-            u = (mix(salt[live] + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)) * 2.0**-53
+            u = mix(salt[live] + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)) >> (np.uint64(64) - FINE)
             at = node[live]
-            e = np.searchsorted(self.cut, at + u, "right")
+            e = np.searchsorted(self.cut, (at.astype(np.uint64) << FINE) + u, "right")
             e = np.minimum(np.maximum(e, self.low[at]), self.low[at + 1] - 1)
             who.append(live)
             what.append(self.pick[e])

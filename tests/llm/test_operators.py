@@ -61,6 +61,20 @@ def test_pieces_sample_from_the_posterior():
         assert abs(got[p] / n - w / total) < 0.01
 
 
+def test_pieces_do_not_depend_on_the_block():
+    v = pieces.load(pieces.MODEL)
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    keys, o = pieces.mix(np.arange(200).astype(np.uint64)), pieces.Options()
+    ids, count = pieces.encode_block(texts, keys, v, o)
+    parts = [pieces.encode_block(texts[a : a + 7], keys[a : a + 7], v, o) for a in range(0, 200, 7)]
+    assert (np.concatenate([p[0] for p in parts]) == ids).all() and (np.concatenate([p[1] for p in parts]) == count).all()
+    wide = pieces.Lattices([" ".join(texts[:40])[:3000].replace(" ", pieces.MARK)] + ["▁lightly"], v, 0.3)
+    lone = pieces.Lattices(["▁lightly"], v, 0.3)
+    salt = pieces.mix(np.arange(5000).astype(np.uint64))
+    assert (wide.sample(np.ones(5000, int), salt)[0] == lone.sample(np.zeros(5000, int), salt)[0]).all()
+
+
 # 2
 
 
