@@ -155,30 +155,41 @@ def link(vectors: DataFrame, o: Options = Options(), id_col: str = "vec_id", vec
             x, ok = unit(b.column("v").to_pylist(), dim)
             assert ok.all()
             f = filters.listed(x)
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("rep"), b.column("copies"), pa.array([np.array(v, kind).tobytes() for v in b.column("v").to_pylist()], pa.binary()), pa.array([r.astype(np.int32).tolist() for r in f], pa.list_(pa.int32()))], ["label", "rep", "copies", "x", "filters"])
+            flat = [r.astype(np.int32) for r in f]
+            yield pa.RecordBatch.from_arrays([
+                b.column("label"), b.column("rep"), b.column("copies"), pa.array([np.array(v, kind).tobytes() for v in b.column("v").to_pylist()], pa.binary()),
+                pa.array([r.tolist() for r in flat], pa.list_(pa.int32())), pa.array([r.tobytes() for r in flat], pa.binary())], ["label", "rep", "copies", "x", "filters", "all"])
 
-    found = reps.select("label", "rep", "copies", "v").mapInArrow(listed, "label string, rep long, copies long, x binary, filters array<int>")
+    found = reps.select("label", "rep", "copies", "v").mapInArrow(listed, "label string, rep long, copies long, x binary, filters array<int>, all binary")
     found = st.save("listed", found)
     each = found.select("label", F.explode("filters").alias("filter"))
     blocks = each.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1").select("label", "filter", F.ceil(F.col("n") / o.block).cast("int").alias("blocks"))
     blocks = st.save("blocks", blocks)  # the join then has plain shuffles on both sides
-    entry = found.withColumn("filter", F.explode("filters")).join(blocks, ["label", "filter"])
+    entry = found.select("label", "rep", "copies", "x", "all", F.explode("filters").alias("filter")).join(blocks, ["label", "filter"])
     entry = entry.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
-    entry = entry.withColumn("p", pair).select("label", "filter", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "rep", "copies", "x", "filters")
+    entry = entry.withColumn("p", pair).select("label", "filter", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "rep", "copies", "x", "all")
     entry = entry.repartition("label", "filter", "i", "j").sortWithinPartitions("label", "filter", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
+
+        def done() -> pa.RecordBatch | None:
+            rows = pa.Table.from_batches(held)
+            return bucket(key, rows, o, kind) if rows.num_rows > 1 else None
+
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("label", "filter", "i", "j", "block", "rep", "copies", "x", "filters")]
-            for row in zip(*cols):
-                if row[:4] != key:
-                    if len(held) > 1 and (out := bucket(key, held, o, kind)) is not None:
-                        yield out
-                    key, held = row[:4], []
-                held.append(row[4:])
-        if len(held) > 1 and (out := bucket(key, held, o, kind)) is not None:
+            keys = list(zip(*[b.column(c).to_pylist() for c in ("label", "filter", "i", "j")]))
+            at = 0
+            for k in range(len(keys)):
+                if keys[k] != key:
+                    if held or k > at:
+                        held.append(b.slice(at, k - at))
+                        if (out := done()) is not None:
+                            yield out
+                    key, held, at = keys[k], [], k
+            held.append(b.slice(at))
+        if held and (out := done()) is not None:
             yield out
 
     links = st.save("links", entry.mapInArrow(compare, "rep long, n long, b long"))
@@ -192,16 +203,15 @@ def link(vectors: DataFrame, o: Options = Options(), id_col: str = "vec_id", vec
     return out.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def bucket(key: tuple, held: list[tuple], o: Options, kind: type) -> pa.RecordBatch | None:
+def bucket(key: tuple, held: pa.Table, o: Options, kind: type) -> pa.RecordBatch | None:
     """Links of the pairs of one bucket, or of two blocks of it, whose least common filter this is: for each row the
     rows it links (n, copies counted) and one row (b) that stands for its component among them."""
     _, filt, bi, bj = key
-    block = np.array([r[0] for r in held])
-    rep = np.array([r[1] for r in held], np.int64)
-    copies = np.array([r[2] for r in held], np.int64)
-    x, _ = unit([np.frombuffer(r[3], kind) for r in held])
-    cos = x @ x.T
-    near = cos >= o.cosine
+    block, rep, copies = (held.column(c).to_numpy() for c in ("block", "rep", "copies"))
+    x = np.frombuffer(b"".join(held.column("x").to_pylist()), kind).reshape(len(rep), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    near = x @ x.T >= o.cosine
     np.fill_diagonal(near, False)
     if bi != bj:
         near &= (block[:, None] != block[None, :])
@@ -209,13 +219,13 @@ def bucket(key: tuple, held: list[tuple], o: Options, kind: type) -> pa.RecordBa
     if not len(rows):
         return None
     near, rep, copies = near[np.ix_(rows, rows)], rep[rows], copies[rows]
-    sets = [[f for f in held[k][4] if f < filt] for k in rows]
-    names = {f: i for i, f in enumerate(sorted({f for s in sets for f in s}))}
+    lists = [np.frombuffer(v, np.int32) for v in held.column("all").take(pa.array(rows)).to_pylist()]
+    lower = [v[v < filt] for v in lists]
+    names, at = np.unique(np.concatenate(lower), return_inverse=True)
     first = near
-    if names:
+    if len(names):
         has = np.zeros((len(rows), len(names)), np.float32)
-        for i, s in enumerate(sets):
-            has[i, [names[f] for f in s]] = 1
+        has[np.repeat(np.arange(len(rows)), [len(v) for v in lower]), at] = 1
         first = near & ~(has @ has.T > 0)
     n = first @ copies
     label = rep.copy()
