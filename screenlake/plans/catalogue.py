@@ -399,6 +399,21 @@ def evaluate_hybrid(spark, d):
     return scoring.evaluate_corpus(papers, table(spark, d, "gold"), topic=TOPIC)
 
 
+_EVALUATED = ctes("gold") + f""", {_BM25}, {_KW}, h AS (SELECT doc_id, text, 0.4 * least(raw / 10.0, 1.0) + 0.6 * bm25 / (SELECT max(bm25) FROM b) AS score FROM kw JOIN b USING (doc_id)),
+p AS (SELECT score, CASE WHEN consensus_label = 'in-scope' THEN 1 ELSE 0 END AS y FROM h JOIN gold ON paper_id = doc_id WHERE consensus_label <> 'disagree'),
+g AS (SELECT least(0.0::DOUBLE, min(score) - 0.001::DOUBLE) AS a, greatest(1.0::DOUBLE, max(score) + 0.001::DOUBLE) AS b, sum(y)::BIGINT AS pos FROM p),
+i AS (SELECT i, round(a + i * 0.01::DOUBLE, 10) AS t, pos FROM g, unnest(range(0, greatest(1, ceil((b - a) / 0.01::DOUBLE)::BIGINT) + 1)) u(i)),
+c AS (SELECT i, t, pos, count(*) FILTER (score >= t AND y = 1) AS tp, count(*) FILTER (score >= t AND y = 0) AS fp FROM i, p GROUP BY ALL),
+v AS (SELECT t FROM c ORDER BY CASE WHEN tp = 0 THEN 0.0 ELSE 2 * (tp / (tp + fp)) * (tp / pos) / (tp / (tp + fp) + tp / pos) END DESC, i LIMIT 1), x AS (SELECT doc_id, score, t, {_PRE} AS c FROM h, v)
+SELECT doc_id AS paper_id, score >= t AS is_relevant, round(t, 6) AS threshold, CASE WHEN {_HAS.format('c', 'that|worthless')} AND {_HAS.format('c', 'with|les')} THEN 'hybrid' WHEN {_HAS.format('c', 'that|worthless')} THEN 'in-scope'
+    WHEN {_HAS.format('c', 'with|les')} THEN 'out-of-scope' WHEN score >= t THEN 'in-scope' ELSE 'out-of-scope' END AS relevance_class FROM x"""
+
+
+@query(_EVALUATED)
+def evaluated_classes(spark, d):
+    return rounded(evaluate_hybrid(spark, d).select("paper_id", "is_relevant", "threshold", "relevance_class"))
+
+
 # --- quality of classifiers -----------------------------------------------------------------------------------------
 
 _J = ctes("gold", "evals") + ", j AS (SELECT run_id, paper_id, decision, score, consensus_label AS gold FROM evals JOIN gold USING (paper_id) WHERE consensus_label <> 'disagree'), l(x) AS (VALUES ('in-scope'), ('out-of-scope'), ('hybrid'))"
