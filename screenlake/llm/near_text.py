@@ -3,17 +3,18 @@
 Texts with the same words (A-Z as a-z) form a class; one row of each class goes on. Banded signatures give candidate
 groups (stars around each bucket's least member, never all pairs). Inside a candidate group signatures are compared
 in batches: after each batch a pair goes on only while the posterior probability of a similarity at or above the
-threshold is at least ``miss``. Survivors that are not yet known to be connected are confirmed on their full sets.
+threshold is at least ``miss``. A candidate group of more than a block is first compared bucket by bucket, without
+texts, and falls into the groups that survivors of this comparison hold together. Survivors that are not yet known to be connected are confirmed on their full sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenlake.llm.shared import Stages, components, mix, slices, texts_of, words
@@ -25,7 +26,7 @@ K = 5
 class Options:
     """6 rows in 40 bands: a pair at similarity 0.75 shares no band with probability 4e-4, at 0.8 with 5e-6.
     ``block`` and ``block_bytes``: rows of a candidate group, and bytes of their full sets, that a block has on
-    average; larger groups go in pairs of blocks."""
+    average; larger groups are split by signatures, and go in pairs of blocks where that leaves them larger."""
 
     threshold: float = 0.75
     rows: int = 6
@@ -134,10 +135,10 @@ def linked(sets: list[np.ndarray], i: int, j: int, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verify(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, o: Options, need: list[int]) -> Union:
-    """Joins the rows that are linked, of all pairs of a row of ``left`` and a later one of ``right``."""
-    u = Union(len(sets))
-    sizes = np.array([len(s) for s in sets])
+def verify(sig: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, o: Options, need: list[int], confirm: Callable[[int, int], bool] | None = None) -> Union:
+    """Joins the rows whose pair outlasts every batch and is confirmed, of all pairs of a row of ``left`` and a later
+    one of ``right``; ``sizes`` are the numbers of their shingles."""
+    u = Union(len(sizes))
     percent = round(100 * o.threshold)
     # rows of the least sizes first would not matter: every pair that is not connected yet is compared
     for i in left.tolist():
@@ -154,7 +155,7 @@ def verify(sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
             go = equal >= m
             js, equal = js[go], equal[go]
         for j in js[np.argsort(-equal, kind="stable")].tolist():
-            if u.find(i) != u.find(j) and linked(sets, i, j, percent):
+            if u.find(i) != u.find(j) and (confirm is None or confirm(i, j)):
                 u.join(i, j)
     return u
 
@@ -165,8 +166,9 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
     Null texts and texts without words have no shingles, link with nothing, not even with each other, and are kept
     as their own component. Rows of one id are one document for the links of either text. Null ids get a null
     component of their own and are kept. Ties go to the smallest id. Other input columns are left out, whatever their
-    names; an empty table gives an empty result. Texts are taken whole, however long. Candidate groups of more rows or bytes than a
-    block are dealt out as pairs of blocks, so no task holds more than two blocks.
+    names; an empty table gives an empty result. Texts are taken whole, however long. Candidate groups of more rows or
+    bytes than a block are split by signatures; what is still larger is dealt out as pairs of blocks, so no task holds
+    more than two blocks.
     """
     spark = docs.sparkSession
     st = Stages(spark, "near-text")
@@ -204,15 +206,17 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
     keyed = own.select("doc_id", "h1", "h2", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", "m")
     shared = st.save("shared", shared)  # the join then has plain shuffles on both sides, and a hot bucket can be split
-    node = F.xxhash64("doc_id", "h1", "h2")
+    node = _node()
     stars = keyed.join(shared, "key").select(node.alias("a"), F.xxhash64("m.doc_id", "m.h1", "m.h2").alias("b")).where("a <> b").distinct()
     groups = st.save("groups", components(st, stars, "cand").select(F.col("node"), F.col("component").alias("grp")))
-    weights = groups.join(own.select(node.alias("node"), "n_shingles"), "node")
-    blocks = F.ceil(F.greatest(F.count("*") / o.block, F.sum("n_shingles") * 8 / o.block_bytes)).cast("int")
-    sizes = st.save("sizes", weights.groupBy("grp").agg(blocks.alias("blocks")))
+    sizes = st.save("sizes", _blocks(own, groups, o))
+    if sizes.where("blocks > 1").limit(1).count():
+        tight = _split(st, own, groups.join(sizes.where("blocks > 1"), "grp", "left_semi"), o)
+        groups = st.save("parts", groups.join(sizes.where("blocks = 1"), "grp", "left_semi").select("node", "grp").union(tight))
+        sizes = st.save("part_sizes", _blocks(own, groups, o))
     members = own.withColumn("node", node).select("doc_id", "h1", "h2", "sig", "node").join(groups, "node").join(sizes, "grp")
     members = st.save("members", members.select("doc_id", "h1", "h2", "sig", "grp", "blocks"))
-    st.drop("groups", "sizes", "shared")
+    st.drop(*[n for n in st.names if n in ("groups", "sizes", "parts", "part_sizes", "shared")])
     edges = st.save("edges", _verified(docs, members, o))
     # ids and classes: every row's id links to its class's, every class's to its component's
     found = components(st, edges.select("a", "b"), "links")
@@ -229,9 +233,83 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
     return st.finish(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")))
 
 
+def _node() -> Column:
+    return F.xxhash64("doc_id", "h1", "h2")
+
+
+def _blocks(own: DataFrame, groups: DataFrame, o: Options) -> DataFrame:
+    """Blocks of each candidate group, by rows and by the bytes of full sets."""
+    blocks = F.ceil(F.greatest(F.count("*") / o.block, F.sum("n_shingles") * 8 / o.block_bytes)).cast("int")
+    return groups.join(own.select(_node().alias("node"), "n_shingles"), "node").groupBy("grp").agg(blocks.alias("blocks"))
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key with ``blocks`` blocks, once for each pair (i, j), i <= j, that holds their ``block``; equal
+    (key, i, j) lie together, in one partition."""
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, F.col("block")).alias("i"), F.greatest(other, F.col("block")).alias("j"))))
+    rows = rows.withColumn("p", pair).select(*keys, F.col("p.i").alias("i"), F.col("p.j").alias("j"), *[c for c in rows.columns if c not in keys and c != "blocks"])
+    return rows.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each run of equal keys of two rows or more."""
+    key, held = None, []
+    for b in batches:
+        rows, at = list(zip(*[b.column(c).to_pylist() for c in keys])), 0
+        for k in range(len(rows)):
+            if rows[k] != key:
+                if k > at:
+                    held.append(b.slice(at, k - at))
+                if sum(h.num_rows for h in held) > 1:
+                    yield key, pa.Table.from_batches(held)
+                key, held, at = rows[k], [], k
+        if len(rows) > at:
+            held.append(b.slice(at))
+    if sum(h.num_rows for h in held) > 1:
+        yield key, pa.Table.from_batches(held)
+
+
+def _sides(block: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    if i == j:
+        every = np.arange(len(block))
+        return every, every
+    return np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+
+def _split(st: Stages, own: DataFrame, groups: DataFrame, o: Options) -> DataFrame:
+    """(node, grp) of tighter groups inside ``groups`` (node, grp); rows without a survivor are left out.
+
+    Rows of one bucket are compared by signature only, and each bucket gives at most one edge a row. A pair that is
+    linked and shares a bucket outlasts the batches there, or its rows are already joined, so it stays in one group.
+    Buckets of the same rows, as copies have them in every band, are compared once.
+    """
+    need = least_matches(o)
+    rows = own.withColumn("node", _node()).join(groups, "node", "left_semi").select("node", F.col("n_shingles").alias("size"), "sig", "keys")
+    rows = st.save("large", rows)
+    held = rows.select("node", F.explode("keys").alias("key")).groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
+    buckets = st.save("buckets", held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / o.block).cast("int").alias("blocks")))
+    entry = rows.select("node", "size", "sig", F.explode("keys").alias("key")).join(buckets, "key")
+    entry = _dealt(entry.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), ["key"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), t in _runs(batches, ["key", "i", "j"]):
+            node, size, block = (t.column(c).to_numpy() for c in ("node", "size", "block"))
+            sig = np.stack([np.frombuffer(v, np.uint16) for v in t.column("sig").to_pylist()])
+            roots = verify(sig, size, *_sides(block, i, j), o, need).roots()
+            go = roots != np.arange(len(roots))
+            if go.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[go]), pa.array(node[roots[go]])], ["a", "b"])
+
+    edges = st.save("survivors", entry.mapInArrow(compare, "a long, b long"))
+    tight = components(st, edges, "tight").select("node", F.col("component").alias("grp"))
+    st.drop("large", "buckets", "survivors")
+    return tight
+
+
 def _verified(docs: DataFrame, members: DataFrame, o: Options) -> DataFrame:
     """Edges (a, b) of ids that span what is linked inside each candidate group."""
-    need = least_matches(o)
+    need, percent = least_matches(o), round(100 * o.threshold)
     # the texts of members only; their full sets are made where the text is
     texts = docs.join(members, "doc_id")
 
@@ -256,39 +334,19 @@ def _verified(docs: DataFrame, members: DataFrame, o: Options) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([grp, blocks, pa.array(block, pa.int32()), ids, part.column("sig").take(at_rows), pa.array(blobs, pa.binary())], ["grp", "blocks", "block", "doc_id", "sig", "shingles"])
 
     rows = texts.select("doc_id", "text", "h1", "h2", "sig", "grp", "blocks").mapInArrow(sets, "grp long, blocks int, block int, doc_id long, sig binary, shingles binary")
-    # a row of block k goes to the pairs (i, k), i <= k, and (k, j), k < j
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, F.col("block")).alias("i"), F.greatest(other, F.col("block")).alias("j"))))
-    rows = rows.withColumn("p", pair).select("grp", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "doc_id", "sig", "shingles")
-    rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    rows = _dealt(rows, ["grp"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def done() -> pa.RecordBatch | None:
-            ids = np.array([r[0] for r in held], np.int64)
-            order = np.argsort(ids, kind="stable")
-            sig = np.stack([np.frombuffer(held[k][2], np.uint16) for k in order])
-            full = [np.frombuffer(held[k][3], np.uint64) for k in order]
-            block = np.array([held[k][1] for k in order])
-            if key[1] == key[2]:
-                left = right = np.arange(len(order))
-            else:
-                left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-            roots = verify(sig, full, left, right, o, need).roots()
-            ids = ids[order]
-            go = roots != np.arange(len(order))
-            return pa.RecordBatch.from_arrays([pa.array(ids[go]), pa.array(ids[roots[go]])], ["a", "b"]) if go.any() else None
-
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("grp", "i", "j", "doc_id", "block", "sig", "shingles")]
-            for g, i, j, *row in zip(*cols):
-                if (g, i, j) != key:
-                    if len(held) > 1 and (out := done()):
-                        yield out
-                    key, held = (g, i, j), []
-                held.append(row)
-        if len(held) > 1 and (out := done()):
-            yield out
+        for (_, i, j), t in _runs(batches, ["grp", "i", "j"]):
+            t = t.take(pa.array(np.argsort(t.column("doc_id").to_numpy(), kind="stable")))
+            ids, block = t.column("doc_id").to_numpy(), t.column("block").to_numpy()
+            sig = np.stack([np.frombuffer(v, np.uint16) for v in t.column("sig").to_pylist()])
+            full = [np.frombuffer(v, np.uint64) for v in t.column("shingles").to_pylist()]
+            u = verify(sig, np.array([len(x) for x in full]), *_sides(block, i, j), o, need, lambda i, j: linked(full, i, j, percent))
+            roots = u.roots()
+            go = roots != np.arange(len(roots))
+            if go.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[go]), pa.array(ids[roots[go]])], ["a", "b"])
 
     return rows.mapInArrow(check, "a long, b long")
 

@@ -453,6 +453,31 @@ def test_near_copies_equal_brute_force(docs, rows, spark, block):
             assert r["n_shingles"] in {len(shingles(t)) for i, t in rows + more if i == r["doc_id"]}
 
 
+def test_large_candidate_groups_split_by_signatures(spark, monkeypatch):
+    rng = random.Random(3)
+    say = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(2000)) for _ in range(n)]
+    frame, texts = say(120), []
+    for k in range(80):  # documents in one frame: often candidates of each other, linked with their own copy alone
+        own = say(80)
+        texts += [frame + own, frame + own[:-1] + ["other"]]
+    texts += [texts[0][:]] * 3
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    seen, verified = [], near_text._verified
+
+    def watched(docs, members, o):
+        seen.append(members.groupBy("grp").count().agg(F.max("count"), F.count("*")).first())
+        return verified(docs, members, o)
+
+    monkeypatch.setattr(near_text, "_verified", watched)
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_near(rows)
+    for block in (8192, 40, 6):
+        got = near_text.dedup(df, near_text.Options(block=block)).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert len(set(want.values())) == 80
+    assert seen[0][0] > 40  # whole candidate groups
+    assert seen[1] == (2, 80) == seen[2]
+
+
 def test_near_copies_of_nothing(docs):
     assert near_text.dedup(empty(docs)).count() == 0
 
