@@ -13,6 +13,7 @@ from screenlake.plans.catalogue import _DOI, _KEYS, _docs, query
 from screenlake.plans.standin import ctes, table
 from screenlake.schemas import EVAL_RECORD, TABLES
 from screenlake.sources import bibtex, tables, works
+from screenlake.store import from_first_layout, migrate
 
 # --- files and payloads ---------------------------------------------------------------------------------------------
 
@@ -220,3 +221,24 @@ def fill_missing(spark, d):
     p = table(spark, d, "papers")
     found = p.selectExpr("id as paper_id", "'' as abstract", "if(id % 2 = 0, concat('10.3/', id), null) as doi", "0 as rank").union(p.selectExpr("id", "concat('late ', id)", "'10.1000/ab1'", "1"))
     return identity.fill_missing(p, found).select("id", F.md5("abstract").alias("abstract_md5"), "doi")
+
+
+# --- tables of earlier layouts --------------------------------------------------------------------------------------
+
+_FIRST = """SELECT id, CASE id % 6 WHEN 0 THEN 'ACM digital library' WHEN 1 THEN 'ieee xplore' WHEN 2 THEN 'Springer Link' WHEN 3 THEN 'google scholar' WHEN 4 THEN 'Semantic things' ELSE 'other place' END AS platform FROM queries"""
+
+
+@query(ctes("papers", "queries") + f", q AS ({_FIRST}) SELECT p.id AS paper_id, q.id AS query_id, CASE q.id % 6 WHEN 0 THEN 'ACM' WHEN 1 THEN 'IEEE' WHEN 2 THEN 'Springer' WHEN 5 THEN 'Other Place' ELSE 'Semantic Scholar' END AS source FROM papers p JOIN q ON q.id = p.id % 20 WHERE p.id % 7 <> 0")
+def first_layout(spark, d):
+    papers = table(spark, d, "papers").withColumn("query_id", F.when(F.col("id") % 7 != 0, F.col("id") % 20))
+    table(spark, d, "queries").createOrReplaceTempView("queries")
+    queries = spark.sql(_FIRST)
+    known = from_first_layout(papers.join(queries.select(F.col("id").alias("query_id")), "query_id", "left_semi"), queries)
+    named = known["paper_sources"].join(known["sources"].selectExpr("id as source_id", "name as source"), "source_id")
+    return known["paper_queries"].join(named, "paper_id").select("paper_id", "query_id", "source")
+
+
+@query(ctes("reference_lists") + " SELECT id, CASE WHEN resolved_paper_id IS NULL THEN 'pending' ELSE 'resolved' END AS status FROM reference_lists")
+def migrated_references(spark, d):
+    tables_now, _ = migrate({"papers": table(spark, d, "papers"), "reference_lists": table(spark, d, "reference_lists").drop("status")}, spark)
+    return tables_now["reference_lists"].select("id", "status")
