@@ -225,10 +225,10 @@ def fill_missing(spark, d):
 
 # --- tables of earlier layouts --------------------------------------------------------------------------------------
 
-_FIRST = """SELECT id, CASE id % 6 WHEN 0 THEN 'ACM digital library' WHEN 1 THEN 'ieee xplore' WHEN 2 THEN 'Springer Link' WHEN 3 THEN 'google scholar' WHEN 4 THEN 'Semantic things' ELSE 'other place' END AS platform FROM queries"""
+_FIRST = """SELECT id, CASE id % 6 WHEN 0 THEN 'ACM digital library' WHEN 1 THEN 'ieee xplore' WHEN 2 THEN 'Springer Link' WHEN 3 THEN 'google scholar' WHEN 4 THEN 'Semantic things' ELSE 'other-PLACE 2nd' END AS platform FROM queries"""
 
 
-@query(ctes("papers", "queries") + f", q AS ({_FIRST}) SELECT p.id AS paper_id, q.id AS query_id, CASE q.id % 6 WHEN 0 THEN 'ACM' WHEN 1 THEN 'IEEE' WHEN 2 THEN 'Springer' WHEN 5 THEN 'Other Place' ELSE 'Semantic Scholar' END AS source FROM papers p JOIN q ON q.id = p.id % 20 WHERE p.id % 7 <> 0")
+@query(ctes("papers", "queries") + f", q AS ({_FIRST}) SELECT p.id AS paper_id, q.id AS query_id, CASE q.id % 6 WHEN 0 THEN 'ACM' WHEN 1 THEN 'IEEE' WHEN 2 THEN 'Springer' WHEN 5 THEN 'Other-Place 2Nd' ELSE 'Semantic Scholar' END AS source FROM papers p JOIN q ON q.id = p.id % 20 WHERE p.id % 7 <> 0")
 def first_layout(spark, d):
     papers = table(spark, d, "papers").withColumn("query_id", F.when(F.col("id") % 7 != 0, F.col("id") % 20))
     table(spark, d, "queries").createOrReplaceTempView("queries")
@@ -238,7 +238,8 @@ def first_layout(spark, d):
     return known["paper_queries"].join(named, "paper_id").select("paper_id", "query_id", "source")
 
 
-@query(ctes("reference_lists") + " SELECT id, CASE WHEN resolved_paper_id IS NULL THEN 'pending' ELSE 'resolved' END AS status FROM reference_lists")
+@query(ctes("reference_lists") + " SELECT id, 'pending' AS status, CASE WHEN resolved_paper_id IS NULL THEN 'pending' ELSE 'resolved' END AS status_resolved FROM reference_lists")
 def migrated_references(spark, d):
-    tables_now, _ = migrate({"papers": table(spark, d, "papers"), "reference_lists": table(spark, d, "reference_lists").drop("status")}, spark)
-    return tables_now["reference_lists"].select("id", "status")
+    now, _ = migrate({"papers": table(spark, d, "papers"), "reference_lists": table(spark, d, "reference_lists").drop("status")}, spark)
+    lists = now["reference_lists"].withColumn("was", F.col("status"))
+    return citations.sync_status(lists).selectExpr("id", "was as status", "status as status_resolved")

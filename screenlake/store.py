@@ -103,7 +103,8 @@ MIGRATIONS: tuple[tuple[int, str, tuple[tuple[str, str, str], ...]], ...] = (
 
 
 def migrate(tables: dict[str, DataFrame], spark: SparkSession, applied: set[int] = frozenset(), up_to: int | None = None) -> tuple[dict[str, DataFrame], list[int]]:
-    """Tables with missing tables and columns added, and the versions that were applied now."""
+    """Tables with missing tables and columns added, and the versions that were applied now. Every reference starts as
+    pending; the resolution marks those that have their paper."""
     out, done = dict(tables), []
     for version, _, steps in MIGRATIONS:
         if version in applied or up_to is not None and version > up_to:
@@ -112,8 +113,7 @@ def migrate(tables: dict[str, DataFrame], spark: SparkSession, applied: set[int]
             if table not in out:
                 out[table] = spark.createDataFrame([], TABLES[table].schema)
             elif column and column not in out[table].columns:
-                value = F.when(F.col("resolved_paper_id").isNotNull(), "resolved").otherwise("pending") if column == "status" else F.lit(None)
-                out[table] = out[table].withColumn(column, value.cast(kind))
+                out[table] = out[table].withColumn(column, F.lit("pending" if column == "status" else None).cast(kind))
         done.append(version)
     return out, done
 
@@ -127,7 +127,8 @@ def from_first_layout(papers: DataFrame, queries: DataFrame) -> dict[str, DataFr
     if "query_id" not in papers.columns:
         raise ValueError("papers has no query_id: it is not of the first layout")
     platform = F.lower("platform")
-    name = F.initcap("platform")
+    # each run of letters begins with a capital
+    name = F.array_join(F.transform(F.regexp_extract_all("platform", F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1)), F.initcap), "")
     for part, source in reversed(PLATFORMS):
         name = F.when(platform.contains(part), source).otherwise(name)
     links = papers.where("query_id is not null").select(F.col("id").alias("paper_id"), "query_id").distinct()
