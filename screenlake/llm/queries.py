@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from screenlake.llm import html_text, near_text, near_vectors, packing, pieces, quality, sharding, suffix_dedup, toxicity, url_rules
+from screenlake.llm import filter_audit, hard_negatives, html_text, near_text, near_vectors, packing, pieces, quality, sharding, suffix_dedup, toxicity, url_rules, word_bpe
 
 QUERIES = {
     "op1_piece_sampling": pieces.query,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_best_fit": packing.query,
     "op9_url_rules": url_rules.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_word_bpe": word_bpe.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 ORACLES = {
     "op3_cap_filters": near_vectors.ORACLE,
     "op7_minhash_dedup": near_text.ORACLE,
     "op9_url_rules": url_rules.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
