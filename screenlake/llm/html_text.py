@@ -3,7 +3,7 @@
 Paragraphs pass points for their length and commas to their ancestors (all to the parent, half to the grandparent, a
 quarter one further up and so on), discounted by link density. The best container, or the lowest ancestor that it
 shares with other strong ones, and those of its siblings that read like prose are kept; a best container inside of an
-article or main element stands for all of that element. Menus, headers, footers, sidebars, notices, adverts, forms,
+article or main element stands for all of that element, and other such elements of a fifth of its score stay with it. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments never count. Every step runs once over the nodes, up or down the tree.
 """
 
@@ -33,10 +33,12 @@ SCOPES = ("ul", "ol", "dl", "table")
 #: Words in class and id that mark an element as no part of the article, and words that say nothing beside them.
 UNLIKELY = re.compile(
     r"ads?|advert\w*|advertorial|sponsor\w*|promo\w*|banner|nav(?:s|bar|igation|list|links?)?|menu(?:s|bar|items?|list)?|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|related|recommend\w*|"
-    r"comments?|commentlist|replies|reply|respond|disqus|share|sharing|social|cookies?|consent|notice|alert|popup|modal|overlay|subscribe|newsletter|signup|login|pagination|pager|toolbar|legal|copyright|disclaimer|gdpr")
+    r"comments?|commentlist|commenters?|replies|reply|respond|responses|reactions|discussions?|disqus|share|sharing|social|cookies?|consent|notice|alert|popup|modal|overlay|subscribe|newsletter|signup|login|pagination|pager|toolbar|legal|copyright|disclaimer|gdpr")
 GENERIC = re.compile(
     r"\d*|[a-z]|box|bars?|lists?|wrap|wrapper|container|area|block|section|inner|outer|content|contents|items?|links?|posts?|articles?|stories|news|top|bottom|left|right|main|site|page|global|text|"
-    r"unit|slot|form|buttons?|icons?|group|panel|row|column|col|strip|zone|holder|primary|secondary|media|tags?|thread|section|policy|info|placeholder|mobile|desktop|sticky|fixed|footer|the|js|ui")
+    r"unit|slot|form|buttons?|icons?|group|panel|row|column|col|strip|zone|holder|primary|secondary|media|tags?|thread|section|policy|info|placeholder|mobile|desktop|sticky|fixed|footer|the|js|ui|readers?|users?|visitors?|your|all|new|latest")
+#: Words that say nothing of a part inside an article: sides of a layout, and what an article itself can be about.
+OWN = frozenset("side foot header legal discussion discussions".split())
 LAYOUT = ("has-", "with-", "no-", "without-", "is-")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -55,21 +57,27 @@ class Node:
         self.chars = self.linked = 0
 
 
-def names_outside(value: str) -> bool:
+def names_outside(value: str, in_article: bool = False) -> bool:
     """Whether a class or id names something outside of the article: its last word does, or one word does and the
-    others say nothing. A longer name that only has such a word in it ("legal-analysis") is another thing."""
+    others say nothing. A longer name that only has such a word in it ("legal-analysis") is another thing. Inside an
+    article the whole name must say so, by a word that an article's own parts don't use."""
     for name in value.lower().split():
         if name.startswith(LAYOUT):
             continue
         parts = re.split(r"[-_:]+", name)
-        unlikely = [bool(UNLIKELY.fullmatch(w)) for w in parts]
-        if any(unlikely) and (unlikely[-1] or all(u or GENERIC.fullmatch(w) for u, w in zip(unlikely, parts))):
+        found = [bool(UNLIKELY.fullmatch(w)) for w in parts]
+        whole = all(u or GENERIC.fullmatch(w) for u, w in zip(found, parts))
+        if in_article:
+            if whole and any(u and w not in OWN for u, w in zip(found, parts)):
+                return True
+        elif any(found) and (found[-1] or whole):
             return True
     return False
 
 
 def unlikely(tag: str, attributes: str, in_article: bool) -> bool:
-    """``in_article``: a header inside of an article is the article's own."""
+    """``in_article``: a header inside of an article is the article's own, and an id there, or one of a heading, is made
+    of the text that it stands by."""
     if tag in OUTSIDE and not (tag == "header" and in_article):
         return True
     if not attributes or attributes.isspace():
@@ -78,11 +86,9 @@ def unlikely(tag: str, attributes: str, in_article: bool) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
-            if whole and "comment" not in value.lower() or tag == "header":
-                continue
-            if in_article and re.fullmatch(r"(?:[\w-]+[-_])?header", value.strip(), re.I):
+            if whole and "comment" not in value.lower() or tag == "header" or name == "id" and (in_article and not whole or tag in HEADINGS):
                 continue
-            if names_outside(value):
+            if names_outside(value, in_article):
                 return True
         elif name == "role" and value.lower() in ROLES and not whole:
             return True
@@ -102,7 +108,7 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     def flush() -> None:
         nonlocal length, linked
         if buf:
-            text = " ".join(html.unescape("".join(buf)).split())
+            text = " ".join("".join(buf).split())
             if text:
                 out.append((stack[-1].block, text, min(linked, len(text))))
             buf.clear()
@@ -111,6 +117,7 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     def say(piece: str) -> None:
         nonlocal linked
         if not stack[-1].outside:
+            piece = html.unescape(piece)  # a tag ends a character reference
             buf.append(piece)
             if places.get("a"):
                 linked += len(piece)
@@ -231,10 +238,13 @@ def extract(page: str | None) -> str:
             best = climb
         climb = climb.up
     whole = best.tag in ("article", "main")
-    if not whole:
+    inside, beside = {best}, {}
+    if whole:  # a page can have several articles; what holds them is none
+        inside.update(n for n in named if worth(n) >= 0.2 * worth(best))
+    else:
         best = shared(best, nodes, pool, worth)
+        inside = {best}
     bar = max(10.0, 0.2 * worth(best))
-    inside, beside = {best}, {}
     for n in nodes:
         if n.up in inside:
             inside.add(n)
@@ -260,7 +270,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     Null and empty pages and pages without article text give an empty text. Nothing is cut off. Repeated rows give
     repeated results; an empty table an empty one. Input columns named text or n_chars are replaced. Time grows in
-    proportion to a page's length, however long, deep or unbalanced it is.
+    proportion to a page's length, however long, deep or unbalanced it is. Of containers with equal scores the one that
+    begins first is best, then the innermost.
     """
     rest = pages.drop("text", "n_chars") if html_col not in ("text", "n_chars") else pages
     keep = [c for c in rest.columns if c != html_col]
