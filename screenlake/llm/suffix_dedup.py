@@ -236,15 +236,19 @@ def covered(docs: DataFrame, stages: Stages, o: Options) -> DataFrame:
     parts = classes.groupBy("r.doc_id", "r.th").agg(F.collect_list(F.struct("core", "own", "r.at", "r.lo", "r.hi", "c")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # copies of one row lie in one partition; one of them is cut
         for b in batches:
-            for text, parts in zip(b.column("text"), b.column("parts")):
+            for text, parts, key in zip(b.column("text"), b.column("parts"), zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist())):
+                if key in done:
+                    continue
+                done.add(key)
                 p = {f: parts.values.field(f) for f in ("core", "own", "at", "lo", "hi", "c")}
                 at, lo, hi = (p[f].to_numpy().astype(np.int64) for f in ("at", "lo", "hi"))
                 raw = text.as_buffer()
                 own = [raw[f:t].to_pybytes() for f, t in zip((at - hi).tolist(), (at - lo + o.width).tolist())]
                 yield pa.RecordBatch.from_arrays([p["core"], p["own"], p["lo"], p["hi"], pa.array(hi.astype(np.int32)), p["c"], pa.array(own, pa.binary())], ["core", "own", "lo", "hi", "left", "c", "stretch"])
 
-    rows = stages.save("stretches", docs.join(parts, ["doc_id", "th"]).select("text", "parts").mapInArrow(cut, STRETCH))
+    rows = stages.save("stretches", docs.join(parts, ["doc_id", "th"]).select("text", "parts", "doc_id", "th").mapInArrow(cut, STRETCH))
     levels, links = parted(rows, stages, o)
     spans = None
     for n in reversed(range(len(levels))):
@@ -252,8 +256,9 @@ def covered(docs: DataFrame, stages: Stages, o: Options) -> DataFrame:
         if spans is not None:
             here = here.unionByName(links[n].join(spans, ["core", "own"]).select(F.col("of_core").alias("core"), F.col("of_own").alias("own"), "a", "b"))
         spans = stages.save(f"spans{n}", here)
-    out = cand.join(spans, ["core", "own"]).select("doc_id", "th", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("span"))
-    return out.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans"))
+    # a row's copies share one id and hash: sets, so that each span of a text stays once
+    out = cand.join(spans.distinct(), ["core", "own"]).select("doc_id", "th", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("span"))
+    return out.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
 
 
 def sort(batches: Iterator[pa.RecordBatch], o: Options) -> Iterator[pa.RecordBatch]:
