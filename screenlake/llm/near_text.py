@@ -217,7 +217,8 @@ def dedup(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_
     members = own.withColumn("node", node).select("doc_id", "h1", "h2", "sig", "node").join(groups, "node").join(sizes, "grp")
     members = st.save("members", members.select("doc_id", "h1", "h2", "sig", "grp", "blocks"))
     st.drop(*[n for n in st.names if n in ("groups", "sizes", "parts", "part_sizes", "shared")])
-    edges = st.save("edges", _verified(docs, members, o))
+    again = st.save("again", signed.where(real).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    edges = st.save("edges", _verified(docs, members, again, o))
     # ids and classes: every row's id links to its class's, every class's to its component's
     found = components(st, edges.select("a", "b"), "links")
     found = found.select(F.col("node").alias("rep"), F.col("component").alias("root"))
@@ -307,11 +308,14 @@ def _split(st: Stages, own: DataFrame, groups: DataFrame, o: Options) -> DataFra
     return tight
 
 
-def _verified(docs: DataFrame, members: DataFrame, o: Options) -> DataFrame:
-    """Edges (a, b) of ids that span what is linked inside each candidate group."""
+def _verified(docs: DataFrame, members: DataFrame, again: DataFrame, o: Options) -> DataFrame:
+    """Edges (a, b) of ids that span what is linked inside each candidate group. ``again``: ids of several rows, of
+    which each different text is compared once."""
     need, percent = least_matches(o), round(100 * o.threshold)
     # the texts of members only; their full sets are made where the text is
-    texts = docs.join(members, "doc_id")
+    several = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text")).select("doc_id", "text")
+    once = docs.join(again, "doc_id", "left_anti").select("doc_id", "text")
+    texts = once.join(members, "doc_id").unionByName(several.join(members, "doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
