@@ -90,7 +90,7 @@ FILTERS = tuple(pattern_rule(x) for x in (
     "^{warez,keygen,torrent}^",
     "^{crack,serial}^*^{download,free}^",
     "||{ads,adserver,banners,tracker}.",
-    "||click*.^*/redirect/",
+    "||click*^redirect/",
     "/{login,signin,signup,register,logout}{,/,.php,.html,.aspx}|",
     "/{cart,basket,checkout}{,/}|",
     "/wp-{login,cron,signup}.php",
