@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.functions.text import apart, bound, preprocess
+from screenlake.functions.text import apart, bound, condensed, preprocess
 
 #: What a claimed span leaves behind.
 CLAIMED = "\u0001"
@@ -30,6 +30,12 @@ class Topic:
     def by_length(self) -> list[str]:
         return sorted(self.keywords, key=len, reverse=True)
 
+    @property
+    def vocabulary(self) -> list[str]:
+        """All words that a keyword or signal has, with plural endings; words with a hyphen are left to the reader."""
+        words = {w for t in (*self.keywords, *self.physical, *self.learning) for w in clean(t).split()}
+        return sorted(w + ending for w in words for ending in ("", "s", "es"))
+
     def query_terms(self) -> dict[str, int]:
         """Words of all keywords with how often each occurs: the query of the ranking function."""
         out: dict[str, int] = {}
@@ -95,9 +101,10 @@ def keyword_scores(df: DataFrame, text: str, topic: Topic = STUDY, shortest: int
 
     The longest keyword claims its spans first: each step counts one keyword and masks it for the shorter ones, by
     plain search and only where the text has it. Texts under ``shortest`` characters and null texts score 0.
-    ``cleaned``: a column that has the preprocessed text already.
+    One pass looks the topic's words up; each keyword is then searched in what is left of the text. ``cleaned``: a
+    column that has the preprocessed text, or this rest of it, already.
     """
-    plain = F.col(cleaned) if cleaned else preprocess(text)
+    plain = F.col(cleaned) if cleaned else condensed(preprocess(text), topic.vocabulary)
     out = df.withColumn("__m", F.when(F.length(F.trim(F.col(text))) >= shortest, spaced(plain)).otherwise(""))
     marks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(CLAIMED), F.lit("")))
     counts, last = [], "__m"
@@ -135,4 +142,4 @@ def labelled(found: Column, score: Column, threshold: Column | float) -> Column:
 def classify(text: Column | str, score: Column | str, threshold: Column | float, topic: Topic = STUDY) -> Column:
     """The class of a text by its signals, else by its score (see ``labelled``)."""
     s = F.col(score) if isinstance(score, str) else score
-    return bound(signals(preprocess(text), topic), lambda found: labelled(found, s, threshold))
+    return bound(signals(condensed(preprocess(text), topic.vocabulary), topic), lambda found: labelled(found, s, threshold))

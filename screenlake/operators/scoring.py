@@ -11,17 +11,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenlake.functions.text import apart, occurrences, preprocess, tokens
+from screenlake.functions.text import apart, condensed, occurrences, preprocess, tokens
 from screenlake.functions.topic import STUDY, Topic, keyword_scores, labelled, signals
 from screenlake.stages import Stages
 
 FALLBACK = 0.15
 
 
-def term_counts(docs: DataFrame, asked: list[str], cleaned: str) -> DataFrame:
-    """``docs`` plus dl (words of a preprocessed text) and tf (how often each of the terms asked for is a word)."""
+def term_counts(docs: DataFrame, asked: list[str], cleaned: str, brief: str | None = None) -> DataFrame:
+    """``docs`` plus dl (words of a preprocessed text) and tf (how often each of the terms asked for is a word).
+    ``brief``: a column with the text condensed to words that include the terms, if there is one already."""
     c = F.coalesce(F.col(cleaned), F.lit(""))
-    df = docs.withColumn("__a", apart(c)).withColumn("dl", F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1))
+    df = docs.withColumn("__a", apart(F.col(brief) if brief else condensed(c, asked))).withColumn("dl", F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1))
     return df.withColumn("tf", F.array(*[occurrences(F.col("__a"), f" {x} ") for x in asked]).cast("array<int>")).drop("__a")
 
 
@@ -74,7 +75,7 @@ def cosine(papers: DataFrame, embeddings: DataFrame, topic: DataFrame) -> DataFr
 def components(papers: DataFrame, method: str = "hybrid", keyword_weight: float = 0.4, bm25_weight: float = 0.6, topic: Topic = STUDY, embeddings: DataFrame | None = None, topic_vector: DataFrame | None = None) -> DataFrame:
     """id, keyword_score, keyword_raw, keyword_matched, signals, bm25_score, score of every paper.
 
-    The texts are read and preprocessed once: what keywords, signals and the ranking function need of them is written
+    The texts are read, preprocessed and condensed to the topic's words once: what keywords, signals and the ranking function need of them is written
     as one small row for each paper, from which thresholds and results are made.
     """
     if method not in ("keyword", "bm25", "hybrid", "embedding"):
@@ -82,9 +83,9 @@ def components(papers: DataFrame, method: str = "hybrid", keyword_weight: float
     if method == "embedding" and (embeddings is None or topic_vector is None):
         raise ValueError("method 'embedding' needs embeddings and a topic vector")
     terms = topic.query_terms()
-    base = papers.select("id", F.coalesce("abstract", F.lit("")).alias("abstract")).withColumn("__c", preprocess("abstract"))
-    base = term_counts(keyword_scores(base, "abstract", topic, cleaned="__c").withColumn("signals", signals(F.col("__c"), topic)), sorted(terms), "__c")
-    base = Stages(papers.sparkSession, "scores").save("measured", base.drop("abstract", "__c"))
+    base = papers.select("id", F.coalesce("abstract", F.lit("")).alias("abstract")).withColumn("__c", preprocess("abstract")).withColumn("__b", condensed(F.col("__c"), topic.vocabulary))
+    base = term_counts(keyword_scores(base, "abstract", topic, cleaned="__b").withColumn("signals", signals(F.col("__b"), topic)), sorted(terms), "__c", "__b")
+    base = Stages(papers.sparkSession, "scores").save("measured", base.drop("abstract", "__c", "__b"))
     if method == "embedding":
         return base.drop("dl", "tf").withColumn("bm25_score", F.lit(0.0)).join(cosine(papers, embeddings, topic_vector), "id")
     if method == "keyword":

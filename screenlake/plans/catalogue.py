@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenlake.functions import text as X
-from screenlake.functions.topic import Topic, classify, keyword_scores
+from screenlake.functions.topic import STUDY, Topic, classify, forms, keyword_scores, signals
 from screenlake.operators import citations, identity, lookups, metrics, reports, scoring, screening, upserts
 from screenlake.plans import sql as readonly
 from screenlake.plans.standin import ctes, table
@@ -358,6 +358,61 @@ def classify_three(spark, d):
     return _docs(spark, d).select("doc_id", classify("text", F.col("n_chars").cast("double"), 1000.0, TOPIC).alias("label"))
 
 
+#: Documents that speak of the study's topic: common words give way to its terms, some of which overlap.
+_STUDY_TEXT = "text"
+for _word, _term in ((" the ", " puf-based "), (" for ", " SRAM "), (" of ", " side-channels "), (" and ", " machine learning attacks, "), (" in ", " physical unclonable functions "), (" de ", " semi-invasive fault injection "), (" that ", " AI ")):
+    _STUDY_TEXT = f"replace({_STUDY_TEXT}, '{_word}', '{_term}')"
+_STUDY_DOCS = f"docs AS (SELECT doc_id, {_STUDY_TEXT} AS text FROM documents), "
+_STUDY_BM25 = _STUDY_DOCS + (_BM25[: _BM25.index("(VALUES")] + "(VALUES " + ", ".join(f"('{t}', {n})" for t, n in STUDY.query_terms().items()) + ")" + _BM25[_BM25.index("),\ntk") + 1 :]).replace("FROM documents", "FROM docs")
+_SPACED = f"' ' || replace(replace({_PRE}, ' ', '  '), '-', ' - ') || ' '"
+
+
+def _study_keywords() -> str:
+    """Each keyword in turn, the longest first, counted and masked."""
+    sql, counts = [f"m0 AS (SELECT doc_id, CASE WHEN length(trim(text)) >= 20 THEN {_SPACED} ELSE '' END AS m FROM docs)"], []
+    for i, k in enumerate(STUDY.by_length):
+        pattern = forms(k)[0][:-1] + "(s|es)? "
+        done = "".join(f", n{j}" for j in range(i))
+        sql.append(f"m{i + 1} AS (SELECT doc_id, regexp_replace(m, '{pattern}', chr(1), 'g') AS m{done}, len(regexp_extract_all(m, '{pattern}')) AS n{i} FROM m{i})")
+        counts.append((k, f"n{i} * {STUDY.keywords[k][1]}::DOUBLE"))
+    raw = " + ".join(c for _, c in counts)
+    matched = ", ".join(f"CASE WHEN n{i} > 0 THEN concat('{k}:', {c}) END" for i, (k, c) in enumerate(counts))
+    return _STUDY_DOCS + ", ".join(sql) + f", kw AS (SELECT doc_id, {raw} AS raw, concat_ws(',', {matched}) AS matched FROM m{len(counts)})"
+
+
+def _study(spark, d):
+    return _docs(spark, d).selectExpr("doc_id", f"{_STUDY_TEXT} AS text", "n_chars")
+
+
+@query(f"WITH {_study_keywords()} SELECT doc_id, round(raw, 6) AS keyword_raw, round(least(raw / {STUDY.most}, 1.0), 6)::DOUBLE AS keyword_score, matched FROM kw")
+def study_keywords(spark, d):
+    """The study's 29 keywords with their weights."""
+    pairs = F.array_join(F.transform(F.map_entries("keyword_matched"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return rounded(keyword_scores(_study(spark, d), "text").select("doc_id", "keyword_raw", "keyword_score", pairs.alias("matched")))
+
+
+@query(f"WITH {_STUDY_BM25} SELECT doc_id AS id, round(bm25, 6) AS bm25 FROM b".replace("FROM documents LEFT", "FROM docs LEFT"))
+def study_bm25(spark, d):
+    return rounded(scoring.bm25(_study(spark, d), STUDY.query_terms(), "doc_id", "text"))
+
+
+_SIGNAL = lambda terms: "regexp_matches(c, '(" + "|".join(forms(t)[0][:-1] for t in terms) + ")(s|es)? ')"
+
+
+@query(f"WITH {_STUDY_DOCS} s AS (SELECT doc_id, {_SPACED} AS c FROM docs) SELECT doc_id, {_SIGNAL(STUDY.physical)} AS physical, {_SIGNAL(STUDY.learning)} AS learning FROM s")
+def study_signals(spark, d):
+    found = signals(X.condensed(X.preprocess("text"), STUDY.vocabulary))
+    return _study(spark, d).select("doc_id", found.alias("s")).select("doc_id", "s.physical", "s.learning")
+
+
+@query(f"WITH {_study_keywords()}, {_STUDY_BM25[len(_STUDY_DOCS):]}, s AS (SELECT doc_id, {_SPACED} AS c FROM docs), h AS (SELECT doc_id, 0.4 * least(raw / {STUDY.most}, 1.0) + 0.6 * bm25 / (SELECT max(bm25) FROM b) AS score FROM kw JOIN b USING (doc_id))"
+       f" SELECT doc_id AS paper_id, round(score, 6) AS score, score >= 0.29 AS is_relevant, CASE WHEN {_SIGNAL(STUDY.physical)} AND {_SIGNAL(STUDY.learning)} THEN 'hybrid' WHEN {_SIGNAL(STUDY.physical)} THEN 'in-scope' WHEN {_SIGNAL(STUDY.learning)} THEN 'out-of-scope' WHEN score >= 0.29 THEN 'in-scope' ELSE 'out-of-scope' END AS relevance_class FROM h JOIN s USING (doc_id)")
+def study_evaluated(spark, d):
+    """Scores and classes at the study's published threshold."""
+    papers = _study(spark, d).selectExpr("doc_id as id", "text as abstract")
+    return rounded(scoring.evaluate_corpus(papers, threshold=0.29).select("paper_id", "score", "is_relevant", "relevance_class"))
+
+
 @query("SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings")
 def cosine_topic(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
