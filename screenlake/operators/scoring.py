@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import math
-import random
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.functions.text import apart, condensed, occurrences, preprocess, tokens
 from screenlake.functions.topic import STUDY, Topic, keyword_scores, labelled, signals
-from screenlake.stages import Stages
+from screenlake.stages import Stages, numbered
 
 FALLBACK = 0.15
 
@@ -102,8 +98,9 @@ def gold(consensus: DataFrame) -> DataFrame:
     return consensus.select("paper_id", y.alias("y")).where("y is not null")
 
 
-def sweep(pairs: DataFrame, by: list[str], criterion: str = "f1", step: float = 0.01) -> DataFrame:
-    """by..., threshold, value: the first best threshold of each group of (by..., score, y).
+def sweep(pairs: DataFrame, by: list[str], criterion: str = "f1", step: float = 0.01, times: str | None = None) -> DataFrame:
+    """by..., threshold, value: the first best threshold of each group of (by..., score, y). ``times``: a column that
+    says how many pairs a row stands for.
 
     Scores are counted by the last grid point they reach, so work is in proportion to rows plus grid points, not to
     their product. Groups with one class only have no row.
@@ -112,13 +109,14 @@ def sweep(pairs: DataFrame, by: list[str], criterion: str = "f1", step: float =
         raise ValueError(f"unknown criterion {criterion!r}: use 'f1' or 'youden'")
     if not 0 < step <= 1:
         raise ValueError("step must be in (0, 1]")
+    n = F.col(times) if times else F.lit(1)
     at = lambda i: F.round(F.col("start") + i * F.lit(step), 10)
-    group = pairs.groupBy(*by).agg(F.least(F.lit(0.0), F.min("score") - 1e-3).alias("start"), F.greatest(F.lit(1.0), F.max("score") + 1e-3).alias("stop"), F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    group = pairs.groupBy(*by).agg(F.least(F.lit(0.0), F.min("score") - 1e-3).alias("start"), F.greatest(F.lit(1.0), F.max("score") + 1e-3).alias("stop"), F.sum(F.col("y") * n).alias("pos"), F.sum((1 - F.col("y")) * n).alias("neg"))
     group = group.where("pos > 0 and neg > 0").withColumn("steps", F.greatest(F.lit(1), F.ceil((F.col("stop") - F.col("start")) / F.lit(step)).cast("int")))
     k = F.floor((F.col("score") - F.col("start")) / F.lit(step)).cast("int")
     reach = pairs.join(group, by) if by else pairs.crossJoin(F.broadcast(group))
     reach = reach.withColumn("i", k).withColumn("i", F.when(at(F.col("i") + 1) <= F.col("score"), F.col("i") + 1).when(at(F.col("i")) > F.col("score"), F.col("i") - 1).otherwise(F.col("i")))
-    reach = reach.withColumn("i", F.least("i", "steps")).groupBy(*by, "i").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    reach = reach.withColumn("i", F.least("i", "steps")).groupBy(*by, "i").agg(F.sum(F.col("y") * n).alias("p"), F.sum((1 - F.col("y")) * n).alias("q"))
     grid = group.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("steps"))))
     w = Window.partitionBy(*by).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)  # at most the grid's points
     rows = grid.join(reach, [*by, "i"], "left").withColumns({"tp": F.coalesce(F.sum("p").over(w), F.lit(0)), "fp": F.coalesce(F.sum("q").over(w), F.lit(0))})
@@ -187,65 +185,36 @@ def mark_papers(papers: DataFrame, results: DataFrame) -> DataFrame:
     return out.select(*papers.columns)
 
 
-def states(rounds: int, size: int, seed: int = 42) -> list[tuple[int, bytes, int]]:
-    """(round, state, place): the generator of ``random.Random(seed)`` before each round of ``size`` draws, so that a
-    round can be drawn anywhere as one sequence of ``choices`` would draw it."""
-    *words, place = random.Random(seed).getstate()[1]
-    rng = np.random.RandomState()
-    rng.set_state(("MT19937", np.array(words, np.uint32), place))
-    out = []
-    for b in range(rounds):
-        _, words, place, *_ = rng.get_state()
-        out.append((b, words.astype("<u4").tobytes(), int(place)))
-        rng.random_sample(size)
-    return out
-
-
-def best_thresholds(scores: np.ndarray, y: np.ndarray, step: float) -> tuple[float, float] | None:
-    """The first best threshold by F1 and by Youden's J, as ``sweep`` finds them; None without both classes."""
-    pos = int(y.sum())
-    neg = len(y) - pos
-    if not pos or not neg:
-        return None
-    start, stop = min(0.0, float(scores.min()) - 1e-3), max(1.0, float(scores.max()) + 1e-3)
-    grid = np.array([round(start + i * step, 10) for i in range(max(1, math.ceil((stop - start) / step)) + 1)])
-    tp, fp = (len(s) - np.searchsorted(np.sort(s), grid, "left") for s in (scores[y == 1], scores[y == 0]))
-    precision, recall = tp / np.maximum(tp + fp, 1), tp / pos
-    both = precision + recall
-    f1 = np.where(both > 0, 2 * precision * recall / np.where(both > 0, both, 1.0), 0.0)
-    return float(grid[f1.argmax()]), float(grid[(tp / pos + (neg - fp) / neg - 1.0).argmax()])
-
-
-def bootstrap(scores: DataFrame, consensus: DataFrame, rounds: int = 1000, size: int | None = None, step: float = 0.01, seed: int = 42) -> DataFrame:
+def draw(seed: int, round_: Column, place: Column, n: int) -> Column:
+    """A number from 0 to n - 1 for each (seed, round, place), the same on any executor: 48 bits of a digest."""
+    text = F.concat_ws(":", F.lit(str(seed)), round_.cast("string"), place.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % n
+
+
+def bootstrap(scores: DataFrame, consensus: DataFrame, rounds: int = 1000, size: int | None = None, step: float = 0.01, seed: int = 42, draws: DataFrame | None = None) -> DataFrame:
     """round, criterion, threshold: thresholds of resampled labels. Rounds with one class only have no row.
 
-    The labels of a study are few (a human wrote each): their scores and classes go to each task, 16 bytes a label, and
-    a task draws and sweeps its rounds one by one, so no draw is ever stored.
+    Labelled papers are numbered in the order of their ids; a round draws ``size`` numbers (as many as there are labels
+    if not given) with replacement, and a paper counts once in it. Draws are hashed from (seed, round, place) where they
+    are needed, or given (round, nth), and merged at once into counts of each (round, score, class), over which the
+    thresholds of all rounds are swept together. A drawn paper without a score takes part in no sweep. Only the number
+    of labels comes to the driver.
     """
-    if not 0 < step <= 1:
-        raise ValueError("step must be in (0, 1]")
     spark = scores.sparkSession
-    rows = gold(consensus).join(scores.select(F.col("id").alias("paper_id"), "score"), "paper_id", "left").orderBy("paper_id").select("score", "y").collect()
-    if not rows:
+    st = Stages(spark, "bootstrap")
+    rows = gold(consensus).join(scores.select(F.col("id").alias("paper_id"), "score"), "paper_id", "left").select("paper_id", "score", "y")
+    rows = st.save("labels", numbered(rows, ["paper_id", "score", "y"]))
+    n = rows.count()
+    if not n:
         raise ValueError("no labelled papers in the consensus")
-    value = np.array([np.nan if r["score"] is None else r["score"] for r in rows], "float64")
-    y = np.array([r["y"] for r in rows], "int64")
-    k = size or len(rows)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.RandomState()
-        for batch in batches:
-            out = []
-            for b, words, place in zip(batch["round"], batch["state"], batch["place"]):
-                rng.set_state(("MT19937", np.frombuffer(words, "<u4").astype(np.uint32), int(place)))
-                drawn = np.zeros(len(y), bool)
-                drawn[np.floor(rng.random_sample(k) * len(y)).astype("int64")] = True
-                drawn &= ~np.isnan(value)
-                if best := best_thresholds(value[drawn], y[drawn], step):
-                    out += [(b, "f1", best[0]), (b, "youden", best[1])]
-            yield pd.DataFrame(out, columns=["round", "criterion", "threshold"])
-
-    return spark.createDataFrame(states(rounds, k, seed), "round int, state binary, place int").mapInPandas(run, "round int, criterion string, threshold double")
+    k = size or n
+    if draws is None:
+        turn = F.floor(F.col("id") / k).cast("int")
+        draws = spark.range(rounds * k).select(turn.alias("round"), draw(seed, turn, F.col("id") % k, n).alias("nth"))
+    cells = draws.select("round", "nth").distinct().join(rows.where("score is not null"), "nth").groupBy("round", "score", "y").agg(F.count("*").alias("times"))
+    cells = st.save("cells", cells)
+    both = [sweep(cells, ["round"], c, step, "times").select("round", F.lit(c).alias("criterion"), "threshold") for c in ("f1", "youden")]
+    return both[0].unionByName(both[1])
 
 
 def intervals(thresholds: DataFrame) -> DataFrame:

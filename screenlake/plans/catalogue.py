@@ -441,11 +441,30 @@ def threshold_youden(spark, d):
     return rounded(scoring.sweep(_pairs(spark, d), [], "youden"))
 
 
-@query()
+def _best(criterion: str, value: str) -> str:
+    return f"SELECT round, '{criterion}' AS criterion, arg_max(t, (v, -i)) AS threshold FROM (SELECT round, t, i, {value} AS v FROM swept) GROUP BY round"
+
+
+_F1 = "CASE WHEN tp = 0 THEN 0.0::DOUBLE ELSE 2 * (tp / (tp + fp)) * (tp / pos) / (tp / (tp + fp) + tp / pos) END"
+_BOOTSTRAP = ctes("gold", "evals") + f""", l AS (SELECT paper_id, score, CASE WHEN consensus_label = 'in-scope' THEN 1 ELSE 0 END AS y FROM gold LEFT JOIN (SELECT paper_id, score FROM evals WHERE run_id = 1) USING (paper_id)
+  WHERE consensus_label IN ('in-scope', 'out-of-scope', 'hybrid')),
+nth AS (SELECT *, row_number() OVER (ORDER BY paper_id, score, y) - 1 AS nth FROM l), many AS (SELECT count(*) AS n FROM l),
+drawn AS (SELECT DISTINCT r.round, ('0x' || substr(md5(concat('42:', r.round, ':', p.place)), 1, 12))::BIGINT % n AS nth FROM (SELECT unnest(range(1000)) AS round) r, (SELECT unnest(range(n)) AS place FROM many) p, many),
+cells AS (SELECT round, score, y, count(*) AS times FROM drawn JOIN nth USING (nth) WHERE score IS NOT NULL GROUP BY ALL),
+g AS (SELECT round, least(0.0::DOUBLE, min(score) - 0.001::DOUBLE) AS a, greatest(1.0::DOUBLE, max(score) + 0.001::DOUBLE) AS b, sum(y * times)::BIGINT AS pos, sum((1 - y) * times)::BIGINT AS neg FROM cells GROUP BY round HAVING pos > 0 AND neg > 0),
+i AS (SELECT round, i, round(a + i * 0.01::DOUBLE, 10) AS t, pos, neg FROM g, unnest(range(0, greatest(1, ceil((b - a) / 0.01::DOUBLE)::BIGINT) + 1)) u(i)),
+swept AS (SELECT i.round, i, t, pos, neg, coalesce(sum(times) FILTER (score >= t AND y = 1), 0)::BIGINT AS tp, coalesce(sum(times) FILTER (score >= t AND y = 0), 0)::BIGINT AS fp FROM i JOIN cells ON cells.round = i.round GROUP BY ALL),
+best AS ({_best('f1', _F1)} UNION ALL {_best('youden', 'tp / pos + (neg - fp) / neg - 1.0::DOUBLE')})"""
+
+
+@query(_BOOTSTRAP + """, s AS (SELECT criterion, list_sort(list(threshold)) AS t FROM best GROUP BY criterion),
+q AS (SELECT criterion, len(t) AS n, t[floor(len(t) * 0.025)::INT + 1] AS low, t[floor(len(t) * 0.975)::INT + 1] AS high, t[floor(len(t) / 2)::INT + 1] AS median FROM s),
+m AS (SELECT q.*, count(*) FILTER (coalesce(score, 0) >= median AND y = 1) AS tp, count(*) FILTER (coalesce(score, 0) >= median AND y = 0) AS fp, sum(y) AS pos FROM q, l GROUP BY ALL)
+SELECT criterion, n::INT AS n, round(low, 6) AS low, round(high, 6) AS high, round(median, 6) AS median, round(tp / (tp + fp), 6) AS precision, round((tp / pos)::DOUBLE, 6) AS recall, round((2 * (tp / (tp + fp)) * (tp / pos) / (tp / (tp + fp) + tp / pos))::DOUBLE, 6) AS f1 FROM m""")
 def bootstrap_intervals(spark, d):
     scores = table(spark, d, "evals").where("run_id = 1").selectExpr("paper_id as id", "score")
     gold = table(spark, d, "gold")
-    return scoring.at_medians(scoring.intervals(scoring.bootstrap(scores, gold)), scores, gold)
+    return rounded(scoring.at_medians(scoring.intervals(scoring.bootstrap(scores, gold)), scores, gold))
 
 
 @query()

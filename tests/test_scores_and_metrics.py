@@ -1,7 +1,9 @@
+import hashlib
 import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from screenlake.functions.topic import clean
 from screenlake.operators import metrics, scoring
@@ -99,14 +101,17 @@ def test_bootstrap_equals_the_loop(spark):
     labels = [(i, rng.choice(["in-scope", "hybrid", "out-of-scope", "disagree"])) for i in range(24)]
     score = {i: rng.choice([rng.uniform(-0.3, 1.2), round(rng.uniform(0, 1), 2)]) for i in range(24) if i % 11}
     gold = {i: int(c == "in-scope") for i, c in labels if c != "disagree"}
-    draw, ends = random.Random(42), {"f1": [], "youden": []}
-    for _ in range(1000):
-        pairs = [(score[i], y) for i, y in dict(draw.choices(list(gold.items()), k=len(gold))).items() if i in score]
+    draw, ends, drawn, place = random.Random(42), {"f1": [], "youden": []}, [], {i: n for n, i in enumerate(gold)}
+    for b in range(1000):
+        sample = dict(draw.choices(list(gold.items()), k=len(gold)))
+        drawn += [(b, place[i]) for i in sample]
+        pairs = [(score[i], y) for i, y in sample.items() if i in score]
         for c in ends:
             if (t := first_best(pairs, c)) is not None:
                 ends[c].append(t)
     scores, consensus = spark.createDataFrame(list(score.items()), "id long, score double"), spark.createDataFrame(labels, "paper_id long, consensus_label string")
-    got = scoring.at_medians(scoring.intervals(scoring.bootstrap(scores, consensus)), scores, consensus).collect()
+    draws = spark.createDataFrame(drawn, "round int, nth long")
+    got = scoring.at_medians(scoring.intervals(scoring.bootstrap(scores, consensus, draws=draws)), scores, consensus).collect()
     assert {r["criterion"] for r in got} == set(ends)
     for r in got:
         t = sorted(ends[r["criterion"]])
@@ -117,6 +122,21 @@ def test_bootstrap_equals_the_loop(spark):
         assert all(abs(a - b) < 1e-12 for a, b in zip((r["precision"], r["recall"], r["f1"]), (p, q, 2 * p * q / (p + q) if p + q else 0.0)))
 
 
+def test_bootstrap_draws_by_hash(spark):
+    """The same draws anywhere, even over the numbers, and thresholds equal to a loop over them."""
+    rng = random.Random(3)
+    score, y = {i: round(rng.random(), 3) for i in range(40)}, {i: rng.random() < 0.4 for i in range(40)}
+    hashed = lambda b, j: int(hashlib.md5(f"7:{b}:{j}".encode()).hexdigest()[:12], 16) % 40
+    scores, consensus = spark.createDataFrame(list(score.items()), "id long, score double"), spark.createDataFrame([(i, "in-scope" if v else "hybrid") for i, v in y.items()], "paper_id long, consensus_label string")
+    got = {(r["round"], r["criterion"]): r["threshold"] for r in scoring.bootstrap(scores, consensus, 60, seed=7).collect()}
+    want = {(b, c): first_best([(score[i], y[i]) for i in {hashed(b, j) for j in range(40)}], c) for b in range(60) for c in ("f1", "youden")}
+    assert got == want
+    one = spark.range(20000).select(scoring.draw(1, F.lit(0), F.col("id"), 10).alias("n")).groupBy("n").count().collect()
+    assert len(one) == 10 and all(1800 < r["count"] < 2200 for r in one)
+    with pytest.raises(ValueError):
+        scoring.bootstrap(scores, consensus.limit(0))
+
+
 def test_bootstrap_query_has_all_rounds(spark):
     got = catalogue.QUERIES["bootstrap_intervals"](spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 2 and all(900 < r["n"] <= 1000 and 0 <= r["f1"] <= 1 for r in got)
