@@ -273,41 +273,78 @@ def absorb(papers: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame, D
     return fill_missing(grown, later), placed.select("seq", "paper_id"), ids.select(F.col("new_id").alias("paper_id"))
 
 
+def _first_papers(st: Stages, e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of entries (seq, d, t): when papers arise. (d, made, name, named): the entry that makes a DOI's paper, and the
+    first title that it gets, with the entry that brings it; (t, s0): the first entry without DOI of each title; (t) of
+    the titles whose first such entry finds a paper.
+
+    An entry without DOI makes a paper at s0 if no paper has its title by then. An entry with a DOI makes the DOI's
+    paper unless that exists, or its title has such a paper; the title's paper never takes the DOI. So when a DOI's
+    paper arises depends on titles, and whether a title's paper arises on earlier DOIs. Both only look back, so starting
+    from the guess that every title's paper arises and deciding all again until nothing changes ends at the one answer,
+    after as many rounds as such decisions hang on each other. A round sees at most two rows of each (DOI, title),
+    merged before they are shuffled, so a large group is spread over all tasks.
+    """
+    s0 = st.save("s0", e.where("d is null and t <> ''").groupBy("t").agg(F.min("seq").alias("s0")))
+    of_doi = e.where("d is not null")
+    later = F.coalesce(F.col("seq") > F.col("s0"), F.lit(False))
+    first = of_doi.where("t <> ''").groupBy("d", "t").agg(F.min("seq").alias("seq"))
+    # the first entry of a DOI and a title, and the first after the title's own entry
+    after = of_doi.where("t <> ''").join(s0, "t").where(later).groupBy("d", "t").agg(F.min("seq").alias("seq"))
+    turns = first.unionByName(after).distinct().join(s0, "t", "left").select("d", "t", "seq", "s0", later.alias("waits"))
+    turns = st.save("turns", turns)
+    bare = st.save("bare", of_doi.where("t = ''").groupBy("d").agg(F.min("seq").alias("u0")))
+    lent = of_doi.where("t <> ''").join(bare, "d").where("seq > u0").groupBy("d").agg(F.min(F.struct("seq", "t")).alias("lent"))
+    bare = st.save("lent", bare.join(lent, "d", "left"))
+    gone, seen, turn = s0.select("t").limit(0), None, 0
+    while True:
+        open_ = turns.join(gone.withColumn("gone", F.lit(True)), "t", "left").where("not waits or gone")
+        made = open_.groupBy("d").agg(F.min(F.struct("seq", "t")).alias("m")).join(bare, "d", "full")
+        titled = F.col("m").isNotNull() & (F.col("u0").isNull() | (F.col("m.seq") < F.col("u0")))
+        made = made.select("d", F.when(titled, F.col("m.seq")).otherwise(F.col("u0")).alias("made"), F.when(titled, F.col("m")).otherwise(F.col("lent")).alias("x"))
+        made = st.save(f"made{turn}", made.select("d", "made", F.col("x.t").alias("name"), F.col("x.seq").alias("named")))
+        gone = made.groupBy(F.col("name").alias("t")).agg(F.min("named").alias("n")).join(s0, "t").where("n < s0").select("t")
+        gone = st.save(f"gone{turn}", gone)
+        now = tuple(gone.agg(F.count("*"), F.sum(F.xxhash64("t").cast("decimal(38,0)"))).first())
+        if now == seen:
+            return made, s0, gone
+        seen, turn = now, turn + 1
+
+
+def _first_named(queries: DataFrame, events: DataFrame, blocks: int) -> DataFrame:
+    """(seq, paper): for queries (t, seq) the least ``made`` of the events (t, seq, made) of the title up to them.
+
+    Each title's rows are cut into blocks of their order; a block looks at its own rows and at the least of the blocks
+    before it, so a title that a third of all rows have is many tasks.
+    """
+    rows = events.select("t", "seq", "made", F.lit(False).alias("asks")).unionByName(queries.select("t", "seq", F.lit(None).cast("long").alias("made"), F.lit(True).alias("asks")))
+    span = rows.groupBy("t").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count("*").alias("n"))
+    many = F.least(F.lit(blocks), F.ceil(F.col("n") / 4096)).cast("long")
+    rows = rows.join(span, "t").withColumn("block", F.floor((F.col("seq") - F.col("low")) * many / (F.col("high") - F.col("low") + 1)).cast("int")).select("t", "block", "seq", "made", "asks")
+    before = rows.groupBy("t", "block").agg(F.min("made").alias("made"))
+    before = before.select("t", "block", F.min("made").over(Window.partitionBy("t").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # one row for each block
+    own = F.min("made").over(Window.partitionBy("t", "block").orderBy("seq", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("own", own).where("asks").join(before, ["t", "block"]).select("seq", F.least("own", "before").alias("paper"))
+
+
 def ingest(entries: DataFrame) -> DataFrame:
     """(seq, paper, inserted, title, authors, year, abstract, publication_title, doi, keywords): the fold of a search's
     entries into papers, in the order of ``seq``; ``paper`` is the seq of the entry that made the paper.
 
     An entry is the paper of its DOI, else that of its title unless both have DOIs that differ; later entries fill
-    empty fields. The result depends on order only inside groups linked by DOIs or titles, so these groups are found
-    first, and each is read once, in order, by looking up keys; texts don't pass through. Entries with neither key are
-    papers of their own and stay out of the groups.
+    empty fields. When papers arise is found by DOI and title without reading any group in order (``_first_papers``);
+    texts don't pass through. Entries with neither key are papers of their own.
     """
     spark = entries.sparkSession
     st = Stages(spark, "ingest")
     e = entries.withColumn("__d", F.nullif(F.trim(F.coalesce("doi", F.lit(""))), F.lit(""))).withColumn("__t", normalise_title("title"))
-    keys = e.select("seq", F.explode(F.array(F.concat(F.lit("d"), "__d"), F.when(F.col("__t") != "", F.concat(F.lit("t"), "__t")))).alias("k")).where("k is not null")
-    heads = keys.groupBy("k").agg(F.min("seq").alias("head"))
-    edges = keys.join(heads, "k").select(F.col("seq").alias("a"), F.col("head").alias("b"))
-    groups = components(st, edges).select(F.col("node").alias("seq"), F.col("component").alias("grp"))
-    linked = e.select("seq", F.col("__d").alias("d"), F.col("__t").alias("t")).join(groups, "seq")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, shelf = None, Shelf()
-        for b in batches:
-            paper = []
-            for g, seq, d, t in zip(*[b.column(c).to_pylist() for c in ("grp", "seq", "d", "t")]):
-                if g != group:
-                    group, shelf = g, Shelf()
-                k = shelf.find(d, t)
-                if k is None:
-                    k = shelf.add(seq, d, t)
-                elif t and not shelf.papers[k][2]:
-                    shelf.papers[k][2] = t
-                    shelf.name(k, t)
-                paper.append(shelf.papers[k][0])
-            yield pa.RecordBatch.from_arrays([b.column("seq"), pa.array(paper, pa.int64())], ["seq", "paper"])
-
-    got = linked.select("grp", "seq", "d", "t").repartition("grp").sortWithinPartitions("grp", "seq").mapInArrow(fold, "seq long, paper long")
+    keyed = st.save("keyed", e.select("seq", F.col("__d").alias("d"), F.col("__t").alias("t")).where("d is not null or t <> ''"))
+    made, s0, gone = _first_papers(st, keyed)
+    with_doi = keyed.where("d is not null").join(made.select("d", "made"), "d", "left").join(s0, "t", "left")
+    with_doi = with_doi.select("seq", F.when(F.col("seq") >= F.col("made"), F.col("made")).otherwise(F.col("s0")).alias("paper"))
+    events = made.where("name is not null").select(F.col("name").alias("t"), F.col("named").alias("seq"), "made").unionByName(s0.join(gone, "t", "left_anti").select("t", F.col("s0").alias("seq"), F.col("s0").alias("made")))
+    without = _first_named(keyed.where("d is null").select("t", "seq"), events, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    got = with_doi.unionByName(without)
     got = st.save("papers", e.select("seq", "__d").join(got, "seq", "left").select("seq", F.coalesce("paper", "seq").alias("paper"), "__d"))
     names = [c for c in entries.columns if c != "seq"]
     filled = [c for c in ("title", "authors", "abstract", "year") if c in names]

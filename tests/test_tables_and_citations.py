@@ -85,6 +85,44 @@ def test_ingest_equals_the_loop(spark):
     assert counts["inserted"] + counts["deduped"] == 120
 
 
+def test_ingest_chains_of_decisions(spark):
+    """Many small searches at once, in which titles and DOIs decide about each other in long chains."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(150):
+        dois, titles, rare = rng.randint(1, 6), rng.randint(1, 6), rng.random()
+        for _ in range(rng.randint(2, 40)):
+            d = rng.choice([None, f"10.{g}/{rng.randint(1, dois)}"]) if rng.random() > rare * 0.3 else f"10.{g}/{rng.randint(1, dois)}"
+            t = rng.choice([None, "", *[f"g{g} t{k}" for k in range(titles)]]) if rng.random() < 0.9 else None
+            rows.append((len(rows), d, t, rng.choice([None, "x", "y"])))
+    # a chain: each DOI's fate hangs on the title that the one before names
+    for k in range(12):
+        n = len(rows)
+        rows += [(n, None, f"chain {k}", None)] if k == 0 else []
+        n = len(rows)
+        rows += [(n, f"10.9/{k}", f"chain {k}", "a"), (n + 1, None, f"chain {k + 1}", "b"), (n + 2, f"10.9/{k}", f"chain {k + 1}", "c")]
+    got = {r["seq"]: (r["paper"], r["abstract"] or None) for r in identity.ingest(spark.createDataFrame(rows, "seq long, doi string, title string, abstract string")).collect()}
+    assert got == plain_ingest(rows)
+
+
+def test_ingest_of_one_large_group(spark):
+    """One title and one DOI that most entries share, with many DOIs that name it: no task reads the group."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, None, "10.1/hot", f"10.1/{rng.randint(0, 9000)}"]), rng.choice(["the title", "the title", None, f"other {rng.randint(0, 500)}"]), None) for i in range(30000)]
+    df = spark.createDataFrame(rows, "seq long, doi string, title string, abstract string")
+    shelf, want = identity.Shelf(), {}
+    for seq, d, t, _ in rows:
+        t = t or ""
+        k = shelf.find(d, t) if d or t else None
+        if k is None:
+            k = shelf.add(seq, d, t)
+        elif t and not shelf.papers[k][2]:
+            shelf.papers[k][2] = t
+            shelf.name(k, t)
+        want[seq] = shelf.papers[k][0]
+    assert {r["seq"]: r["paper"] for r in identity.ingest(df).select("seq", "paper").collect()} == want
+
+
 def test_lookup_order(spark):
     papers = spark.createDataFrame([(1, "10.1/a", "Same title"), (2, None, "Same  title"), (3, "10.3/c", "Other"), (4, None, "Sp lit")], "id long, doi string, title string")
     refs = spark.createDataFrame([(1, "DOI:10.1/A", "x"), (2, None, "same TITLE"), (3, "10.9/z", "same title"), (4, None, "Split"), (5, None, None), (6, "10.9/z", "other")], "ref_id long, doi string, title string")
