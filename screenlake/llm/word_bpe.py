@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from screenlake.llm.shared import slices
 
-def runs(kind: str) -> str:
-    """Characters of a general category, as ranges of a character class."""
+def runs(kind: str, last: int) -> str:
+    """Characters of a general category up to ``last``, as ranges of a character class."""
     out, first = [], None
-    for c in range(sys.maxunicode + 2):
-        is_in = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+    for c in range(last + 2):
+        is_in = c <= last and unicodedata.category(chr(c))[0] == kind
         if is_in and first is None:
             first = c
         elif not is_in and first is not None:
@@ -42,10 +42,11 @@ def runs(kind: str) -> str:
 
 
 @cache
-def word() -> re.Pattern:
-    """Splits a text that is in its composed lower-case form; white space stays outside. Unicode's white space is
-    written out, since Python's class has four characters more."""
-    letters, numbers = runs("L"), runs("N")
+def word(last: int = sys.maxunicode) -> re.Pattern:
+    """Splits a text that is in its composed lower-case form and has characters up to ``last``; white space stays
+    outside. Unicode's white space is written out, since Python's class has four characters more. Classes of the first
+    plane are looked up, those of higher ones are searched, so texts without the latter have a pattern of their own."""
+    letters, numbers = runs("L", last), runs("N", last)
     white = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     return re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^{white}{letters}{numbers}]+")
 
@@ -124,15 +125,20 @@ class Pairs:
             if made not in self.parts:
                 self.parts[made], self.born[made] = (a, b), rank
         self.apart = Apart(self)
+        self.spines: tuple[dict, dict] = {}, {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
-        """(part, rank of the merge that takes it up), from the symbol up to the token."""
-        out, up = [], float("inf")
-        while True:
-            out.append((token, up))
-            if token not in self.parts:
-                return out[::-1]
-            up, token = self.born[token], self.parts[token][side]
+        """(part, rank of the merge that takes it up), from the symbol up to the token. Kept, one for each token."""
+        kept = self.spines[side].get(token)
+        if kept is None:
+            out, part, up = [], token, float("inf")
+            while True:
+                out.append((part, up))
+                if part not in self.parts:
+                    break
+                up, part = self.born[part], self.parts[part][side]
+            kept = self.spines[side][token] = out[::-1]
+        return kept
 
     def crossing(self, a: int, b: int) -> int | None:
         """Rank of the first merge across the border of the two tokens."""
@@ -252,7 +258,9 @@ class Encoder:
             elif part.isascii():
                 out += ASCII_WORD.findall(part.lower())
             else:  # a capital sigma is lowered alike everywhere
-                out += word().findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                plane = 0xFFFF if len(part.encode("utf-16-le", "surrogatepass")) == 2 * len(part) else sys.maxunicode
+                out += word(plane).findall(part)
         return out
 
     def encode(self, texts: list[str], limit: int) -> tuple[np.ndarray, np.ndarray]:
