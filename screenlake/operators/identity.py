@@ -70,8 +70,9 @@ def prefixes(n: int, least: float) -> tuple[tuple[int, int], ...]:
     return tuple((q, n - q + 1 - t + 1) for q, t in need.items())
 
 
-def _grams(keys: DataFrame, least: float) -> DataFrame:
-    """k, n, q, g, keep: each substring of length q of each k with the number of its occurrence."""
+def gram_lists(keys: DataFrame, least: float) -> DataFrame:
+    """k, grams: each substring (q, g, keep) of k of the lengths q that its pairs use, with the number of its
+    occurrence in front."""
 
     @F.pandas_udf("array<struct<q:int,g:string,keep:int>>")
     def listed(titles: pd.Series) -> pd.Series:
@@ -89,7 +90,7 @@ def _grams(keys: DataFrame, least: float) -> DataFrame:
 
         return titles.map(one)
 
-    return keys.select("k", F.char_length("k").alias("n"), F.explode(listed("k")).alias("x")).select("k", "n", "x.q", "x.g", "x.keep")
+    return keys.select("k", listed("k").alias("grams"))
 
 
 def first_title_match(refs: DataFrame, works: DataFrame, key: str = "ref_id", least: float = 0.85, years: int = 1) -> DataFrame:
@@ -107,11 +108,50 @@ def best_title_match(refs: DataFrame, works: DataFrame, key: str = "ref_id", lea
     return hits.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("rank")).alias("back"), "work_id")).alias("m")).select(key, "m.work_id", "m.similarity")
 
 
+#: Characters that are counted one by one; all others count together, which only raises the bound.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letters(k: Column) -> Column:
+    """How often a title has each of the counted characters, and all others."""
+    each = F.transform(F.array(*[F.lit(c) for c in COUNTED]), lambda c: F.length(k) - F.length(F.replace(k, c, F.lit(""))))
+    return F.concat(each, F.array(F.length(k) - F.aggregate(each, F.lit(0), lambda s, x: s + x)))
+
+
+def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(rk, wk): pairs of different titles (k) that can have a ratio of ``least`` or more; none of those is left out.
+
+    A pair of that ratio shares a number of substrings that its lengths give, so one of the rarest of each side; under
+    the first one they share, as many must be able to follow on both sides. What is left must also have enough
+    characters in common, whatever their order, and as many substrings.
+    """
+    st = Stages(left.sparkSession, "titles")
+    lists = [st.save(n, gram_lists(x, least)) for n, x in (("refs", left), ("works", right))]
+    a, b = (x.select("k", F.char_length("k").alias("n"), F.explode("grams").alias("x")).select("k", "n", "x.q", "x.g", "x.keep") for x in lists)
+    often = a.select("q", "g").union(b.select("q", "g")).groupBy("q", "g").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("k", "q").orderBy("often", "g"))  # at most a title's length
+    rare = lambda x: x.join(often, ["q", "g"]).withColumn("place", place).where("place <= keep").select("k", "n", "q", "g", "place")
+    a, b = (rare(x).withColumnsRenamed({"k": k, "n": n, "place": p}) for x, k, n, p in ((a, "rk", "rn", "rp"), (b, "wk", "wn", "wp")))
+    total = F.col("rn") + F.col("wn")
+    both = F.ceil(F.lit(least) * total / 2 - 1e-9)  # characters in common blocks, at least
+    need = lambda q: both - (q - 1) * (total - 2 * both + 1)  # noqa: E731 - as shared_grams
+    own = F.when(F.col("q") == 0, 0).when(need(3) >= 1, 3).when(need(2) >= 1, 2).otherwise(1)  # the pair's own length of substrings
+    fits = (2 * F.least("rn", "wn") >= F.lit(least) * total - 1e-9) & (F.col("q") == own)
+    met = a.join(b, ["q", "g"]).where(fits).groupBy("rk", "wk", "rn", "wn", "q").agg(F.min(F.struct("rp", "wp")).alias("p"))
+    follow = 1 + F.least(F.col("rn") - F.col("q") + 1 - F.col("p.rp"), F.col("wn") - F.col("q") + 1 - F.col("p.wp"))
+    pairs = met.where((F.col("q") == 0) | (follow >= need(F.col("q")))).select("rk", "wk", "q", need(F.col("q")).alias("need"))
+    for side, x in zip("rw", lists):
+        pairs = pairs.join(x.select(F.col("k").alias(f"{side}k"), letters(F.col("k")).alias(f"{side}a"), F.col("grams").alias(f"{side}g")), f"{side}k")
+    common = F.aggregate(F.zip_with("ra", "wa", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.where(2 * common >= F.lit(least) * (F.char_length("rk") + F.char_length("wk")) - 1e-9)
+    own = lambda c: F.transform(F.filter(c, lambda x: x["q"] == F.col("q")), lambda x: x["g"])
+    return pairs.where((F.col("q") == 0) | (F.size(F.array_intersect(own("rg"), own("wg"))) >= F.col("need"))).select("rk", "wk")
+
+
 def _similar(refs: DataFrame, works: DataFrame, key: str, similarity: Callable, least: float) -> DataFrame:
     """key, year, work_id, work_year, rank, similarity of all pairs whose titles ``k`` have a ratio of ``least`` or more.
 
-    Different titles are compared once. Candidates share one of their rarest substrings, of so many that no pair of that
-    ratio is missed, and differ in length by no more than it allows.
+    Different titles are compared once, and only ``candidates`` reach the comparison.
     """
     r = refs.select(key, "year", F.col("k").alias("rk"))
     w = works.select("work_id", F.col("year").alias("work_year"), "rank", F.col("k").alias("wk"))
@@ -119,12 +159,7 @@ def _similar(refs: DataFrame, works: DataFrame, key: str, similarity: Callable,
     if least <= 0:
         pairs = left.select(F.col("k").alias("rk")).crossJoin(right.select(F.col("k").alias("wk")))
     else:
-        a, b = _grams(left, least), _grams(right, least)
-        often = a.select("q", "g").union(b.select("q", "g")).groupBy("q", "g").agg(F.count("*").alias("often"))
-        place = F.row_number().over(Window.partitionBy("k", "q").orderBy("often", "g"))  # at most a title's length
-        rare = lambda x: x.join(often, ["q", "g"]).withColumn("place", place).where("place <= keep").select("k", "n", "q", "g")
-        a, b = (rare(x).withColumnsRenamed({"k": k, "n": n}) for x, k, n in ((a, "rk", "rn"), (b, "wk", "wn")))
-        pairs = a.join(b, ["q", "g"]).where(2 * F.least("rn", "wn") >= F.lit(least) * (F.col("rn") + F.col("wn")) - 1e-9).select("rk", "wk").distinct()
+        pairs = candidates(left, right, least)
     pairs = pairs.withColumn("similarity", similarity("wk", "rk")).where(F.col("similarity") >= least)
     return r.join(pairs, "rk").join(w, "wk").drop("rk", "wk")
 
