@@ -12,7 +12,7 @@ from screenlake.plans.engine import TOOLS, Engine, schema
 from screenlake.plans.sql import prepared, select_only
 from screenlake.schemas import TABLES
 from screenlake.stages import Stages
-from screenlake.sources import bibtex, tables, works
+from screenlake.sources import bibtex, payloads, tables, works
 from screenlake.store import Store, from_first_layout, migrate
 from screenlake.streaming import evals as stream
 
@@ -156,6 +156,23 @@ def test_short_titles_with_typos(spark):
         assert {x["ref_id"]: (x["work_id"], x["similarity"]) for x in identity.best_title_match(r, w, least=least).collect()} == {i: (m[2], m[0]) for i, m in best.items()}
 
 
+def test_few_pairs_of_titles_are_compared(spark):
+    """No pair of the ratio is missed, and what is compared stays close to what matches as the works grow."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    say = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(4, 9)))
+    works = [say() for _ in range(1600)] + ["", "a", "b"]
+    refs = [t[:3] + t[4:-2] + "x" for t in works[:40]] + ["", "ab"] + [say() for _ in range(20)]
+    frame = lambda rows: spark.createDataFrame([(t,) for t in dict.fromkeys(rows)], "k string")
+    found = {}
+    for n in (400, 1603):
+        got = {(r["rk"], r["wk"]) for r in identity.candidates(frame(refs), frame(works[:n]), 0.85).collect()}
+        want = {(a, b) for a in refs for b in works[:n] if difflib.SequenceMatcher(None, b, a).ratio() >= 0.85}
+        assert want <= got and len(want) >= 30
+        found[n] = len(got) / len(refs)
+    assert found[1603] < 1.5 * found[400] < 2, found
+
+
 def test_titles_within_a_year(spark):
     refs = spark.createDataFrame([(1, "A study of ring oscillators.", 2000), (2, "Nothing alike", None)], "ref_id long, title string, year int")
     w = spark.createDataFrame([(1, "A Study of Ring-Oscillators", 2004, 0), (2, "A study of ring oscillators", 2001, 1), (3, "A study of ring oscillators", None, 2)], "work_id long, title string, year int, rank int")
@@ -431,3 +448,33 @@ def test_upserts(spark):
     papers = spark.createDataFrame([(1, "old", "", 1990, "", "", "10.1", None)], "id long, title string, authors string, year int, abstract string, publication_title string, doi string, keywords string")
     rows = spark.createDataFrame([(1, "x", "", 2000, "", "", "10.1", None, None), (2, "y", "", 2001, "", "", "10.1", None, None), (3, "z", "", 2002, "", "", None, None, None), (4, "z", "", 2002, "", "", None, None, None), (5, "bad", "", None, "", "", None, None, "Missing year")], "seq long, title string, authors string, year int, abstract string, publication_title string, doi string, keywords string, error string")
     assert sorted((r["id"], r["title"]) for r in upserts.upsert_papers(papers, rows).collect()) == [(1, "y"), (2, "z"), (3, "z")]
+
+
+def asked_for(keys):
+    """A client of tests: refuses more than a batch, knows every key but those with an x."""
+    assert len(keys) <= 50
+    return {k: json.dumps({"k": k}) for k in keys if "x" not in k}
+
+
+def test_payloads_as_a_data_source(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    rows = [(f"10.1/{i % 200}", json.dumps({"n": i}), "backward", i) for i in range(500)] + [(None, "{}", "backward", 0)]
+    payloads.keep(spark.createDataFrame(rows, "key string, payload string, direction string, ref_index int"), path, 16)
+    every = payloads.read(spark, path)
+    assert every.rdd.getNumPartitions() == 16 and sorted(r["ref_index"] for r in every.collect()) == list(range(500))
+    some = payloads.read(spark, path, ["10.1/3", "10.1/7", "10.1/none", "it's"])
+    assert some.rdd.getNumPartitions() <= 4  # a bucket for each key at most
+    assert sorted(r["ref_index"] for r in some.collect()) == [3, 7, 203, 207, 403, 407]
+    assert payloads.read(spark, path, ["10.1/3"]).where("ref_index > 100").count() == 2
+    assert payloads.read(spark, path, []).count() == 0
+    reader = payloads.PayloadReader({"path": path})
+    kept = list(reader.pushFilters([payloads.In(("key",), ("10.1/3", "10.1/4")), payloads.EqualTo(("key",), "10.1/4"), payloads.EqualTo(("ref_index",), 4)]))
+    assert reader.keys == {"10.1/4"} and [f.attribute for f in kept] == [("ref_index",)] and len(reader.partitions()) == 1
+    with pytest.raises(Exception):
+        payloads.PayloadReader({})
+    with pytest.raises(ValueError):
+        payloads.PayloadReader({"client": "m:f"}).partitions()
+    live = payloads.PayloadReader({"client": "tests.test_tables_and_citations:asked_for", "kind": "crossref", "tasks": "2"})
+    live.keys = {f"{i}" for i in range(120)} | {"x1", None}
+    parts = live.partitions()
+    assert [len(p.batches) for p in parts] == [2, 1] and sum(len(b) for p in parts for b in p.batches) == 121
