@@ -240,11 +240,16 @@ def is_blank(c: Column | str) -> Column:
     return F.coalesce(_c(c), F.lit("")) == ""
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at the ends; null is empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def llm_result(decision: Column, score: Column, confidence: Column, techniques: Column, rationale: Column) -> dict[str, Column]:
     """Fields of a screening answer; ``error`` where the label is none of the three."""
     from screenlake.schemas import LABELS
 
-    label = F.lower(F.trim(F.coalesce(decision, F.lit(""))))
+    label = F.lower(stripped(decision))
     return {
         "decision": F.when(label.isin(*LABELS), label), "score": score.try_cast("double"), "confidence": confidence.try_cast("double"),
         "matched_keywords": F.coalesce(techniques, F.array().cast("array<string>")), "rationale": F.coalesce(rationale, F.lit("")),
@@ -254,8 +259,8 @@ def llm_result(decision: Column, score: Column, confidence: Column, techniques:
 
 def judge_result(score: Column, verdict: Column, rationale: Column) -> dict[str, Column]:
     """Score held to [0, 1]; an unknown verdict needs review."""
-    v = F.lower(F.trim(F.coalesce(verdict, F.lit(""))))
+    v = F.lower(stripped(verdict))
     return {
         "score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(score.try_cast("double"), F.lit(0.0)))),
-        "verdict": F.when(v.isin("pass", "needs_review", "fail"), v).otherwise("needs_review"), "rationale": F.trim(F.coalesce(rationale, F.lit(""))),
+        "verdict": F.when(v.isin("pass", "needs_review", "fail"), v).otherwise("needs_review"), "rationale": stripped(rationale),
     }

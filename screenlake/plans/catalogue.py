@@ -488,6 +488,27 @@ def evaluated_classes(spark, d):
     return rounded(evaluate_hybrid(spark, d).select("paper_id", "is_relevant", "threshold", "relevance_class"))
 
 
+@query(f"WITH {_KW} SELECT concat('eval-2-', doc_id) AS eval_id, doc_id AS paper_id, 'baseline_keyword' AS method, CASE WHEN {_HAS.format(_PRE, 'that|worthless')} AND {_HAS.format(_PRE, 'with|les')} THEN 'hybrid' WHEN {_HAS.format(_PRE, 'that|worthless')} THEN 'in-scope' WHEN {_HAS.format(_PRE, 'with|les')} THEN 'out-of-scope' WHEN raw / 10.0 >= 0.22 THEN 'in-scope' ELSE 'out-of-scope' END AS decision, "
+       "round(least(raw / 10.0, 1.0), 6)::DOUBLE AS score, 2 AS run, concat('keyword score ', printf('%.4f', least(raw / 10.0, 1.0)::DOUBLE), ' vs threshold 0.22') AS rationale FROM kw")
+def baseline_records(spark, d):
+    """Eval records of a deterministic run over all documents."""
+    papers = _docs(spark, d).selectExpr("doc_id as id", "text as abstract")
+    found = scoring.baseline_records(scoring.evaluate_corpus(papers, method="keyword", threshold=0.22, topic=TOPIC), 2)
+    return rounded(found.select("eval_id", "paper_id", "method", "decision", "score", "run", "rationale"))
+
+
+@query(ctes("papers", "paper_sources", "sources", "edges") + """, top AS (SELECT paper_id, count(*) AS n FROM paper_sources GROUP BY paper_id ORDER BY n DESC, paper_id LIMIT 5)
+SELECT top.paper_id, top.n, p.title, (SELECT string_agg(DISTINCT s.name, ',' ORDER BY s.name) FROM paper_sources l JOIN sources s ON s.id = l.source_id WHERE l.paper_id = top.paper_id) AS sources,
+    (SELECT string_agg(DISTINCT e.parent_paper_id::VARCHAR, ',' ORDER BY e.parent_paper_id::VARCHAR) FROM edges e WHERE e.child_paper_id = top.paper_id) AS parents FROM top LEFT JOIN papers p ON p.id = top.paper_id""")
+def most_sourced_provenance(spark, d):
+    """Where the five papers with most sources come from."""
+    links, papers = table(spark, d, "paper_sources"), table(spark, d, "papers")
+    top = reports.top_sourced(links)
+    found = reports.provenance(papers, table(spark, d, "sources"), links, table(spark, d, "queries"), table(spark, d, "paper_queries"), table(spark, d, "edges"), top.selectExpr("paper_id as id"))
+    parents = F.array_join(F.sort_array(F.transform("parents", lambda x: x["paper_id"].cast("string"))), ",")
+    return top.join(found.withColumnRenamed("id", "paper_id"), "paper_id").select("paper_id", "n", "title", F.array_join("sources", ",").alias("sources"), parents.alias("parents"))
+
+
 # --- quality of classifiers -----------------------------------------------------------------------------------------
 
 _J = ctes("gold", "evals") + ", j AS (SELECT run_id, paper_id, decision, score, consensus_label AS gold FROM evals JOIN gold USING (paper_id) WHERE consensus_label <> 'disagree'), l(x) AS (VALUES ('in-scope'), ('out-of-scope'), ('hybrid'))"
@@ -591,11 +612,15 @@ def junction_ignore(spark, d):
     return upserts.link(table(spark, d, "paper_queries"), new)
 
 
-@query(ctes("papers") + " SELECT CASE WHEN id % 3 <> 0 AND id % 2 = 0 THEN 'new title' ELSE title END AS title, doi FROM papers UNION ALL SELECT 'new title', NULL FROM papers WHERE id % 3 = 0 AND id % 2 = 0")
+_UPSERTED = "SELECT 'new title' AS title, concat('A', id, ' Roe') AS authors, (id % 100)::INT AS year, md5(concat('n', abstract)) AS abstract_md5, concat('P ', id) AS publication_title, doi, concat('k', id) AS keywords"
+
+
+@query(ctes("papers") + f" SELECT title, authors, year, md5(abstract) AS abstract_md5, publication_title, doi, keywords FROM papers WHERE NOT (id % 3 <> 0 AND id % 2 = 0) UNION ALL {_UPSERTED} FROM papers WHERE id % 2 = 0")
 def upsert_papers(spark, d):
+    """Every second paper comes again with other fields: known DOIs are overwritten, rows without are inserted."""
     p = table(spark, d, "papers").select("id", "title", "authors", "year", "abstract", "publication_title", "doi", "keywords")
-    rows = p.where("id % 2 = 0").withColumn("title", F.lit("new title")).withColumnRenamed("id", "seq")
-    return upserts.upsert_papers(p, rows).select("title", "doi")
+    rows = p.where("id % 2 = 0").selectExpr("id as seq", "'new title' as title", "concat('A', id, ' Roe') as authors", "cast(id % 100 as int) as year", "concat('n', abstract) as abstract", "concat('P ', id) as publication_title", "doi", "concat('k', id) as keywords")
+    return upserts.upsert_papers(p, rows).select("title", "authors", "year", F.md5("abstract").alias("abstract_md5"), "publication_title", "doi", "keywords")
 
 
 @query(ctes("sources") + " SELECT name FROM sources UNION SELECT 'fresh one' UNION SELECT 'fresh two'")

@@ -106,28 +106,90 @@ def references_listed(spark, d):
     return crossref.references(seeds, "backward").unionByName(crossref.references(seeds, "forward")).select("parent_doi", "ref_index", "doi", "title", "year", "unstructured")
 
 
-@query("SELECT doc_id AS id, concat('plain ', doc_id, ' of cafe and senor') AS folded FROM documents")
+@query(r"SELECT doc_id AS id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^0-9a-z\s]', '', 'g'), '\s+', ' ', 'g')) AS folded FROM documents")
 def folded_titles(spark, d):
-    return _docs(spark, d).select(F.col("doc_id").alias("id"), X.match_title(F.concat(F.lit(" Pláin, "), "doc_id", F.lit(":  of CAFÉ and “señor”!"))).alias("folded"))
+    """Every text in the form that titles are compared in."""
+    return _docs(spark, d).select(F.col("doc_id").alias("id"), X.match_title("text").alias("folded"))
 
 
-@query("SELECT doc_id AS id, concat('a<b & ', lang, ' é') AS plain FROM documents")
+@query("SELECT doc_id AS id, md5(text) AS plain FROM documents")
 def unescaped(spark, d):
-    return _docs(spark, d).select(F.col("doc_id").alias("id"), X.html_unescape(F.concat(F.lit("a&lt;b &amp; "), "lang", F.lit(" &eacute;"))).alias("plain"))
+    """Every text, written with character references and read back."""
+    escaped = F.col("text")
+    for plain, reference in (("&", "&amp;"), ("<", "&lt;"), ("é", "&eacute;"), ("à", "&#224;"), ("ü", "&#xFC;"), ('"', "&quot;")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(reference))
+    return _docs(spark, d).select(F.col("doc_id").alias("id"), F.md5(X.html_unescape(escaped)).alias("plain"))
 
 
-@query("SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'in-scope' WHEN 1 THEN 'hybrid' END AS decision, CASE WHEN doc_id % 2 = 0 THEN 0.5::DOUBLE END AS score, CASE WHEN doc_id % 3 = 2 THEN 'invalid decision: maybe' END AS error FROM documents")
+@query(ctes("evals") + " SELECT id, CASE WHEN score IS NOT NULL THEN decision END AS decision, score, CASE WHEN score IS NULL THEN concat('invalid decision: ', decision, '?') END AS error, CASE WHEN paper_id % 3 = 0 THEN '' ELSE concat('because ', decision) END AS rationale FROM evals")
 def screening_answers(spark, d):
-    i = F.col("doc_id")
-    c = X.llm_result(F.when(i % 3 == 0, " In-Scope").when(i % 3 == 1, "hybrid").otherwise("Maybe"), F.when(i % 2 == 0, "0.5").otherwise("half"), F.lit("1"), F.lit(None).cast("array<string>"), F.lit("r"))
-    return _docs(spark, d).select(i.alias("id"), c["decision"].alias("decision"), c["score"].alias("score"), c["error"].alias("error"))
+    """Answers made of every eval: labels in capitals, scores as texts; labels that are none where the score is not one."""
+    e = table(spark, d, "evals")
+    raw = F.when(F.col("score").isNotNull(), F.concat(F.lit(" "), F.upper("decision"))).otherwise(F.concat("decision", F.lit("? ")))
+    c = X.llm_result(raw, F.coalesce(F.col("score").cast("string"), F.lit("half")), F.lit("1"), F.lit(None).cast("array<string>"), F.when(F.col("paper_id") % 3 != 0, F.concat(F.lit("because "), "decision")))
+    return e.select("id", *[c[k].alias(k) for k in ("decision", "score", "error", "rationale")])
 
 
-@query("SELECT doc_id AS id, least(1.0, greatest(0.0, (doc_id % 5 - 1) / 2.0))::DOUBLE AS score, CASE WHEN doc_id % 2 = 0 THEN 'pass' ELSE 'needs_review' END AS verdict FROM documents")
+@query(ctes("evals") + " SELECT id, least(1.0, greatest(0.0, coalesce(2 * score - 0.5, 0.0)))::DOUBLE AS score, CASE decision WHEN 'in-scope' THEN 'pass' WHEN 'hybrid' THEN 'fail' ELSE 'needs_review' END AS verdict, concat('r ', decision) AS rationale FROM evals")
 def judge_answers(spark, d):
-    i = F.col("doc_id")
-    c = X.judge_result(((i % 5 - 1) / 2).cast("string"), F.when(i % 2 == 0, " PASS").otherwise("perhaps"), F.lit("r"))
-    return _docs(spark, d).select(i.alias("id"), c["score"].alias("score"), c["verdict"].alias("verdict"))
+    """Judgements made of every eval: scores beyond 0 and 1, verdicts in capitals or none."""
+    e = table(spark, d, "evals")
+    verdict = F.when(F.col("decision") == "in-scope", " PASS").when(F.col("decision") == "hybrid", "Fail ").otherwise("perhaps")
+    c = X.judge_result((2 * F.col("score") - 0.5).cast("string"), verdict, F.concat(F.lit(" r "), "decision", F.lit("\n")))
+    return e.select("id", *[c[k].alias(k) for k in ("score", "verdict", "rationale")])
+
+
+# --- files that are written and read back ---------------------------------------------------------------------------
+
+
+@query(ctes("evals") + " SELECT id AS eval_id, paper_id, concat('T ', decision) AS title, decision, score, run_id::INT AS run, NULL::DOUBLE AS confidence FROM evals")
+def eval_files(spark, d):
+    """Every eval through files of JSON lines."""
+    path = f"{Stages(spark, 'files').root}/evals"
+    tables.write_records(table(spark, d, "evals").selectExpr("cast(id as string) as eval_id", "paper_id", "concat('T ', decision) as title", "decision", "score", "run_id as run"), path)
+    return tables.read_evals(spark, path).select(F.col("eval_id").cast("long").alias("eval_id"), "paper_id", "title", "decision", "score", "run", "confidence")
+
+
+@query(ctes("ground_truth") + " SELECT paper_id, annotator_id, label, CASE WHEN paper_id % 3 > 0 THEN (paper_id % 10) / 10.0::DOUBLE END AS confidence, CASE WHEN paper_id % 2 = 0 THEN 'so, \"it\" is' ELSE '' END AS rationale FROM ground_truth")
+def label_files(spark, d):
+    """Every label through CSV files, with quotes, commas and numbers that are none."""
+    path = f"{Stages(spark, 'files').root}/labels"
+    rows = table(spark, d, "ground_truth").selectExpr("concat(' ', paper_id) as paper_id", "annotator_id", "concat(label, ' ') as label", "case when paper_id % 3 > 0 then cast((paper_id % 10) / 10.0 as string) else 'sure' end as confidence", "case when paper_id % 2 = 0 then 'so, \"it\" is' end as rationale")
+    tables.write_csv(rows, path)
+    return tables.read_ground_truth(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq, concat('T', doc_id) AS title, concat(source, ' Roe') AS authors, CASE WHEN doc_id % 9 <> 4 THEN (1990 + doc_id % 30)::INT END AS year, concat('J ', lang) AS publication_title, CASE WHEN doc_id % 9 = 4 THEN 'Field ''year'' is not an integer: ?' END AS error FROM documents")
+def csv_files(spark, d):
+    """Every document as a row of CSV files: rows are numbered in the order of files and lines, however they are read."""
+    path = f"{Stages(spark, 'files').root}/rows"
+    rows = _docs(spark, d).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
+    rows = rows.select(F.lit("article").alias("type"), F.lit("article").alias("entry_type"), F.concat(F.lit("Roe, "), "source").alias("author"), F.concat(F.lit("T"), "doc_id").alias("title"), F.when(F.col("doc_id") % 9 == 4, "?").otherwise((1990 + F.col("doc_id") % 30).cast("string")).alias("year"),
+                       F.concat(F.lit("J "), "lang").alias("journal"), F.lit("B").alias("booktitle"), F.lit("line one\nline, two").alias("abstract"), F.concat(F.lit("10.1/"), "doc_id").alias("doi"), F.lit("k").alias("keywords"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return tables.read_csv(spark, path, "acm").select("seq", "title", "authors", "year", "publication_title", "error")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id % 3, doc_id % 2, doc_id) - 1 AS seq, concat('query', doc_id % 3) AS query, CASE WHEN doc_id % 2 = 0 THEN 'ACM' ELSE 'IEEE' END AS platform, concat('k', doc_id) AS cite_key, concat('T ', lang, ' ', doc_id) AS title, (2000 + doc_id % 20)::INT AS year FROM documents")
+def folder_files(spark, d):
+    """Every document as an entry of BibTeX files in folders of queries."""
+    root = f"{Stages(spark, 'files').root}/folders"
+    entry = F.concat(F.lit("@article{k"), "doc_id", F.lit(",\n  title = {T "), "lang", F.lit(" "), "doc_id", F.lit("},\n  author = {Roe, A},\n  journal = {J},\n  year = {"), (2000 + F.col("doc_id") % 20).cast("string"), F.lit("}\n}\n"))
+    rows = _docs(spark, d).select((F.col("doc_id") % 3).alias("q"), (F.col("doc_id") % 2).alias("p"), "doc_id", entry.alias("value"))
+    whole = rows.groupBy("q", "p").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "value"))), lambda x: x["value"]), "\n").alias("value"))  # a file each
+    spark.createDataFrame([], "value string").coalesce(1).write.text(f"{root}/other")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for q in range(3):
+        for p, name in enumerate(("acm", "ieee")):
+            path = f"{root}/query{q}/{name}"
+            whole.where((F.col("q") == q) & (F.col("p") == p)).select("value").coalesce(1).write.text(path)
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            fs = folder.getFileSystem(conf)
+            for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")):
+                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/query{q}/{name}.bib"))
+            fs.delete(folder, True)
+    found = bibtex.read_query_folders(spark, root)
+    return found.join(bibtex.papers(found).select("seq", F.col("title").alias("of_paper"), F.col("year").alias("of_year")), "seq").select("seq", "query", "platform", "cite_key", F.col("of_paper").alias("title"), F.col("of_year").alias("year"))
 
 
 @query(ctes("papers") + " SELECT id AS paper_id, coalesce(doi, '') AS doi, title, '' AS annotator_id, '' AS label, '' AS confidence, '' AS rationale FROM papers")
@@ -184,12 +246,30 @@ def embed_missing(spark, d):
     return out.select("paper_id", F.col("embedding")[0].cast("double").alias("n"))
 
 
-@query(ctes("papers") + " SELECT doi, title FROM papers WHERE doi IS NOT NULL UNION ALL SELECT '10.9/new', 'New'")
+@query(ctes("papers") + " SELECT doi, title, abstract = '' AS bare, authors FROM papers UNION ALL SELECT concat('10.9/', id), 'New', false, authors FROM papers WHERE id % 2 = 0")
 def insert_unknown(spark, d):
+    """Every paper again, under another title: known DOIs change nothing; half of the papers under a DOI that is new."""
     p = table(spark, d, "papers").select("id", "title", "authors", "year", "abstract", "publication_title", "doi", "keywords")
-    rows = p.where("doi is not null").selectExpr("'Other' as title", "authors", "year", "abstract", "publication_title", "doi", "keywords").limit(1)
-    new = rows.withColumns({"doi": F.lit(" 10.9/new "), "title": F.lit("New")})
-    return upserts.insert_paper(upserts.insert_paper(p, rows), new).where("doi is not null").select("doi", "title")
+    again = p.where("doi is not null").withColumn("title", F.lit("Other")).withColumnRenamed("id", "seq")
+    new = p.where("id % 2 = 0").withColumns({"doi": F.concat(F.lit(" 10.9/"), "id", F.lit(" ")), "title": F.lit("New"), "abstract": F.lit("a")}).withColumnRenamed("id", "seq")
+    return upserts.insert_paper(upserts.insert_paper(p, again), new).select("doi", "title", (F.col("abstract") == "").alias("bare"), "authors")
+
+
+@query(ctes("papers") + " SELECT id, doi, title, year FROM papers WHERE doi IS NOT NULL AND id % 4 <> 0 UNION ALL SELECT (SELECT max(id) FROM papers WHERE doi IS NOT NULL) + row_number() OVER (ORDER BY doi), doi, title, year + 1 FROM papers WHERE doi IS NOT NULL AND id % 4 = 0")
+def replaced_with_new_ids(spark, d):
+    """Every fourth paper replaced, of two rows for a key the later; replaced rows get the next free ids."""
+    p = table(spark, d, "papers").where("doi is not null").select("id", "doi", "title", "year")
+    fourth = p.where("id % 4 = 0")
+    new = fourth.withColumns({"year": F.lit(7), "n": F.lit(1)}).unionByName(fourth.withColumns({"year": F.col("year") + 1, "n": F.lit(2)})).drop("id")
+    return upserts.upsert(p, new, ["doi"], "n", keep_id=False).select("id", "doi", "title", "year")
+
+
+@query(ctes("papers") + " SELECT id, doi, year FROM papers WHERE doi IS NOT NULL AND id % 4 <> 0 UNION ALL SELECT id, doi, year + 1 FROM papers WHERE doi IS NOT NULL AND id % 4 = 0 UNION ALL SELECT (SELECT max(id) FROM papers WHERE doi IS NOT NULL) + row_number() OVER (ORDER BY doi), concat(doi, '/new'), year FROM papers WHERE doi IS NOT NULL AND id % 5 = 0")
+def replaced_with_ids(spark, d):
+    """Every fourth paper replaced under its id, every fifth added under a new key."""
+    p = table(spark, d, "papers").where("doi is not null").select("id", "doi", "year")
+    new = p.where("id % 4 = 0").selectExpr("doi", "year + 1 as year", "1 as n").union(p.where("id % 5 = 0").selectExpr("concat(doi, '/new')", "year", "1"))
+    return upserts.upsert(p, new, ["doi"], "n").select("id", "doi", "year")
 
 
 @query(ctes("papers") + " SELECT year, count(*) AS n_papers FROM papers WHERE year > 0 GROUP BY year")
@@ -222,6 +302,36 @@ def harvest_counts(spark, d):
     return citations.harvest(papers, papers, fetched, lists, edges)[2]
 
 
+def _harvested(spark, d):
+    table(spark, d, "reference_lists").createOrReplaceTempView("reference_lists")
+    fetched = spark.sql(_FETCHED).withColumn("ref_index", F.col("id").cast("int")).drop("id").withColumn("unstructured", F.concat(F.lit("u"), "ref_index"))
+    papers = table(spark, d, "papers")
+    lists, edges = spark.createDataFrame([], TABLES["reference_lists"].schema), spark.createDataFrame([], TABLES["snowball_edges"].schema)
+    return citations.harvest(papers, papers, fetched, lists, edges)
+
+
+_SEEDED = ctes("papers", "reference_lists") + f", {_KEYS}, known AS (SELECT * FROM a UNION ALL SELECT * FROM b), h AS (SELECT r.*, known.paper_id AS found FROM reference_lists r JOIN papers p ON p.id = r.parent_paper_id AND p.doi IS NOT NULL LEFT JOIN known ON known.ref_id = r.id)"
+
+
+@query(_SEEDED + " SELECT parent_paper_id, 'backward' AS direction, id::INT AS ref_index, " + _DOI.format("ref_doi") + " AS ref_doi, ref_title, ref_year, concat('u', id) AS ref_unstructured, found AS resolved_paper_id, 'crossref' AS source, CASE WHEN found IS NULL THEN 'pending' ELSE 'resolved' END AS status FROM h")
+def harvested_lists(spark, d):
+    """The reference lists that a harvest of all papers leaves."""
+    return _harvested(spark, d)[0].select("parent_paper_id", "direction", "ref_index", "ref_doi", "ref_title", "ref_year", "ref_unstructured", "resolved_paper_id", "source", "status")
+
+
+@query(_SEEDED + " SELECT DISTINCT found AS child_paper_id, parent_paper_id, 1::INT AS depth FROM h WHERE found IS NOT NULL AND found <> parent_paper_id")
+def harvested_edges(spark, d):
+    """The edges that a harvest of all papers leaves."""
+    return _harvested(spark, d)[1].select("child_paper_id", "parent_paper_id", "depth")
+
+
+@query(ctes("reference_lists") + " SELECT id, CASE WHEN status = 'fetch_error' OR id % 5 = 0 AND status <> 'resolved' THEN 'pending' ELSE status END AS status FROM reference_lists")
+def retried(spark, d):
+    """Failed references, by DOI or by title, set back for another round."""
+    lists = table(spark, d, "reference_lists").withColumn("status", F.expr("case when id % 5 = 0 and status <> 'resolved' then 'unresolved_title_failed' else status end"))
+    return citations.retry(lists).select("id", "status")
+
+
 def _expanded(spark, d):
     edges = table(spark, d, "edges").selectExpr("cast(child_paper_id as bigint) as id", "child_paper_id", "parent_paper_id", "depth")
     return citations.expand(table(spark, d, "reference_lists"), table(spark, d, "papers"), edges, table(spark, d, "works"), table(spark, d, "candidates"))

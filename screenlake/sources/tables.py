@@ -63,12 +63,13 @@ def map_rows(rows: DataFrame, layout: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    """Rows of a CSV file in a layout; split good from bad by ``error``. A missing column reads as nulls."""
+    """Rows of CSV files in a layout; split good from bad by ``error``. A missing column reads as nulls. ``seq`` numbers
+    rows by file, place of the block in the file, and place in the block, whatever files a task reads together."""
     from screenlake.stages import numbered
 
     rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, encoding="UTF-8")
-    rows = rows.withColumn("__file", F.input_file_name()).withColumn("__at", F.monotonically_increasing_id())
-    return map_rows(numbered(rows, ["__at"], "seq").drop("__file", "__at"), layout)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))  # rises inside a block
+    return map_rows(numbered(rows, ["__file", "__block", "__at"], "seq").drop("__file", "__block", "__at"), layout)
 
 
 def read_evals(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -102,8 +103,8 @@ def unresolved_sheet(lists: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Sorted output stays in order: parts are numbered by range."""
-    df.write.mode("overwrite").option("emptyValue", "").csv(path, header=True)
+    """Sorted output stays in order: parts are numbered by range. Quotes inside of quotes are doubled."""
+    df.write.mode("overwrite").option("emptyValue", "").option("escape", '"').csv(path, header=True)
 
 
 def analysis_json(parts: dict[str, DataFrame], most: int = 10000) -> str:
