@@ -22,17 +22,22 @@ def term_counts(docs: DataFrame, asked: list[str], cleaned: str, brief: str | No
     return df.withColumn("tf", F.array(*[occurrences(F.col("__a"), f" {x} ") for x in asked]).cast("array<int>")).drop("__a")
 
 
-def ranked(counted: DataFrame, terms: Mapping[str, int], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``counted`` (dl, tf of the sorted terms) plus bm25."""
+def corpus_row(counted: DataFrame, asked: list[str]) -> DataFrame:
+    """One row of what the ranking function needs of a corpus: docs, avgdl, and df of the sorted terms."""
+    return counted.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(asked))]).alias("df"))
+
+
+def ranked(counted: DataFrame, terms: Mapping[str, int], k1: float = 1.5, b: float = 0.75, corpus: DataFrame | None = None) -> DataFrame:
+    """``counted`` (dl, tf of the sorted terms) plus bm25, by the statistics of a ``corpus`` row or of its own."""
     asked = sorted(terms)
-    stats = counted.agg(F.count("*").alias("__docs"), F.avg("dl").alias("__avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"__df{i}") for i in range(len(asked))])
-    one = counted.crossJoin(F.broadcast(stats))  # one row
+    corpus = (corpus_row(counted, asked) if corpus is None else corpus).select(*[F.col(c).alias(f"__{c}") for c in ("docs", "avgdl", "df")])
+    one = counted.crossJoin(F.broadcast(corpus))  # one row
     score: Column = F.lit(0.0)
     for i, x in enumerate(asked):
-        tf, df = F.col("tf")[i], F.col(f"__df{i}")
+        tf, df = F.col("tf")[i], F.col("__df")[i]
         idf = F.ln((F.col("__docs") - df + 0.5) / (df + 0.5) + 1)
         score = score + F.when(tf > 0, F.lit(terms[x]) * idf * tf * (k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("__avgdl")))).otherwise(0.0)
-    return one.withColumn("bm25", score).drop(*[c for c in stats.columns])
+    return one.withColumn("bm25", score).drop(*corpus.columns)
 
 
 def bm25(docs: DataFrame, terms: Mapping[str, int], id_col: str = "id", text_col: str = "abstract", k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -52,9 +57,9 @@ def corpus_statistics(docs: DataFrame, id_col: str = "id", text_col: str = "abst
     return df, t.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("avgdl"))
 
 
-def normalised(scores: DataFrame, col: str) -> DataFrame:
-    """``col`` as a share of its maximum; all 0 if that is not positive."""
-    top = scores.agg(F.max(col).alias("__top"))
+def normalised(scores: DataFrame, col: str, top: DataFrame | None = None) -> DataFrame:
+    """``col`` as a share of its maximum, or of the column ``top`` of one row; all 0 if that is not positive."""
+    top = (scores.agg(F.max(col).alias("top")) if top is None else top).select(F.col("top").alias("__top"))
     share = F.when(F.col("__top") > 0, F.col(col) / F.col("__top")).otherwise(0.0)
     return scores.crossJoin(F.broadcast(top)).withColumn(col, share).drop("__top")  # one row
 
@@ -68,26 +73,44 @@ def cosine(papers: DataFrame, embeddings: DataFrame, topic: DataFrame) -> DataFr
     return joined.select("id", F.coalesce(F.when(length > 0, dot(e, q) / length), F.lit(0.0)).alias("score"))
 
 
-def components(papers: DataFrame, method: str = "hybrid", keyword_weight: float = 0.4, bm25_weight: float = 0.6, topic: Topic = STUDY, embeddings: DataFrame | None = None, topic_vector: DataFrame | None = None) -> DataFrame:
+def measured(papers: DataFrame, topic: Topic) -> DataFrame:
+    """id, what keywords and signals find, dl and tf of each paper."""
+    base = papers.select("id", F.coalesce("abstract", F.lit("")).alias("abstract")).withColumn("__c", preprocess("abstract")).withColumn("__b", condensed(F.col("__c"), topic.vocabulary))
+    base = keyword_scores(base, "abstract", topic, cleaned="__b").withColumn("signals", signals(F.col("__b"), topic))
+    return term_counts(base, sorted(topic.query_terms()), "__c", "__b").drop("abstract", "__c", "__b")
+
+
+def statistics(papers: DataFrame, topic: Topic = STUDY) -> DataFrame:
+    """One row, to be kept beside a corpus: docs, avgdl, df of the topic's terms, and top, the best rank score. With it a
+    paper is scored without reading the others."""
+    st, terms = Stages(papers.sparkSession, "statistics"), topic.query_terms()
+    counted = papers.select("id", preprocess(F.coalesce("abstract", F.lit(""))).alias("__c"))
+    counted = st.save("counted", term_counts(counted, sorted(terms), "__c").select("dl", "tf"))
+    corpus = st.save("corpus", corpus_row(counted, sorted(terms)))
+    return st.finish(corpus.crossJoin(F.broadcast(ranked(counted, terms, corpus=corpus).agg(F.max("bm25").alias("top")))))  # one row each
+
+
+def components(papers: DataFrame, method: str = "hybrid", keyword_weight: float = 0.4, bm25_weight: float = 0.6, topic: Topic = STUDY, embeddings: DataFrame | None = None, topic_vector: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """id, keyword_score, keyword_raw, keyword_matched, signals, bm25_score, score of every paper.
 
     The texts are read, preprocessed and condensed to the topic's words once: what keywords, signals and the ranking function need of them is written
-    as one small row for each paper, from which thresholds and results are made.
+    as one small row for each paper, from which thresholds and results are made. With a row of ``statistics`` as
+    ``corpus`` the papers are scored against that corpus, in one pass over them alone.
     """
     if method not in ("keyword", "bm25", "hybrid", "embedding"):
         raise ValueError(f"unknown method {method!r}")
     if method == "embedding" and (embeddings is None or topic_vector is None):
         raise ValueError("method 'embedding' needs embeddings and a topic vector")
     terms = topic.query_terms()
-    base = papers.select("id", F.coalesce("abstract", F.lit("")).alias("abstract")).withColumn("__c", preprocess("abstract")).withColumn("__b", condensed(F.col("__c"), topic.vocabulary))
-    base = term_counts(keyword_scores(base, "abstract", topic, cleaned="__b").withColumn("signals", signals(F.col("__b"), topic)), sorted(terms), "__c", "__b")
-    base = Stages(papers.sparkSession, "scores").save("measured", base.drop("abstract", "__c", "__b"))
+    base = measured(papers, topic)
+    if corpus is None:
+        base = Stages(papers.sparkSession, "scores").save("measured", base)
     if method == "embedding":
         return base.drop("dl", "tf").withColumn("bm25_score", F.lit(0.0)).join(cosine(papers, embeddings, topic_vector), "id")
     if method == "keyword":
         base = base.withColumn("bm25_score", F.lit(0.0))
     else:
-        base = normalised(ranked(base, terms), "bm25").withColumnRenamed("bm25", "bm25_score")
+        base = normalised(ranked(base, terms, corpus=corpus), "bm25", corpus).withColumnRenamed("bm25", "bm25_score")
     both = F.lit(keyword_weight) * F.col("keyword_score") + F.lit(bm25_weight) * F.col("bm25_score")
     return base.drop("dl", "tf").withColumn("score", {"keyword": F.col("keyword_score"), "bm25": F.col("bm25_score")}.get(method, both))
 
@@ -152,11 +175,15 @@ def evaluate_corpus(papers: DataFrame, consensus: DataFrame | None = None, metho
         F.lit(method).alias("method"), F.lit(threshold).alias("threshold"), "keyword_score", "bm25_score", "keyword_raw", "keyword_matched")
 
 
-def evaluate_paper(papers: DataFrame, paper_id: int, method: str = "hybrid", threshold: float = FALLBACK, **options) -> DataFrame:
-    """One paper against statistics of the whole corpus; an unknown id is an error."""
-    if not papers.where(F.col("id") == paper_id).limit(1).count():
+def evaluate_paper(papers: DataFrame, paper_id: int, method: str = "hybrid", threshold: float = FALLBACK, corpus: DataFrame | None = None, topic: Topic = STUDY, **options) -> DataFrame:
+    """One paper against statistics of the whole corpus; an unknown id is an error. With a kept row of ``statistics``
+    only the paper itself is read."""
+    one = papers.where(F.col("id") == paper_id)
+    if not one.limit(1).count():
         raise ValueError(f"Paper {paper_id} not found")
-    return evaluate_corpus(papers, None, method, threshold, **options).where(F.col("paper_id") == paper_id)
+    if corpus is None and method in ("bm25", "hybrid"):
+        corpus = statistics(papers, topic)
+    return evaluate_corpus(one, None, method, threshold, topic=topic, corpus=corpus, **options)
 
 
 def baseline_records(results: DataFrame, run: int = 1) -> DataFrame:

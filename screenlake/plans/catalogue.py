@@ -413,6 +413,13 @@ def study_evaluated(spark, d):
     return rounded(scoring.evaluate_corpus(papers, threshold=0.29).select("paper_id", "score", "is_relevant", "relevance_class"))
 
 
+@query(f"WITH {_study_keywords()}, {_STUDY_BM25[len(_STUDY_DOCS):]} SELECT doc_id AS paper_id, round(0.4 * least(raw / {STUDY.most}, 1.0) + 0.6 * bm25 / (SELECT max(bm25) FROM b), 6) AS score, round(bm25 / (SELECT max(bm25) FROM b), 6) AS bm25_score FROM kw JOIN b USING (doc_id) WHERE doc_id % 2 = 0")
+def study_by_statistics(spark, d):
+    """Every second paper scored by the kept statistics of the whole corpus, without reading the others."""
+    papers = _study(spark, d).selectExpr("doc_id as id", "text as abstract")
+    return rounded(scoring.evaluate_corpus(papers.where("id % 2 = 0"), threshold=0.29, corpus=scoring.statistics(papers)).select("paper_id", "score", "bm25_score"))
+
+
 @query("SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings")
 def cosine_topic(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")

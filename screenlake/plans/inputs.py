@@ -59,8 +59,9 @@ def _kept(spark, d, name: str, payload, **more) -> works.WorkSource:
     return works.WorkSource(name, payloads.read(spark, path))
 
 
-_ID, _YEAR = F.concat(F.lit("10.1/"), "doc_id"), 1990 + F.col("doc_id") % 30
-_none = lambda kind="string": F.lit(None).cast(kind)
+_id = lambda: F.concat(F.lit("10.1/"), "doc_id")
+_year = lambda: 1990 + F.col("doc_id") % 30
+_none = lambda: F.lit(None).cast("string")
 
 
 @query("SELECT concat('https://doi.org/10.1/', doc_id) AS doi, concat('T ', lang) AS title, concat(source, '; Org') AS authors, (1990 + doc_id % 30)::INT AS year, '' AS unstructured, 'V' AS publication_title, CASE WHEN doc_id % 4 > 0 THEN concat('http://p/', doc_id) END AS pdf_url, concat(lang, ' of ', source, ' of') AS abstract, 'openalex' AS source "
@@ -71,17 +72,17 @@ def works_by_doi(spark, d):
     location = F.struct(F.struct(F.lit("V").alias("display_name")).alias("source"))
     words = F.create_map(F.lit("of"), F.array(F.lit(3), F.lit(1)), F.col("lang"), F.array(F.lit(0)), F.col("source"), F.array(F.lit(2)))
     pdf = F.struct(F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("http://p/"), "doc_id")).alias("pdf_url"))
-    payload = F.struct(F.concat(F.lit("https://doi.org/"), _ID).alias("doi"), F.concat(F.lit("T "), "lang").alias("title"), authors.alias("authorships"), _YEAR.cast("int").alias("publication_year"), location.alias("primary_location"), pdf.alias("best_oa_location"), words.alias("abstract_inverted_index"))
-    asked = _docs(spark, d).where("doc_id % 3 = 0").select(_ID.alias("doi"))
+    payload = F.struct(F.concat(F.lit("https://doi.org/"), _id()).alias("doi"), F.concat(F.lit("T "), "lang").alias("title"), authors.alias("authorships"), _year().cast("int").alias("publication_year"), location.alias("primary_location"), pdf.alias("best_oa_location"), words.alias("abstract_inverted_index"))
+    asked = _docs(spark, d).where("doc_id % 3 = 0").select(_id().alias("doi"))
     return _kept(spark, d, "openalex", payload).by_dois(asked)
 
 
 @query("SELECT concat('10.1/', doc_id) AS doi, concat('T ', lang) AS title, concat('N ', source, '; Other') AS authors, CASE WHEN doc_id % 5 > 0 THEN (1990 + doc_id % 30)::INT END AS year, '' AS unstructured, CASE WHEN doc_id % 2 = 0 THEN 'V' ELSE '' END AS publication_title, NULL::VARCHAR AS pdf_url, CASE WHEN doc_id % 3 > 0 THEN concat('A ', lang) ELSE '' END AS abstract, 'semantic_scholar' AS source FROM documents")
 def works_of_graph(spark, d):
     authors = F.array(F.struct(F.concat(F.lit("N "), "source").alias("name")), F.struct(F.lit("Other").alias("name")))
-    payload = F.struct(F.struct(_ID.alias("DOI")).alias("externalIds"), F.concat(F.lit("T "), "lang").alias("title"), authors.alias("authors"), F.when(F.col("doc_id") % 5 > 0, _YEAR.cast("int")).alias("year"),
+    payload = F.struct(F.struct(_id().alias("DOI")).alias("externalIds"), F.concat(F.lit("T "), "lang").alias("title"), authors.alias("authors"), F.when(F.col("doc_id") % 5 > 0, _year().cast("int")).alias("year"),
                        F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("A "), "lang")).alias("abstract"), F.struct(F.when(F.col("doc_id") % 2 == 0, "V").alias("name")).alias("publicationVenue"))
-    return _kept(spark, d, "semantic_scholar", payload).by_dois(_docs(spark, d).select(_ID.alias("doi")))
+    return _kept(spark, d, "semantic_scholar", payload).by_dois(_docs(spark, d).select(_id().alias("doi")))
 
 
 @query("SELECT concat('10.1/', doc_id) AS doi, concat('T ', lang) AS title, concat('Ann ', source, '; Org') AS authors, CASE WHEN doc_id % 5 > 0 THEN (1990 + doc_id % 30)::INT END AS year, '' AS unstructured, CASE WHEN doc_id % 2 = 1 THEN 'V' ELSE '' END AS publication_title, NULL::VARCHAR AS pdf_url, concat('A ', lang) AS abstract, 'zotero' AS source FROM documents "
@@ -89,9 +90,9 @@ def works_of_graph(spark, d):
 def works_of_library(spark, d):
     """Items of a library, asked for in batches and one by one (then without a venue)."""
     creators = F.array(F.struct(F.lit(" Ann").alias("given"), F.col("source").alias("family")), F.struct(_none().alias("given"), F.lit("Org ").alias("family")), F.struct(F.lit("").alias("given"), F.lit(" ").alias("family")))
-    payload = F.struct(_ID.alias("DOI"), F.concat(F.lit("T "), "lang").alias("title"), creators.alias("creators"), F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("5 May "), _YEAR, F.lit(", late"))).otherwise("no date").alias("date"),
+    payload = F.struct(_id().alias("DOI"), F.concat(F.lit("T "), "lang").alias("title"), creators.alias("creators"), F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("5 May "), _year(), F.lit(", late"))).otherwise("no date").alias("date"),
                        F.concat(F.lit("A "), "lang").alias("abstractNote"), F.when(F.col("doc_id") % 2 == 1, "V").alias("publicationTitle"))
-    library, asked = _kept(spark, d, "zotero", payload), _docs(spark, d).select(_ID.alias("doi"))
+    library, asked = _kept(spark, d, "zotero", payload), _docs(spark, d).select(_id().alias("doi"))
     return library.by_dois(asked).unionByName(library.by_dois(asked, single=True).withColumn("source", F.lit("zotero one by one")))
 
 
@@ -100,9 +101,9 @@ def works_of_library(spark, d):
 def references_listed(spark, d):
     """The references of every document as seeds: only rows of the asked direction, and only pairs that a source offers."""
     title = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("R "), "lang"))
-    payload = F.struct(F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("10.2/"), "doc_id")).alias("DOI"), title.alias("article-title"), F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("S "), "lang")).alias("title"), F.when(F.col("doc_id") % 5 > 0, _YEAR.cast("string")).otherwise("20x").alias("year"), F.concat(F.lit(" as printed "), "source").alias("unstructured"))
+    payload = F.struct(F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("10.2/"), "doc_id")).alias("DOI"), title.alias("article-title"), F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("S "), "lang")).alias("title"), F.when(F.col("doc_id") % 5 > 0, _year().cast("string")).otherwise("20x").alias("year"), F.concat(F.lit(" as printed "), "source").alias("unstructured"))
     crossref = _kept(spark, d, "crossref", payload, direction=F.when(F.col("doc_id") % 2 == 0, "backward").otherwise("forward"), ref_index=(F.col("doc_id") % 7).cast("int"))
-    seeds = _docs(spark, d).select(_ID.alias("doi"))
+    seeds = _docs(spark, d).select(_id().alias("doi"))
     return crossref.references(seeds, "backward").unionByName(crossref.references(seeds, "forward")).select("parent_doi", "ref_index", "doi", "title", "year", "unstructured")
 
 

@@ -1,5 +1,9 @@
 """Every query that has SQL against DuckDB on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -38,3 +42,9 @@ def test_entry_and_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     for name in ("bootstrap_intervals", "title_similarity", "ingest_fold"):
         assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_entry_imports_without_a_session():
+    """No column is made before there is a session."""
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and int(said.stdout.split()[-1]) > 100, said.stderr
