@@ -364,7 +364,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one kept id stay once for each different text, so no text of a repeated id is lost; of rows with equal id
     and text the one of the least hash over all columns stays. Rows with a null id, and null, empty and wordless texts,
-    have no copies: all of them stay, but for rows repeated under one id. An empty table gives an empty one.
+    have no copies: all of them stay, but for rows repeated under one id. Texts are compared whole, however long. An empty
+    table gives an empty one.
     """
     ids = dedup(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows"))
     once = docs.join(ids.where("__rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)

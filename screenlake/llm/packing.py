@@ -204,5 +204,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of the pieces of every document, by doc_id; the other columns of ``docs`` end here. Null and empty
-    texts get one row without a bin, repeated rows and ties places of their own; an empty table gives an empty one."""
+    texts get one row without a bin, repeated rows and ties places of their own; a text longer than the largest bin is
+    cut into full bins and a rest; an empty table gives an empty one."""
     return pack(tokens(docs.select("doc_id", "text")))

@@ -283,8 +283,8 @@ def decode_block(ids: np.ndarray, count: np.ndarray, v: Vocabulary) -> list[byte
 def encode(docs: DataFrame, o: Options = Options(), id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """``docs`` without the text, plus ids, n_tokens and lossless (whether decoding gives back the text).
 
-    Null texts have null ids and 0 tokens; empty ones no ids. Null keys count as 0; equal rows get equal ids. An
-    empty table gives an empty one; input columns named like an output are replaced. One pass, no shuffle.
+    Null texts have null ids and 0 tokens; empty ones no ids. A null key draws as an empty one does; equal rows get equal
+    ids, and texts are encoded whole, however long. An empty table gives an empty one; input columns named like an output are replaced. One pass, no shuffle.
     """
     v = docs.sparkSession.sparkContext.broadcast(vars(load(o.model)))  # bounded by the vocabulary
     made = ["ids", "n_tokens", "lossless"]

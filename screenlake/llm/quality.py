@@ -211,7 +211,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that base rules and forest keep, with the columns of ``docs``. Null and empty texts fail the base
-    rules and go; repeated rows stay or go together; an empty table gives an empty one."""
+    rules and go; repeated rows stay or go together; texts are judged whole, however long; a row whose anomaly
+    is the limit itself goes; an empty table gives an empty one."""
     forest = train(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     apart, back = aside(docs, [x.split()[0] for x in SCHEMA.split(", ")])
     return judge(apart, forest).where("kept").select(*back)

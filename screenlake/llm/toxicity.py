@@ -219,7 +219,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic, with the columns of ``docs``. Null and empty texts and repeated rows stay."""
+    """Documents that are not toxic, with the columns of ``docs``. Null and empty texts stay; equal texts stay or go
+    together, whatever their ids; texts are judged whole, however long; a severity at the limit itself is not toxic; an
+    empty table gives an empty one."""
     model = train(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     apart, back = aside(docs, [x.split()[0] for x in SCHEMA.split(", ")])
     return judge(apart, model).where("not toxic").select(*back)
