@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -136,6 +137,32 @@ def ranked(sources: list[str]) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, sources)), F.col("source")).cast("int"), F.lit(0)) if sources else F.lit(None).cast("int")
 
 
+def ask_in_turn(asked: DataFrame, sources: Mapping[str, Callable[[DataFrame], DataFrame]], order: Sequence[str], batch: Mapping[str, int], good: Column | None = None, throttled: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(works, calls) of the DOIs ``asked`` for (doi), each of which goes to a source only if those before had nothing.
+
+    ``sources``: name -> function from (doi) to works; ``good``: what a work must have to count (an abstract, say).
+    works: k (the DOI as it is compared), source, and the works' columns, one for each DOI that was found; calls: turn,
+    source, asked, calls (in batches of the source's size), found. Sources that are throttled or unknown are left out.
+    What a source leaves is written before the next is asked, so no source is asked twice; null DOIs are not asked for.
+    """
+    st = Stages(asked.sparkSession, "in-turn")
+    left = st.save("asked", asked.select(normalise_doi("doi").alias("k")).where("k is not null").distinct())
+    works, log = None, []
+    for turn, name in enumerate(n for n in order if n in sources and n not in throttled):
+        n = left.count()
+        answers = sources[name](left.select(F.col("k").alias("doi")))
+        answers = answers.where(F.lit(True) if good is None else good).withColumns({"k": normalise_doi("doi"), "source": F.lit(name)})
+        columns = ["k", "source", *[c for c in answers.columns if c not in ("k", "source")]]
+        whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+        one = answers.join(left, "k", "left_semi").groupBy("k").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("w")).select("w.*")
+        found = st.save(f"found{turn}", one)
+        left = st.save(f"left{turn}", left.join(found.select("k"), "k", "left_anti"))
+        works = found if works is None else works.unionByName(found)
+        log.append((turn, name, n, -(-n // batch.get(name, 50)), n - left.count()))
+    calls = asked.sparkSession.createDataFrame(log, "turn int, source string, asked long, calls long, found long")
+    return (works if works is not None else left.withColumn("source", F.lit(None).cast("string")).limit(0)), calls
+
+
 def pick_works(works: DataFrame, source: str = "crossref", alternates: bool = True, throttled: tuple[str, ...] = ()) -> DataFrame:
     """One work (doi, ...) for each DOI out of those that sources (col ``source``) returned, by the order of asking."""
     keyed = works.withColumns({"__k": normalise_doi("doi"), "__rank": ranked(asked_for_dois(source, alternates, throttled))}).where("__k is not null and __rank is not null")

@@ -333,6 +333,32 @@ def retried(spark, d):
     return citations.retry(lists).select("id", "status")
 
 
+_ORDER = ("zotero", "openalex", "crossref", "semantic_scholar")
+#: Which source answers a DOI: the first in turn that has a work with an abstract of an even length.
+_TURNS = ctes("reference_lists", "works") + f""", a AS (SELECT DISTINCT {_DOI.format('ref_doi')} AS k FROM reference_lists WHERE {_DOI.format('ref_doi')} IS NOT NULL),
+w AS (SELECT DISTINCT a.k, list_position(['zotero', 'openalex', 'crossref', 'semantic_scholar'], works.source) - 1 AS turn, works.title, works.abstract FROM a JOIN works ON lower(works.doi) = a.k WHERE length(works.abstract) % 2 = 0 AND works.source <> 'openalex'),
+f AS (SELECT k, min(turn) AS turn FROM w GROUP BY k)"""
+
+
+def _in_turn(spark, d):
+    every = table(spark, d, "works")
+    source = lambda name: lambda asked: every.where(F.col("source") == name).withColumn("k", X.normalise_doi("doi")).join(asked.select(F.col("doi").alias("k")), "k", "left_semi").drop("k", "source")
+    return citations.ask_in_turn(table(spark, d, "reference_lists").select(F.col("ref_doi").alias("doi")), {n: source(n) for n in _ORDER}, _ORDER, works.BATCH, F.length("abstract") % 2 == 0, throttled=("openalex",))
+
+
+@query(_TURNS + " SELECT w.k, CASE w.turn WHEN 0 THEN 'zotero' WHEN 2 THEN 'crossref' ELSE 'semantic_scholar' END AS source, w.title, w.abstract FROM f JOIN w ON w.k = f.k AND w.turn = f.turn")
+def works_in_turn(spark, d):
+    """A work for each reference's DOI from the first source that has a fitting one; one source is throttled."""
+    return _in_turn(spark, d)[0].select("k", "source", "title", "abstract")
+
+
+@query(_TURNS + """, n AS (SELECT s.turn, s.source, s.size, (SELECT count(*) FROM a) - (SELECT count(*) FROM f WHERE f.turn < s.place) AS asked, (SELECT count(*) FROM f WHERE f.turn = s.place) AS found FROM (VALUES (0, 0, 'zotero', 50), (1, 2, 'crossref', 50), (2, 3, 'semantic_scholar', 100)) s(turn, place, source, size))
+SELECT turn, source, asked, ((asked + size - 1) // size)::BIGINT AS calls, found FROM n""")
+def calls_in_turn(spark, d):
+    """How many DOIs and calls each source got."""
+    return _in_turn(spark, d)[1]
+
+
 def _expanded(spark, d):
     edges = table(spark, d, "edges").selectExpr("cast(child_paper_id as bigint) as id", "child_paper_id", "parent_paper_id", "depth")
     return citations.expand(table(spark, d, "reference_lists"), table(spark, d, "papers"), edges, table(spark, d, "works"), table(spark, d, "candidates"))

@@ -478,3 +478,23 @@ def test_payloads_as_a_data_source(spark, tmp_path):
     live.keys = {f"{i}" for i in range(120)} | {"x1", None}
     parts = live.partitions()
     assert [len(p.batches) for p in parts] == [2, 1] and sum(len(b) for p in parts for b in p.batches) == 121
+
+
+def test_sources_are_asked_for_what_is_left(spark):
+    asked, seen = spark.createDataFrame([(f" https://doi.org/10.1/{i}",) for i in range(120)] + [(None,), ("10.1/3",), ("",)], "doi string"), {}
+
+    def source(name, has):
+        def ask(dois):
+            seen[name] = sorted(r["doi"] for r in dois.collect())
+            return dois.where(F.substring_index("doi", "/", -1).cast("int") % has == 0).select(F.concat(F.lit("DOI:"), F.upper("doi")).alias("doi"), F.lit(name).alias("abstract"), F.lit("x").alias("k")).union(spark.createDataFrame([("10.9/unasked", name, "x")], "doi string, abstract string, k string"))
+
+        return ask
+
+    names = {"a": 2, "b": 3, "c": 1, "d": 1}
+    got, calls = citations.ask_in_turn(asked, {n: source(n, m) for n, m in names.items()}, ["a", "x", "b", "d", "c"], {"a": 50, "b": 7}, throttled=["d"])
+    who = {r["k"]: r["source"] for r in got.collect()}
+    assert who == {f"10.1/{i}": "a" if i % 2 == 0 else "b" if i % 3 == 0 else "c" for i in range(120)} and got.columns == ["k", "source", "doi", "abstract"]
+    assert [tuple(r) for r in calls.orderBy("turn").collect()] == [(0, "a", 120, 3, 60), (1, "b", 60, 9, 20), (2, "c", 40, 1, 40)]
+    assert len(seen["a"]) == 120 and len(seen["b"]) == 60 and "d" not in seen and not set(seen["c"]) & {k for k, s in who.items() if s != "c"}
+    none, log = citations.ask_in_turn(asked.limit(0), {"a": source("a", 1)}, ["a"], {})
+    assert none.count() == 0 and log.first()["asked"] == 0
