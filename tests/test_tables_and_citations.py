@@ -498,3 +498,35 @@ def test_sources_are_asked_for_what_is_left(spark):
     assert len(seen["a"]) == 120 and len(seen["b"]) == 60 and "d" not in seen and not set(seen["c"]) & {k for k, s in who.items() if s != "c"}
     none, log = citations.ask_in_turn(asked.limit(0), {"a": source("a", 1)}, ["a"], {})
     assert none.count() == 0 and log.first()["asked"] == 0
+
+
+@pytest.mark.parametrize("size", [400, 2000, 1 << 20])
+def test_bibtex_split_anywhere(spark, tmp_path, size):
+    """Files that are read in splits give the entries of each whole text."""
+    rng = random.Random(size)
+    odd = ["% a note", "", "@comment no entry", "}", "@Article{late,", "  title = {never closed", "text { between", "@string{x = 1}"]
+
+    def entry(k):
+        deep = "{" * rng.choice([0, 0, 0, 1, 2, 6])
+        lines = [f"@{rng.choice(['Article', 'book'])}{{k{k}, year = 1999", f"  title = {{T {deep}of é{'}' * len(deep)} {k}}},", '  author = "Roe, A and {Poe}, B",', f"  note = {{see @misc{{x{k}, or", f"  more {rng.choice(['{', ''])} of it}},", "  year = {2001}", rng.choice(["}", "  }", "}}", "} % end"])]
+        return lines
+
+    texts = {}
+    for name in ("a", "b", "c"):
+        lines = []
+        for k in range(12):
+            lines += entry(k) + rng.choices(odd, k=rng.randint(0, 2))
+        texts[name] = rng.choice(["\n", "\r\n"]).join(lines) + rng.choice(["", "\n"])
+        (tmp_path / f"{name}.bib").write_bytes(texts[name].encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        got = bibtex.read(spark, f"{tmp_path}/*.bib").collect()
+        splits = spark.read.text(f"{tmp_path}/*.bib").select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert splits == 3 if size == 1 << 20 else splits > 3
+    for name, text in texts.items():
+        rows = sorted((r for r in got if r["path"].endswith(f"{name}.bib")), key=lambda r: r["seq_in_file"])
+        assert [(r["entry_type"], r["cite_key"], r["fields"]) for r in rows] == [(e["entry_type"], e["cite_key"], e["fields"]) for e in bibtex.parse(text)]
+        assert len({r["seq_in_file"] for r in rows}) == len(rows)
