@@ -256,9 +256,10 @@ def covered(docs: DataFrame, stages: Stages, o: Options) -> DataFrame:
         if spans is not None:
             here = here.unionByName(links[n].join(spans, ["core", "own"]).select(F.col("of_core").alias("core"), F.col("of_own").alias("own"), "a", "b"))
         spans = stages.save(f"spans{n}", here)
-    # a row's copies share one id and hash: sets, so that each span of a text stays once
-    out = cand.join(spans.distinct(), ["core", "own"]).select("doc_id", "th", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("span"))
-    return out.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
+    # a row's copies share one id and hash: each span of a text stays once before the spans meet
+    place = lambda x: (F.col("at") + F.col(x)).alias(x)
+    out = cand.join(spans, ["core", "own"]).select("doc_id", "th", place("a"), place("b")).distinct()
+    return out.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def sort(batches: Iterator[pa.RecordBatch], o: Options) -> Iterator[pa.RecordBatch]:
@@ -409,7 +410,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without its repeated passages; the bytes of a character that a cut has split go too.
 
     No row goes, even one that loses all of its text: null texts stay null, empty ones empty. Repeated rows lose all
-    that they share. An empty table gives an empty one.
+    that they share. Texts are searched whole, however long; which of several equal passages is first does not matter,
+    since all go. An empty table gives an empty one.
     """
     apart, back = aside(docs, ["removed", "kept"])
     out = dedup(apart, whole_characters=True)
