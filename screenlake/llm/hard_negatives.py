@@ -1,15 +1,16 @@
 """Hard negatives by a two-dimensional block matrix multiply over whole numbers.
 
-The score matrix of anchors and rows is cut in three ways: shards of anchors, shards of rows, and chunks of dimensions.
-Each cell (anchor shard, row shard, chunk) gets one block of either side and multiplies them into a partial tile of
-int64 scores; the partial tiles of a cell's two shards are shuffled together and added. Of a whole tile only the best
-few of each anchor, or of each anchor and positive, go on, and these are reduced over the tiles. The first product, of
+The score matrix of anchors and rows is cut into shards of anchors and shards of rows. Each cell (anchor shard, row
+shard) gets one block of either side and multiplies them tile by tile; a tile never leaves its task. Of the scores only
+the best few of each anchor, or of each anchor and positive, go on, and these are reduced over the cells. A few anchor
+shards go at a time, so what is shuffled at once grows with the rows, not with anchors times rows. The first product, of
 equal labels only, finds the positives; the second finds the negatives inside each positive's window of scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,8 @@ from screenlake.llm.shared import Stages
 
 @dataclass(frozen=True)
 class Options:
-    """``anchors`` x ``rows``: about how many of each a shard, and so a tile, holds; ``dims``: dimensions of a chunk.
+    """``anchors`` x ``rows``: about how many of each a shard, and so a cell, holds; ``dims``: dimensions multiplied at
+    a time; ``stripe``: anchor shards of each group that are multiplied before their blocks are deleted.
     Negatives score ``low`` to ``high`` hundredths of the positive."""
 
     positives: int = 5
@@ -31,9 +33,10 @@ class Options:
     low: int = 50
     high: int = 95
     scale: int = 256
-    anchors: int = 128
-    rows: int = 1024
-    dims: int = 32
+    anchors: int = 4096
+    rows: int = 32768
+    dims: int = 128
+    stripe: int = 4
 
 
 #: What a block says of its rows; ``h`` tells rows of one id apart. Positives' scores come behind where there are some.
@@ -51,70 +54,111 @@ def quantised(vectors: DataFrame, o: Options, id_col: str, vector_col: str, labe
 
 
 def packed(rows: DataFrame, shards: Column, dim: int, o: Options, more: list[str]) -> DataFrame:
-    """(grp, shard, chunk, meta, x): rows in blocks, each block in one row, ordered by id."""
-    chunks = -(-dim // o.dims)
-    part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda k: F.struct(k.alias("k"), F.slice("q", k * o.dims + 1, o.dims).alias("x"))))
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("id", "h"), shards).cast("int")).select("grp", "shard", *META, *more, part.alias("p")).select("grp", "shard", "p.k", *META, *more, "p.x")
+    """(grp, shard, meta, x): rows in blocks, each block in one row, ordered by id; ``x`` in the narrowest whole numbers
+    that hold the block."""
+    placed = rows.withColumn("shard", F.pmod(F.xxhash64("id", "h"), shards).cast("int")).select("grp", "shard", *META, *more, F.col("q").alias("x"))
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by([("id", "ascending"), ("h", "ascending"), ("label", "ascending")]).combine_chunks()
         width = np.array(pa.compute.list_value_length(t["x"]).combine_chunks())
-        x = np.zeros((len(width), o.dims), np.int64)
-        x[np.arange(o.dims) < width[:, None]] = np.array(pa.compute.list_flatten(t["x"]).combine_chunks())
+        x = np.zeros((len(width), dim), np.int64)
+        x[np.arange(dim) < width[:, None]] = np.array(pa.compute.list_flatten(t["x"]).combine_chunks())
+        for kind in (np.int16, np.int32):
+            if np.iinfo(kind).min <= x.min() and x.max() <= np.iinfo(kind).max:
+                x = x.astype(kind)
+                break
         meta = np.stack([np.array(t[c].combine_chunks()) for c in META] + [np.array(pa.compute.list_element(t[c], i).combine_chunks()) for c in more for i in range(o.positives)])
         first = t.slice(0, 1)
-        return pa.table({"grp": first["grp"], "shard": first["shard"], "k": first["k"], "meta": pa.array([meta.astype(np.int64).tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+        return pa.table({"grp": first["grp"], "shard": first["shard"], "meta": pa.array([meta.astype(np.int64).tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
 
-    return placed.groupBy("grp", "shard", "k").applyInArrow(pack, "grp long, shard int, k int, meta binary, x binary")
+    return placed.groupBy("grp", "shard").applyInArrow(pack, "grp long, shard int, meta binary, x binary")
 
 
-def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a times b transposed in int64; in doubles where every sum stays exact in them."""
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+def exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in floats if every sum of their products stays exact in them (no part of one exceeds the product of the
+    rows' norms), else in int64."""
+    norm = lambda x: np.sqrt(np.square(x.astype(np.float64)).sum(1).max(initial=0))
+    most = norm(a) * norm(b) * 1.001
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    return a.astype(kind), b.astype(kind)
 
 
-def tiles(st: Stages, name: str, anchors: DataFrame, rows: DataFrame, dim: int, o: Options, reduce, schema: str, more: list[str] = ()) -> DataFrame:
-    """``reduce`` (anchors' meta, rows' meta, scores) applied to each tile of scores of rows and anchors with equal
-    ``grp``. Shards are counted for each group, so a group of any size is many tiles; a cell gets two blocks."""
+def best(row: np.ndarray, score: np.ndarray, col: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` highest scores of each row, ties by column; what is asked comes in the order of rows."""
+    order = np.lexsort((col, -score, row))
+    row = row[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return order[rank < most]
+
+
+def strongest(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, most: int, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], o: Options) -> tuple[np.ndarray, ...]:
+    """(window, row, col, score): of each row of ``a`` and each of its windows (``low`` to ``high``: windows x rows), the
+    ``most`` highest scores with rows of ``b`` that ``fits``, ties by column.
+
+    Columns are taken in turn; once a window has ``most``, only higher scores are looked at, since ties go to earlier
+    columns.
+    """
+    x, y = exact(a, b)
+    whole, out = np.iinfo(np.int64), []
+    for f in range(0, len(x), 256):
+        part = x[f : f + 256]
+        least, top = np.where(low > high, whole.max, low)[:, f : f + 256], high[:, f : f + 256]
+        ceiling = top.max(0).astype(x.dtype)[:, None]
+        held = [(np.zeros(0, np.int64),) * 3 for _ in least]
+        at, step = 0, 512
+        while at < len(y):
+            scores = part[:, : o.dims] @ y[at : at + step, : o.dims].T
+            for k in range(o.dims, x.shape[1], o.dims):
+                scores += part[:, k : k + o.dims] @ y[at : at + step, k : k + o.dims].T
+            row, col = np.nonzero((scores >= least.min(0).astype(x.dtype)[:, None]) & (scores <= ceiling))
+            s, col = scores[row, col].astype(np.int64), col + at
+            ok = fits(row + f, col)
+            row, col, s = row[ok], col[ok], s[ok]
+            for t in range(len(least)):
+                go = (s >= least[t][row]) & (s <= top[t][row])
+                if not go.any():
+                    continue
+                r, c, v = (np.concatenate(z) for z in zip(held[t], (row[go], col[go], s[go])))
+                keep = best(r, v, c, most)
+                r, c, v = held[t] = r[keep], c[keep], v[keep]
+                n = np.bincount(r, minlength=len(part))
+                full = np.flatnonzero(n == most)
+                least[t][full] = np.minimum(v[np.cumsum(n)[full] - 1], whole.max - 1) + 1
+            at, step = at + step, 4096
+        out += [(np.full(len(r), t), r + f, c, v) for t, (r, c, v) in enumerate(held)]
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def tiles(st: Stages, name: str, anchors: DataFrame, rows: DataFrame, dim: int, o: Options, reduce: Callable[..., pa.Table], schema: str, rank: Callable[[DataFrame], DataFrame], more: list[str] = ()) -> DataFrame:
+    """``rank`` of what ``reduce`` (anchors' meta and vectors, rows' meta and vectors) leaves of each cell of anchors and
+    rows with equal ``grp``. Shards are counted for each group, so a group of any size is many cells; a cell gets two
+    blocks. All cells of an anchor are in one stripe, so ``rank`` sees them together."""
     more = list(more)
     count = lambda df, size, to: df.groupBy("grp").agg(F.ceil(F.count("*") / size).cast("int").alias(to))
     sizes = st.save(f"{name}-sizes", count(anchors, o.anchors, "n_a").join(count(rows, o.rows, "n_b"), "grp"))
-    grid = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = packed(anchors.join(sizes, "grp"), F.col("n_a"), dim, o, more)
-    right = packed(rows.join(sizes, "grp"), F.col("n_b"), dim, o, [])
-    left = st.save(f"{name}-left", left).join(sizes, "grp").select("grp", F.col("shard").alias("i"), grid("n_b").alias("j"), "k", F.col("meta").alias("a_meta"), F.col("x").alias("a"))
-    right = st.save(f"{name}-right", right).join(sizes, "grp").select("grp", grid("n_a").alias("i"), F.col("shard").alias("j"), "k", F.col("meta").alias("b_meta"), F.col("x").alias("b"))
-    cells = left.join(right.hint("shuffle_hash"), ["grp", "i", "j", "k"])
+    left = st.save(f"{name}-left", packed(anchors.join(sizes, "grp"), F.col("n_a"), dim, o, more))
+    right = st.save(f"{name}-right", packed(rows.join(sizes, "grp"), F.col("n_b"), dim, o, []))
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                c = batch.slice(r, 1)
-                a, b = (np.frombuffer(c.column(n)[0].as_py(), np.int64).reshape(-1, o.dims) for n in ("a", "b"))
-                lead = c.column("k")[0].as_py() == 0  # one of the partial tiles brings what is said of the rows
-                metas = [c.column(n) if lead else pa.array([None], pa.binary()) for n in ("a_meta", "b_meta")]
-                yield pa.RecordBatch.from_arrays([c.column("grp"), c.column("i"), c.column("j"), *metas, pa.array([multiply(a, b).tobytes()], pa.binary())], ["grp", "i", "j", "a_meta", "b_meta", "tile"])
-
-    def add(t: pa.Table) -> pa.Table:
-        a, b = (np.frombuffer(next(m for m in t[n].to_pylist() if m is not None), np.int64) for n in ("a_meta", "b_meta"))
-        a, b = a.reshape(len(META) + len(more) * o.positives, -1), b.reshape(len(META), -1)
-        scores = np.zeros((a.shape[1], b.shape[1]), np.int64)
-        for tile in t["tile"]:
-            scores += np.frombuffer(tile.as_buffer(), np.int64).reshape(scores.shape)
-        return reduce(a, b, scores)
-
-    partial = cells.mapInArrow(product, "grp long, i int, j int, a_meta binary, b_meta binary, tile binary")
-    return partial.groupBy("grp", "i", "j").applyInArrow(add, schema)
-
-
-def best(row: np.ndarray, score: np.ndarray, col: np.ndarray, most: int) -> np.ndarray:
-    """Places of the ``most`` highest scores of each row, ties by column; what is asked comes in the order of rows."""
-    order = np.lexsort((col, -score, row))
-    row = row[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    return order[rank < most]
+                blocks = []
+                for side, n in (("a", len(META) + len(more) * o.positives), ("b", len(META))):
+                    meta = np.frombuffer(batch.column(f"{side}_meta")[r].as_buffer(), np.int64).reshape(n, -1)
+                    raw = batch.column(side)[r].as_buffer()
+                    blocks += [meta, np.frombuffer(raw, f"<i{raw.size // (meta.shape[1] * dim)}").reshape(-1, dim)]
+                yield from reduce(*blocks).to_batches()
+
+    stripes = []
+    for first in range(0, sizes.agg(F.max("n_a")).first()[0] or 1, o.stripe):
+        end = first + o.stripe
+        here = sizes.where(F.col("n_a") > first)
+        a = left.where(F.col("shard").between(first, end - 1)).join(here, "grp").select("grp", F.col("shard").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("j"), F.col("meta").alias("a_meta"), F.col("x").alias("a"))
+        b = right.join(here, "grp").select("grp", F.explode(F.sequence(F.lit(first), F.least(F.col("n_a"), F.lit(end)) - 1)).alias("i"), F.col("shard").alias("j"), F.col("meta").alias("b_meta"), F.col("x").alias("b"))
+        cells = a.join(b.hint("merge"), ["grp", "i", "j"])
+        stripes.append(st.save(f"{name}-{first}", rank(cells.mapInArrow(product, schema))))
+    st.drop(f"{name}-sizes", f"{name}-left", f"{name}-right")
+    return functools.reduce(DataFrame.union, stripes)
 
 
 def mine(vectors: DataFrame, o: Options = Options(), id_col: str = "vec_id", vector_col: str = "embedding", label: Column | None = None, is_anchor: Column | None = None) -> DataFrame:
@@ -136,44 +180,31 @@ def mine(vectors: DataFrame, o: Options = Options(), id_col: str = "vec_id", vec
     dim = max(1, rows.agg(F.max(F.size("q"))).first()[0] or 0)
     anchors = rows.where("anchor")
 
-    def positives(a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> pa.Table:
-        other = (a[0][:, None] != b[0]) | (a[1][:, None] != b[1])
-        row, col = np.nonzero(other)
-        s = scores[row, col]
-        at = best(row, s, col, o.positives)
-        row, col = row[at], col[at]
-        return pa.table({"id": a[0][row], "h": a[1][row], "label": a[2][row], "positive_id": b[0][col], "ph": b[1][col], "positive_score": s[at]})
+    def positives(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> pa.Table:
+        whole = np.iinfo(np.int64)
+        every = np.full((1, len(x)), whole.min), np.full((1, len(x)), whole.max)
+        _, row, col, s = strongest(x, y, *every, o.positives, lambda r, c: (a[0][r] != b[0][c]) | (a[1][r] != b[1][c]), o)
+        return pa.table({"id": a[0][row], "h": a[1][row], "label": a[2][row], "positive_id": b[0][col], "ph": b[1][col], "positive_score": s})
 
     by_label = lambda df: df.withColumn("grp", F.col("label"))
-    found = tiles(st, "positives", by_label(anchors), by_label(rows), dim, o, positives, "id long, h long, label long, positive_id long, ph long, positive_score long")
     turn = Window.partitionBy(*META).orderBy(F.desc("positive_score"), "positive_id", "ph")
-    found = found.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= o.positives)
-    found = st.save("positives", found)
+    first = lambda df: df.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= o.positives)
+    found = tiles(st, "positives", by_label(anchors), by_label(rows), dim, o, positives, "id long, h long, label long, positive_id long, ph long, positive_score long", first)
     windows = found.groupBy(*META).agg(F.map_from_entries(F.collect_list(F.struct("turn", "positive_score"))).alias("scores"))
     # a missing positive asks for a score of -1: its window is empty
     scores = F.transform(F.sequence(F.lit(1), F.lit(o.positives)), lambda t: F.coalesce(F.col("scores")[t], F.lit(-1).cast("long")))
     asking = anchors.join(windows.select(*META, scores.alias("asked")), META).withColumn("grp", F.lit(0).cast("long"))
 
-    def negatives(a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> pa.Table:
+    def negatives(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> pa.Table:
         asked = a[len(META) :]
         low, high = -(-o.low * asked // 100), o.high * asked // 100
         low, high = np.where(asked < 0, 1, low), np.where(asked < 0, 0, high)
-        row, col = np.nonzero((scores >= np.where(low > high, np.iinfo(np.int64).max, low).min(0)[:, None]) & (scores <= high.max(0)[:, None]) & (a[2][:, None] != b[2]))
-        s = scores[row, col]
-        order = np.lexsort((col, -s, row))
-        row, col, s = row[order], col[order], s[order]
-        out = []
-        for t in range(len(asked)):
-            at = np.flatnonzero((s >= low[t][row]) & (s <= high[t][row]))
-            r = row[at]
-            at = at[np.arange(len(r)) - np.searchsorted(r, r) < o.negatives]
-            out.append((row[at], col[at], s[at], np.full(len(at), t + 1)))
-        row, col, s, t = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"id": a[0][row], "h": a[1][row], "label": a[2][row], "turn": pa.array(t, pa.int32()), "negative_id": b[0][col], "nh": b[1][col], "nl": b[2][col], "negative_score": s})
-
-    near = tiles(st, "negatives", asking, rows.withColumn("grp", F.lit(0).cast("long")), dim, o, negatives, "id long, h long, label long, turn int, negative_id long, nh long, nl long, negative_score long", ["asked"])
+        t, row, col, s = strongest(x, y, low, high, o.negatives, lambda r, c: a[2][r] != b[2][c], o)
+        return pa.table({"id": a[0][row], "h": a[1][row], "label": a[2][row], "turn": pa.array(t + 1, pa.int32()), "negative_id": b[0][col], "nh": b[1][col], "nl": b[2][col], "negative_score": s})
+
     place = Window.partitionBy(*META, "turn").orderBy(F.desc("negative_score"), "negative_id", "nh", "nl")
-    near = near.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= o.negatives)
+    nearest = lambda df: df.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= o.negatives)
+    near = tiles(st, "negatives", asking, rows.withColumn("grp", F.lit(0).cast("long")), dim, o, negatives, "id long, h long, label long, turn int, negative_id long, nh long, nl long, negative_score long", nearest, ["asked"])
     out = near.join(found, [*META, "turn"]).select(F.col("id").alias("anchor_id"), "positive_id", "rank", "negative_id", "positive_score", "negative_score")
     return st.finish(out)
 

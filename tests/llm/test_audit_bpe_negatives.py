@@ -232,6 +232,33 @@ def test_negatives_of_large_numbers_stay_whole(spark):
     assert mined(df, hard_negatives.Options()) == brute_negatives(kept, hard_negatives.Options()) != []
 
 
+def test_scores_stay_in_their_tasks(spark):
+    rng = np.random.default_rng(4)
+    n, anchor = 4000, F.col("vec_id") % 4 == 0
+    q = rng.integers(-90, 91, (n, 16))
+    labels = rng.integers(0, 4, n)
+    df = spark.createDataFrame([(i, (v / 256 + 0.001).tolist(), int(c)) for i, (v, c) in enumerate(zip(q, labels))], "vec_id long, embedding array<double>, label int")
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+    for more in ({}, {"stripe": 3}):
+        o = hard_negatives.Options(anchors=100, rows=1500, dims=16, **more)
+        before = shuffled()
+        got = hard_negatives.mine(df, o, is_anchor=anchor).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()
+        assert shuffled() - before < 2 * n * n // 4  # bytes; one whole matrix of scores has four times as many
+        want = []
+        for a in range(0, n, 4):
+            s = q @ q[a]
+            order = np.lexsort((np.arange(n), -s))
+            order = order[order != a]
+            for p in order[labels[order] == labels[a]][: o.positives]:
+                fits = order[(labels[order] != labels[a]) & (50 * s[p] <= 100 * s[order]) & (100 * s[order] <= 95 * s[p])][: o.negatives]
+                want += [(a, p, k, x, s[p], s[x]) for k, x in enumerate(fits, 1)]
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 # what earlier operators got wrong
 
 PROSE = "<p>This is a paragraph with enough words, commas, and length to count as prose in the article.</p>"
